@@ -4,4 +4,11 @@ Every public function takes and returns DataFrames or Columns, builds a lazy
 plan on the driver, and leaves the data work to the executors.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python helpers travel with their tasks, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

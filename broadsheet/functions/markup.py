@@ -34,6 +34,7 @@ def token_pattern(literal_tags: tuple[str, ...] = DEFAULT_LITERAL_TAGS, short_ta
             r"<!--(?s:.*?)--\s*>",
             r"<!--(?s:.*)",
             r"<!\[(?s:.*?)\]\s*\]?\s*>",
+            r"<!\[(?s:.*)",
             r"<[?!][^>]*>?",
             r"<>",
             r"<[a-zA-Z][^<>]*>?",
@@ -47,6 +48,12 @@ def token_pattern(literal_tags: tuple[str, ...] = DEFAULT_LITERAL_TAGS, short_ta
     )
 
 
+def literal_pattern(literal_tags: tuple[str, ...]) -> str:
+    """Start tag, content and end tag of an element whose content is not markup."""
+    names = "|".join(literal_tags)
+    return rf"(?is)^(<(?:{names})\b[^<>]*>)(.*?)(</(?:{names})\s*>)?\z"
+
+
 def raw_tokens(
     html: Column, literal_tags: tuple[str, ...] = DEFAULT_LITERAL_TAGS, short_tags: bool = False
 ) -> Column:
@@ -55,7 +62,7 @@ def raw_tokens(
     if not literal_tags:
         return found
     names = "|".join(literal_tags)
-    whole = rf"(?is)^(<(?:{names})\b[^<>]*>)(.*?)(</(?:{names})\s*>)?\z"
+    whole = literal_pattern(literal_tags)
 
     def cut(token: Column) -> Column:
         pieces = F.array(*[F.regexp_extract(token, whole, i) for i in (1, 2, 3)])
@@ -72,6 +79,7 @@ def token_kind(token: Column, last: Column) -> Column:
     return (
         F.when(token.startswith("<!--"), F.when(token.rlike(r"(?s)^<!--.*--\s*>\z"), F.lit("comment")).otherwise("data"))
         .when(token.startswith("<?") & token.endswith(">"), F.lit("instruction"))
+        .when(token.startswith("<!["), F.when(token.rlike(r"\]\s*\]?\s*>\z"), F.lit("declaration")).otherwise("data"))
         .when(token.startswith("<!") & token.endswith(">"), F.lit("declaration"))
         .when(token.rlike(r"^<[>a-zA-Z]") & closed, F.lit("start"))
         .when(token.startswith("</") & closed, F.lit("end"))

@@ -64,6 +64,12 @@ def tokenize_markup(
         rows = rows.withColumn("part", F.lit(0)).withColumn(
             "kind", M.token_kind(F.col("raw"), F.col("last"))
         )
+    pos = F.col("at") * 3 + F.col("part") if short_tags else F.col("at")
+    return describe_tokens(rows.withColumn("pos", pos), key, entities)
+
+
+def describe_tokens(rows: DataFrame, key: str, entities: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """Tag, attributes and data of rows ``(key, pos, part, kind, raw, again)``."""
     raw, kind = F.col("raw"), F.col("kind")
     tag = (
         F.when(kind == "start", F.coalesce(F.col("again"), M.start_name(raw)))
@@ -93,8 +99,7 @@ def tokenize_markup(
         )
     else:
         out = out.withColumn("data", data)
-    pos = F.col("at") * 3 + F.col("part") if short_tags else F.col("at")
-    return out.select(key, pos.alias("pos"), "kind", "tag", attrs.alias("attrs"), "data", "raw")
+    return out.select(key, "pos", "kind", "tag", attrs.alias("attrs"), "data", "raw")
 
 
 def _open_short_tags(rows: DataFrame, key: str) -> DataFrame:

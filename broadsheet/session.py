@@ -69,3 +69,11 @@ def broadcast_within(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple
         return F.broadcast(df), True
     return df, False
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a small input has fewer splits than there are cores.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
