@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from broadsheet.functions.binding import let
 from broadsheet.functions.text import strip_all
 
 # Endings of a URL that names a feed file.
@@ -64,8 +65,9 @@ def url_feed_prob(url: Column) -> Column:
     return score.otherwise(F.lit(0))
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, "(?s)" + _SPLIT, group)
+def _split_url(url: Column) -> Column:
+    groups = {"scheme": 1, "host": 2, "path": 3, "query": 4, "fragment": 5}
+    return F.struct(*[F.regexp_extract(url, "(?s)" + _SPLIT, g).alias(name) for name, g in groups.items()])
 
 
 def _without_dots(segments: Column) -> Column:
@@ -77,45 +79,62 @@ def _without_dots(segments: Column) -> Column:
         .when(seg == ".", acc)
         .otherwise(F.array_append(acc, seg)),
     )
-    open_end = F.element_at(segments, -1).isin(".", "..")
-    return F.array_join(F.when(open_end, F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+    closed = F.array_join(kept, "/")
+    ends_in_dots = F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.when(ends_in_dots, F.concat(closed, F.lit("/"))).otherwise(closed)
 
 
-def url_join(base: Column, ref: Column) -> Column:
-    """Resolve ``ref`` against ``base`` without leaving the JVM."""
-    r = F.regexp_replace(F.regexp_replace(ref, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
-    b_scheme, b_host, b_path, b_query = (_part(base, i) for i in (1, 2, 3, 4))
-    r_scheme, r_host, r_path, r_query, r_frag = (_part(r, i) for i in (1, 2, 3, 4, 5))
-    scheme = F.lower(b_scheme)
-    foreign = (F.lower(r_scheme) != scheme) & (r_scheme != "") | ~scheme.isin(RELATIVE_SCHEMES)
-
-    base_dir = F.split(b_path, "/")
-    base_dir = F.when(
-        F.element_at(base_dir, -1) != "", F.slice(base_dir, F.lit(1), F.size(base_dir) - 1)
-    ).otherwise(base_dir)
-    joined = F.concat(base_dir, F.split(r_path, "/"))
-    inner = F.filter(
-        F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0))), lambda s: s != ""
-    )
-    relative = F.concat(
-        F.slice(joined, 1, 1), inner, F.when(F.size(joined) > 1, F.slice(joined, -1, 1)).otherwise(
-            F.array().cast("array<string>")
-        )
+def _relative_segments(base_path: Column, path: Column) -> Column:
+    """Segments of a relative path below the folder of the base, without empty inner ones."""
+    def below(folder: Column) -> Column:
+        inner = F.filter(F.slice(folder, F.lit(2), F.size(folder)), lambda s: s != "")
+        return F.concat(F.slice(folder, 1, 1), inner)
+
+    folder = F.split(F.regexp_replace(base_path, "[^/]+$", ""), "/")
+    # The empty segment after the last slash of the folder is not a step.
+    steps = F.split(path, "/")
+    middle = F.filter(F.slice(steps, F.lit(1), F.size(steps) - 1), lambda s: s != "")
+    return F.concat(below(folder), middle, F.slice(steps, -1, 1))
+
+
+def _resolve(b: Column, r: Column, has_host: Column) -> Column:
+    """Join split URLs that share a scheme."""
+    segments = F.when(r["path"].startswith("/"), F.split(r["path"], "/")).otherwise(
+        _relative_segments(b["path"], r["path"])
     )
-    segments = F.when(r_path.startswith("/"), F.split(r_path, "/")).otherwise(relative)
-    resolved = _without_dots(segments)
-    resolved = F.when(resolved == "", F.lit("/")).otherwise(resolved)
-
-    has_host = r.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//[^/?#]")
-    host = F.when(has_host, r_host).otherwise(b_host)
-    path = F.when(has_host, r_path).when(r_path == "", b_path).otherwise(resolved)
-    path = F.when((host != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    query = F.when(~has_host & (r_path == "") & (r_query == ""), b_query).otherwise(r_query)
-    whole = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(r_frag != "", F.concat(F.lit("#"), r_frag)).otherwise(""),
+    host = F.when(has_host, r["host"]).otherwise(b["host"])
+    keeps_path = ~has_host & (r["path"] == "")
+    path = (
+        F.when(has_host, r["path"])
+        .when(keeps_path, b["path"])
+        .otherwise(let(let(segments, _without_dots), lambda p: F.when(p == "", F.lit("/")).otherwise(p)))
     )
-    return F.when(base == "", ref).when(ref == "", base).when(foreign, ref).otherwise(whole)
+    query = F.when(keeps_path & (r["query"] == ""), b["query"]).otherwise(r["query"])
+
+    def whole(u: Column) -> Column:
+        rooted = (u["host"] != "") & (u["path"] != "") & ~u["path"].startswith("/")
+        return F.concat(
+            F.when(b["scheme"] != "", F.concat(F.lower(b["scheme"]), F.lit(":"))).otherwise(""),
+            F.when(u["host"] != "", F.concat(F.lit("//"), u["host"])).otherwise(""),
+            F.when(rooted, F.lit("/")).otherwise(""),
+            u["path"],
+            F.when(u["query"] != "", F.concat(F.lit("?"), u["query"])).otherwise(""),
+            F.when(r["fragment"] != "", F.concat(F.lit("#"), r["fragment"])).otherwise(""),
+        )
+
+    return let(F.struct(host.alias("host"), path.alias("path"), query.alias("query")), whole)
+
+
+def url_join(base: Column, ref: Column) -> Column:
+    """Resolve ``ref`` against ``base`` without leaving the JVM."""
+    clean = F.regexp_replace(ref, r"[\t\r\n]|^[\x00-\x20]+", "")
+    has_host = clean.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//[^/?#]")
+
+    def join(u: Column) -> Column:
+        b, r = u["b"], u["r"]
+        scheme = F.lower(b["scheme"])
+        foreign = ((r["scheme"] != "") & (F.lower(r["scheme"]) != scheme)) | ~scheme.isin(RELATIVE_SCHEMES)
+        return F.when(foreign, ref).otherwise(_resolve(b, r, u["has_host"]))
+
+    split = F.struct(_split_url(base).alias("b"), _split_url(clean).alias("r"), has_host.alias("has_host"))
+    return F.when(base == "", ref).when(ref == "", base).otherwise(let(split, join))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from broadsheet.functions.binding import let
+
 INDEX = r"^(?:0|[1-9][0-9]*)\z"
 VARIANTS = "array<variant>"
 MEMBERS = "map<string,variant>"
@@ -33,9 +35,12 @@ def step(value: Column, part: Column) -> Column:
 
 def kind(value: Column) -> Column:
     """object, list, string, int, float, boolean or null."""
-    schema = F.schema_of_variant(value)
+    return let(F.schema_of_variant(value), _kind_of_schema)
+
+
+def _kind_of_schema(schema: Column) -> Column:
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
+        F.when(schema.isNull(), F.lit(None).cast("string"))
         .when(schema.startswith("OBJECT"), F.lit("object"))
         .when(schema.startswith("ARRAY"), F.lit("list"))
         .when(schema == "STRING", F.lit("string"))
@@ -49,20 +54,23 @@ def kind(value: Column) -> Column:
 
 def scalar_text(value: Column) -> Column:
     """Canonical text of a scalar that keeps ``1``, ``1.0``, ``"1"`` and ``true`` apart."""
-    k = kind(value)
-    return F.concat_ws(
-        ":",
-        k,
-        F.when(k == "float", F.try_variant_get(value, "$", "double").cast("string")).otherwise(
-            F.to_json(value)
-        ),
-    )
+
+    def text(k: Column) -> Column:
+        number = F.try_variant_get(value, "$", "double").cast("string")
+        return F.concat_ws(":", k, F.when(k == "float", number).otherwise(F.to_json(value)))
+
+    return let(kind(value), text)
+
+
+def is_container(value: Column) -> Column:
+    schema = F.schema_of_variant(value)
+    return schema.startswith("OBJECT") | schema.startswith("ARRAY")
 
 
 def same_value(a: Column, b: Column) -> Column:
     """Equality that respects JSON types."""
     return F.when(
-        kind(a).isin("object", "list") | kind(b).isin("object", "list"),
+        is_container(a) | is_container(b),
         (F.to_json(a) == F.to_json(b)) & (F.schema_of_variant(a) == F.schema_of_variant(b)),
     ).otherwise(scalar_text(a) == scalar_text(b))
 
@@ -72,11 +80,6 @@ def as_object(entries: Column) -> Column:
     return F.to_variant_object(entries)
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and pass it to ``use``."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 Edit = Callable[[Column, Column], Column]
 
 
@@ -102,7 +105,7 @@ def edit_at(value: Column, parts: list[str], in_object: Edit, in_list: Edit) ->
             new_arr = F.when(child.isNotNull(), new_arr)
         return F.coalesce(as_object(new_obj), F.to_variant_object(new_arr))
 
-    return _bind(value, rebuild)
+    return let(value, rebuild)
 
 
 def put_member(obj: Column, name: Column, value: Column) -> Column:

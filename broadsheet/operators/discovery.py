@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from broadsheet.functions import markup as M
+from broadsheet.functions.binding import let
 from broadsheet.functions.urls import (
     coerce_url,
     is_feed_data,
@@ -40,23 +41,34 @@ def page_candidates(page_url: Column, html: Column) -> Column:
     """Array of ``(stage, url)`` from the link and anchor tags of one page."""
     tags = F.filter(M.raw_tokens(html), lambda t: t.rlike(r"(?i)^<(?:a|link)(?![-_.a-zA-Z0-9])[^<>]*>?\z"))
     named = F.transform(
-        tags, lambda t: F.struct(M.start_name(t).alias("tag"), M.attributes(t).alias("attrs"))
+        tags,
+        lambda t: let(
+            M.attributes(t),
+            lambda attrs: F.struct(
+                M.start_name(t).alias("tag"),
+                M.attribute(attrs, "type").alias("type"),
+                M.attribute(attrs, "href").alias("href"),
+            ),
+        ),
     )
 
-    def offers(t: Column) -> Column:
-        href = M.attribute(t["attrs"], "href")
-        is_link = (t["tag"] == "link") & M.attribute(t["attrs"], "type").isin(FEED_TYPES)
-        is_anchor = (t["tag"] == "a") & href.isNotNull()
-        is_local = is_anchor & ~href.contains("://") & is_feed_url(href)
-        return F.array_compact(
-            F.array(
-                F.when(is_link, _candidate(LINK, url_join(page_url, F.coalesce(href, F.lit(""))))),
-                F.when(is_local, _candidate(LOCAL, url_join(page_url, href))),
-                F.when(is_anchor & is_feedlike_url(href), _candidate(REMOTE, url_join(page_url, href))),
-            )
-        )
-
-    return F.array_distinct(F.flatten(F.transform(named, offers)))
+    def stages(t: Column) -> Column:
+        is_link = (t["tag"] == "link") & t["type"].isin(FEED_TYPES)
+        is_anchor = (t["tag"] == "a") & t["href"].isNotNull()
+        is_local = is_anchor & ~t["href"].contains("://") & is_feed_url(t["href"])
+        is_remote = is_anchor & is_feedlike_url(t["href"])
+        tried = F.array(F.when(is_link, F.lit(LINK)), F.when(is_local, F.lit(LOCAL)), F.when(is_remote, F.lit(REMOTE)))
+        return F.struct(t["href"].alias("href"), F.array_compact(tried).alias("stages"))
+
+    offers = F.filter(F.transform(named, stages), lambda o: F.size(o["stages"]) > 0)
+    resolved = F.transform(
+        offers,
+        lambda o: let(
+            url_join(page_url, F.coalesce(o["href"], F.lit(""))),
+            lambda url: F.transform(o["stages"], lambda s: F.struct(s.alias("stage"), url.alias("url"))),
+        ),
+    )
+    return F.array_distinct(F.flatten(resolved))
 
 
 def guesses(page_url: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from broadsheet.functions import markup as M
@@ -194,7 +195,17 @@ def tag_depth(tokens: DataFrame, key: str = "page_id", void_tags: Iterable[str]
     )
 
 
-_CLOSES = "array<struct<pos:int,tag:string,action:string,depth:int,opened_at:int>>"
+_CLOSES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("pos", T.IntegerType()),
+            T.StructField("tag", T.StringType()),
+            T.StructField("action", T.StringType()),
+            T.StructField("depth", T.IntegerType()),
+            T.StructField("opened_at", T.IntegerType()),
+        ]
+    )
+)
 
 
 @F.pandas_udf(_CLOSES)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from broadsheet.functions.chars import class_string
@@ -111,16 +112,14 @@ def _with_edge_chars(weights: DataFrame) -> DataFrame:
     """Weight keys with edges as single characters. An edge name shows in a key that is
     longer than the number of its items."""
     items = F.when(F.col("feature").startswith("U"), 1).when(F.col("feature").startswith("B"), 2).otherwise(3)
-    over = F.length("key") - items
     shown = F.col("key")
-    for name in reversed(EDGES[:3]):
-        shown = F.when(
-            (over > 0) & F.col("key").startswith(name[0]), F.replace(shown, F.lit(name), F.lit(_EDGE_CHARS[name]))
-        ).otherwise(shown)
-    for name in EDGES[3:]:
-        shown = F.when(
-            (over > 0) & F.col("key").endswith(name), F.replace(shown, F.lit(name), F.lit(_EDGE_CHARS[name]))
-        ).otherwise(shown)
+    before, after = f"^([{_BEFORE}]*)", f"([{_AFTER}]*)$"
+    for name in EDGES[:3]:
+        put = F.regexp_replace(shown, before + name, "$1" + _EDGE_CHARS[name])
+        shown = F.when(F.length(shown) > items, put).otherwise(shown)
+    for name in reversed(EDGES[3:]):
+        put = F.regexp_replace(shown, name + after, _EDGE_CHARS[name] + "$1")
+        shown = F.when(F.length(shown) > items, put).otherwise(shown)
     is_char = F.col("feature").isin(list(CHARACTER_FEATURES))
     return weights.withColumn("key", F.when(is_char, shown).otherwise(F.col("key")))
 
@@ -265,7 +264,7 @@ def decision_masks(scored: DataFrame, history: DataFrame) -> DataFrame:
 _NEXT = [[STATES.index(s[1:] + d) for d in "OB"] for s in STATES]
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def decide_boundaries(masks: pd.Series) -> pd.Series:
     """The ordered decisions of each text: the one step that cannot run in parallel."""
 

@@ -86,7 +86,7 @@ def prototype_scorer(key: str, vector: str, prototypes: DataFrame) -> Scorer:
     def score(docs: DataFrame) -> DataFrame:
         v = F.col("v")
         scored = F.transform(
-            model,
+            "model",
             lambda m, i: F.struct(
                 i.alias("ord"),
                 m["label"].cast("string").alias("label"),
@@ -95,7 +95,7 @@ def prototype_scorer(key: str, vector: str, prototypes: DataFrame) -> Scorer:
                 ).alias("score"),
             ),
         )
-        rows = docs.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+        rows = docs.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"), model.alias("model"))
         return rows.select(key, F.explode(scored).alias("s")).select(key, "s.*")
 
     return score

@@ -1,16 +1,198 @@
-"""Tables that queries derive from the given ones, one input row at a time."""
+"""Tables that queries derive from the given ones, row by row, so that they grow with them.
+
+Where rows take one of several shapes, ``id % n`` picks the shape; no row is left out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from broadsheet.session import spread
 
 # Letters and the characters of a mixed script that stand for them.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 MIXED = "あいうえかきけしとのカタト東京大学日本人一二三中国語"
 
 
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
 def to_japanese_script(text: Column) -> Column:
-    """Text in mixed Japanese script with its blanks kept: words of the given text, letter by letter."""
-    one_blank = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return F.translate(one_blank, LATIN, MIXED)
+    """Text in mixed script with its blanks kept: words of the given text, letter by letter."""
+    one_blank = F.regexp_replace(F.lower(text), r"[ \t\r\n\f]+", " ")
+    return F.translate(F.trim(one_blank), LATIN, MIXED)
+
+
+def spaced_texts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", to_japanese_script(F.col("text")).alias("text"))
+
+
+def unspaced_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return spaced_texts(spark, sf).withColumn("text", F.replace("text", F.lit(" "), F.lit("")))
+
+
+def feed_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``(feed_url, xml)``: RSS documents of twenty pages each."""
+    item = F.expr(
+        "to_xml(named_struct('title', regexp_extract(html, '<title>(.*?)</title>', 1), 'link', url, "
+        "'description', concat('page ', page_id), "
+        "'pubDate', if(page_id % 3 = 0, null, concat('Tue, 01 Dec 2026 10:00:', lpad(page_id % 60, 2, '0'), ' GMT'))), "
+        "map('rowTag', 'item'))"
+    )
+    feed = F.expr("concat('http://feeds.example.org/', page_id div 20)").alias("feed_url")
+    items = table(spark, sf, "pages").select(feed, "page_id", item.alias("item"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "item"))), lambda i: i["item"]), "")
+    return items.groupBy("feed_url").agg(
+        F.concat(F.lit('<rss version="2.0"><channel>'), body, F.lit("</channel></rss>")).alias("xml")
+    )
+
+
+def page_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Two feed items per page: its own URL, and one that was never crawled."""
+    return table(spark, sf, "pages").select(
+        F.lit(None).cast("string").alias("title"),
+        F.explode(F.array(F.col("url"), F.concat("url", F.lit("&gone")))).alias("link"),
+        F.lit(None).cast("string").alias("summary"),
+        F.expr("if(page_id % 4 = 0, null, concat('day ', page_id % 30))").alias("published"),
+    )
+
+
+def edge_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page with rare markup added before the end of its article."""
+    rare = (
+        "concat('<I CLASS=x data-n=''', page_id, ''' hidden>&#65;&#300;&lt <u><></u></></b></q>"
+        "<?note ', page_id, '></article>')"
+    )
+    return table(spark, sf, "pages").select(
+        "page_id", F.expr(f"replace(html, '</article>', {rare})").alias("html")
+    )
+
+
+def crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """``(url, body)``: every page in one of eight shapes, and the feeds they point to."""
+    head = F.expr(
+        """CASE page_id % 8
+        WHEN 1 THEN concat('<LINK rel=alternate type="application/rss+xml" href="/f', page_id, '.xml"></head>')
+        WHEN 2 THEN '<link rel=x type="text/css" href="/style.xml"></head>'
+        WHEN 7 THEN concat('<link type="application/atom+xml" href="/atom', page_id, '"></head>') ELSE '</head>' END"""
+    )
+    foot = F.expr(
+        """CASE page_id % 8
+        WHEN 2 THEN concat('<a href="/news', page_id, '.rss">news</a></body>')
+        WHEN 3 THEN concat('<a href="http://feeds.example.com/feed', page_id % 5, '">f</a></body>')
+        WHEN 7 THEN concat('<a href="/news', page_id, '.rss">news</a></body>') ELSE '</body>' END"""
+    )
+    body = (
+        F.when(F.expr("page_id % 8 = 0"), F.lit("<rss version='2.0'><channel/></rss>"))
+        .when(F.expr("page_id % 8 = 6"), F.lit(None))
+        .otherwise(F.replace(F.replace(F.col("html"), F.lit("</head>"), head), F.lit("</body>"), foot))
+    )
+    pages = table(spark, sf, "pages")
+    site = "regexp_extract(url, '^[a-z]+://[^/?#]*', 0)"
+    folder = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '^.*/', 0)"
+    feed_url = F.expr(
+        f"""CASE page_id % 8
+        WHEN 1 THEN array(concat({site}, '/f', page_id, '.xml'))
+        WHEN 2 THEN array(concat({site}, '/news', page_id, '.rss'))
+        WHEN 3 THEN array(concat('http://feeds.example.com/feed', page_id % 5))
+        WHEN 4 THEN array(concat({folder}, 'rss.xml'))
+        WHEN 7 THEN array(concat({site}, '/atom', page_id), concat({site}, '/news', page_id, '.rss')) END"""
+    )
+    feeds = pages.select(F.explode(feed_url).alias("url"), F.lit("<feed/>").alias("body"))
+    return pages.select("url", body.alias("body")).unionByName(feeds)
+
+
+def order_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """``(doc_id, doc)``: one JSON document per order."""
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.expr(
+            """concat('{"cents":', cast(round(o_totalprice * 100) as bigint), ',"codes":[', o_custkey, ',', o_orderkey,
+            '],"id":', o_orderkey, ',"owner":{"id":', o_custkey, ',"rank":"', o_orderpriority, '"},"state":"',
+            o_orderstatus, '"}')"""
+        ).alias("doc"),
+    )
+
+
+def changed_order_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents a version later: equal, or changed in one of four ways."""
+    owner = """'{"id":', o_custkey, ',"rank":"', o_orderpriority, '"}'"""
+    cents = "cast(round(o_totalprice * 100) as bigint)"
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.expr(
+            f"""CASE o_orderkey % 5
+            WHEN 0 THEN concat('{{"cents":', {cents}, ',"codes":[', o_custkey, ',', o_orderkey, '],"id":', o_orderkey,
+              ',"owner":', {owner}, ',"state":"', o_orderstatus, '"}}')
+            WHEN 1 THEN concat('{{"cents":', {cents}, '.0,"codes":[', o_custkey, ',', o_orderkey, '],"id":', o_orderkey,
+              ',"owner":', {owner}, ',"state":"Z"}}')
+            WHEN 2 THEN concat('{{"buyer":', {owner}, ',"cents":', {cents}, ',"codes":[', o_custkey, ',', o_orderkey,
+              '],"id":', o_orderkey, ',"state":"', o_orderstatus, '"}}')
+            WHEN 3 THEN concat('{{"cents":', {cents}, ',"codes":[', o_custkey, ',', o_orderkey, ',1,{{"a/b":2}}],"id":',
+              o_orderkey, ',"owner":', {owner}, ',"state":"', o_orderstatus, '"}}')
+            ELSE concat('{{"cents":[', {cents}, '],"codes":[-1],"id":', o_orderkey, ',"last":', o_orderkey,
+              ',"note":null,"owner":{{"id":', o_custkey, '}},"state":"', o_orderstatus, '"}}') END"""
+        ).alias("doc"),
+    )
+
+
+def numbered_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items with ``n``, their place in the order (line numbers repeat)."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf, "lineitem").withColumn("n", F.row_number().over(order))
+
+
+def member_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A flat change log: the line items of each order, as operations on its document.
+
+    ``/line<n>`` is added; a returned line is removed again; ``/state`` is replaced by
+    the line status. Orders ending in 7 also replace a member they lack.
+    """
+    lines = numbered_lines(spark, sf)
+    seq = "(n - 1) * 3"
+    op = "struct({0} AS seq, {1} AS op, {2} AS path, cast(null as string) AS `from`, {3} AS value)"
+    added = op.format(f"{seq} + 1", "'add'", "concat('/line', n)", "cast(l_partkey as string)")
+    removed = op.format(f"{seq} + 2", "'remove'", "concat('/line', n)", "cast(null as string)")
+    state = op.format(f"{seq} + 3", "'replace'", "'/state'", "concat('\"', l_linestatus, '\"')")
+    absent = op.format(f"{seq} + 2", "'replace'", "'/absent'", "'1'")
+    ops = F.expr(
+        f"array_compact(array({added}, if(l_returnflag = 'R', {removed}, if(l_orderkey % 10 = 7, {absent}, null)), {state}))"
+    )
+    return lines.select(F.col("l_orderkey").alias("doc_id"), F.explode(ops).alias("o")).select("doc_id", "o.*")
+
+
+def mixed_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log of all six operations per order; every eleventh order fails its last test."""
+    steps = [
+        ("'add'", "'/codes/1'", "null", "'5'"),
+        ("'add'", "'/codes/-'", "null", "'{\"x\":[1]}'"),
+        ("'copy'", "'/first'", "'/codes/0'", "null"),
+        ("'move'", "'/buyer'", "'/owner'", "null"),
+        ("'remove'", "'/codes/0'", "null", "null"),
+        ("'replace'", "'/buyer/rank'", "null", "'null'"),
+        ("'test'", "'/id'", "null", "if(o_orderkey % 11 = 0, '-1', cast(o_orderkey as string))"),
+    ]
+    ops = ", ".join(
+        f"struct({i} AS seq, {o} AS op, {p} AS path, cast({f} as string) AS `from`, cast({v} as string) AS value)"
+        for i, (o, p, f, v) in enumerate(steps, 1)
+    )
+    return (
+        table(spark, sf, "orders")
+        .select(F.col("o_orderkey").alias("doc_id"), F.explode(F.expr(f"array({ops})")).alias("o"))
+        .select("doc_id", "o.*")
+    )
+
+
+def page_chunks(spark: SparkSession, sf: str, size: int = 499) -> DataFrame:
+    """``(page_id, seq, chunk, is_last)``: every page cut into pieces."""
+    count = f"cast(ceil(length(html) / {size}) as bigint)"
+    pieces = F.expr(f"transform(sequence(0L, {count} - 1), i -> substring(html, cast(i * {size} + 1 as int), {size}))")
+    return (
+        table(spark, sf, "pages")
+        .select("page_id", F.expr(count).alias("n"), F.posexplode(pieces).alias("seq", "chunk"))
+        .select("page_id", F.col("seq").cast("bigint").alias("seq"), "chunk", F.expr("seq = n - 1").alias("is_last"))
+    )

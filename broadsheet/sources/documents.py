@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_json_docs(docs: DataFrame, doc: str = "doc", merge_duplicates: bool = False) -> DataFrame:
@@ -24,7 +25,7 @@ def read_json_docs(docs: DataFrame, doc: str = "doc", merge_duplicates: bool = F
     return docs.withColumn(doc, F.coalesce(parsed, F.try_parse_json(_merge_duplicates(retry))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _merge_duplicates(texts: pd.Series) -> pd.Series:
     def merged(pairs):
         found: dict[str, list] = {}

@@ -55,9 +55,9 @@ def parse_feeds(feeds: DataFrame, url: str = "feed_url", xml: str = "xml") -> Da
 
 
 def malformed_feeds(feeds: DataFrame, url: str = "feed_url", xml: str = "xml") -> DataFrame:
-    """Feeds whose text is not well formed."""
-    parsed = F.from_xml(F.col(xml), _FEED, {**_OPTIONS, "mode": "PERMISSIVE"})
-    return feeds.filter(parsed.isNull()).select(url)
+    """Feeds without text, or whose text is not well formed."""
+    parsed = F.from_xml(F.col(xml), f"{_FEED}, _corrupt_record string", {**_OPTIONS, "mode": "PERMISSIVE"})
+    return feeds.filter(parsed.isNull() | parsed["_corrupt_record"].isNotNull()).select(url)
 
 
 def feed_files(spark: SparkSession, path: str) -> DataFrame:
