@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from broadsheet.functions.binding import let
+
 # The characters that count as white space at the ends of a text.
 WHITE_SPACE = (
     r"\t\n\x0B\f\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -57,7 +59,7 @@ def decode_references(text: Column, entities: dict[str, str] | None = None) -> C
 def extract_title(html: Column) -> Column:
     """Text of the first ``<title>``, decoded and stripped; ``''`` if there is none."""
     raw = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return strip_all(decode_references(raw))
+    return strip_all(let(raw, lambda t: decode_references(t)))
 
 
 def extract_text(html: Column) -> Column:
@@ -69,15 +71,18 @@ def extract_text(html: Column) -> Column:
     bare = F.regexp_replace(
         html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", ""
     )
-    article = F.regexp_extract(bare, r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)", 1)
-    body = F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    outer = F.regexp_replace(
-        F.when(bare.rlike(r"(?i)<body\b"), body).otherwise(bare),
-        r"(?is)<nav\b.*?</nav\s*>|<header\b.*?</header\s*>|<footer\b.*?</footer\s*>|<aside\b.*?</aside\s*>",
-        "",
-    )
-    region = F.when(bare.rlike(r"(?i)<article\b"), article).otherwise(outer)
-    lines = F.regexp_replace(region, r"(?i)</p\s*>|<br\s*/?>|</h[1-6]\s*>|</li\s*>", "\n")
-    plain = decode_references(F.regexp_replace(lines, r"<[^>]*>", ""))
+
+    def region(page: Column) -> Column:
+        article = F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)", 1)
+        body = F.regexp_extract(page, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
+        outer = F.regexp_replace(
+            F.when(page.rlike(r"(?i)<body\b"), body).otherwise(page),
+            r"(?is)<nav\b.*?</nav\s*>|<header\b.*?</header\s*>|<footer\b.*?</footer\s*>|<aside\b.*?</aside\s*>",
+            "",
+        )
+        return F.when(page.rlike(r"(?i)<article\b"), article).otherwise(outer)
+
+    lines = F.regexp_replace(let(bare, region), r"(?i)</p\s*>|<br\s*/?>|</h[1-6]\s*>|</li\s*>", "\n")
+    plain = let(F.regexp_replace(lines, r"<[^>]*>", ""), lambda t: decode_references(t))
     tidy = F.regexp_replace(F.regexp_replace(plain, BLANKS, " "), r" ?\n[ \n]*", "\n")
     return strip_all(tidy)

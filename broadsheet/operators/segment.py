@@ -112,14 +112,13 @@ def _with_edge_chars(weights: DataFrame) -> DataFrame:
     """Weight keys with edges as single characters. An edge name shows in a key that is
     longer than the number of its items."""
     items = F.when(F.col("feature").startswith("U"), 1).when(F.col("feature").startswith("B"), 2).otherwise(3)
-    shown = F.col("key")
     before, after = f"^([{_BEFORE}]*)", f"([{_AFTER}]*)$"
+    shown = F.col("key")
     for name in EDGES[:3]:
-        put = F.regexp_replace(shown, before + name, "$1" + _EDGE_CHARS[name])
-        shown = F.when(F.length(shown) > items, put).otherwise(shown)
+        shown = F.regexp_replace(shown, before + name, "$1" + _EDGE_CHARS[name])
     for name in reversed(EDGES[3:]):
-        put = F.regexp_replace(shown, name + after, _EDGE_CHARS[name] + "$1")
-        shown = F.when(F.length(shown) > items, put).otherwise(shown)
+        shown = F.regexp_replace(shown, name + after, _EDGE_CHARS[name] + "$1")
+    shown = F.when(F.length("key") > items, shown).otherwise(F.col("key"))
     is_char = F.col("feature").isin(list(CHARACTER_FEATURES))
     return weights.withColumn("key", F.when(is_char, shown).otherwise(F.col("key")))
 
