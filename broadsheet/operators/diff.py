@@ -11,11 +11,19 @@ from pyspark.sql.window import Window
 
 from broadsheet.functions import pointers as P
 from broadsheet.functions import variants as V
+from broadsheet.functions.binding import let
 from broadsheet.operators.documents import MAX_DEPTH, element_key, flatten_docs, member_key
 from broadsheet.session import cut_lineage
 
 
-def _pair(path: Column, parent: Column, sort_key: Column, at: Column, cut: Column, s: Column, d: Column) -> Column:
+_PAIR = (
+    "struct<path:string,parent:string,sort_key:string,at:int,cut:int,s:variant,d:variant,done:boolean>"
+)
+
+
+def _pair(
+    path: Column, parent: Column, sort_key: Column, at: Column, cut: Column, s: Column, d: Column, done: bool = False
+) -> Column:
     return F.struct(
         path.alias("path"),
         parent.alias("parent"),
@@ -24,6 +32,7 @@ def _pair(path: Column, parent: Column, sort_key: Column, at: Column, cut: Colum
         cut.cast("int").alias("cut"),
         s.alias("s"),
         d.alias("d"),
+        F.lit(done).alias("done"),
     )
 
 
@@ -39,37 +48,23 @@ def _changed(s: Column, d: Column) -> Column:
     return (holder & mixed) | ~V.same_value(s, d)
 
 
-def snapshot_ops(
-    src: DataFrame, dst: DataFrame, key: str = "doc_id", doc: str = "doc", max_depth: int = MAX_DEPTH
-) -> DataFrame:
-    """Unordered operations ``(key, op, path, parent, sort_key, at, cut, old, value)``.
-
-    ``doc`` is JSON text on both sides; documents with equal text are dropped
-    first. One join brings the two versions of a document together; they are then
-    walked in step, level by level, within the row. Both a container: its children
-    are paired. Anything else is an operation, or nothing when the values agree.
-    ``at`` is the index of a list element, ``cut`` the length of the shorter list.
-    """
-    left = src.select(key, F.col(doc).alias("s_text"))
-    right = dst.select(key, F.col(doc).alias("d_text"))
-    both = left.join(right, key).filter("s_text <> d_text")
-    none = F.lit(None).cast("string")
-    rows = both.select(
-        key,
-        _pair(
-            F.lit(""), none, F.lit(""), F.lit(None), F.lit(None),
-            F.try_parse_json("s_text"), F.try_parse_json("d_text"),
-        ).alias("p"),
+def _opened(p: Column) -> Column:
+    """A pair as an array: its paired children, itself as a found change, or nothing."""
+    sides = F.struct(
+        V.members(p["s"]).alias("s_map"),
+        V.members(p["d"]).alias("d_map"),
+        V.elements(p["s"]).alias("s_arr"),
+        V.elements(p["d"]).alias("d_arr"),
     )
-    for _ in range(max_depth):
-        p = F.col("p")
-        inside = F.concat(p["path"], F.lit("/"))
-        s_map, d_map = V.members(p["s"]), V.members(p["d"])
-        s_arr, d_arr = V.elements(p["s"]), V.elements(p["d"])
-        in_both = s_map.isNotNull() & d_map.isNotNull()
-        no_int = F.lit(None)
+    inside = F.concat(p["path"], F.lit("/"))
+    no_int = F.lit(None)
+    change = _pair(p["path"], p["parent"], p["sort_key"], p["at"], p["cut"], p["s"], p["d"], True)
+
+    def walk(v: Column) -> Column:
         by_name = F.transform(
-            F.map_entries(F.map_zip_with(s_map, d_map, lambda _, a, b: F.struct(a.alias("a"), b.alias("b")))),
+            F.map_entries(
+                F.map_zip_with(v["s_map"], v["d_map"], lambda _, a, b: F.struct(a.alias("a"), b.alias("b")))
+            ),
             lambda e: _pair(
                 F.concat(inside, P.escape_part(e["key"])),
                 p["path"],
@@ -80,9 +75,9 @@ def snapshot_ops(
                 e["value"]["b"],
             ),
         )
-        cut = F.least(F.size(s_arr), F.size(d_arr))
+        cut = F.least(F.size(v["s_arr"]), F.size(v["d_arr"]))
         by_index = F.transform(
-            F.zip_with(s_arr, d_arr, lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+            F.zip_with(v["s_arr"], v["d_arr"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
             lambda x, i: _pair(
                 F.concat(inside, i.cast("string")),
                 p["path"],
@@ -93,16 +88,37 @@ def snapshot_ops(
                 x["b"],
             ),
         )
-        children = F.when(in_both, by_name).when(
-            s_arr.isNotNull() & d_arr.isNotNull(), by_index
-        )
-        # A pair that cannot be opened stays as it is, a pair of equal scalars is dropped.
-        stays = F.when(
-            p["s"].isNull() | p["d"].isNull() | _changed(p["s"], p["d"]), F.array(p)
-        )
-        rows = rows.select(
-            key, F.explode(F.when(children.isNull(), stays).otherwise(children)).alias("p")
-        )
+        nothing = F.array().cast(f"array<{_PAIR}>")
+        differs = p["s"].isNull() | p["d"].isNull() | _changed(p["s"], p["d"])
+        return F.coalesce(by_name, by_index, F.when(differs, F.array(change)).otherwise(nothing))
+
+    return F.when(p["done"], F.array(p)).otherwise(let(sides, walk))
+
+
+def snapshot_ops(
+    src: DataFrame, dst: DataFrame, key: str = "doc_id", doc: str = "doc", max_depth: int = MAX_DEPTH
+) -> DataFrame:
+    """Unordered operations ``(key, op, path, parent, sort_key, at, cut, old, value)``.
+
+    ``doc`` is JSON text on both sides; documents with equal text are dropped
+    first. One join brings the two versions of a document together; they are then
+    walked in step, level by level, within the row. Both a container: its children
+    are paired. Anything else is an operation, or nothing when the values agree.
+    ``at`` is the index of a list element, ``cut`` the length of the shorter list.
+    """
+    left = src.select(key, F.col(doc).alias("s_text"))
+    right = dst.select(key, F.col(doc).alias("d_text"))
+    both = left.join(right, key).filter("s_text <> d_text")
+    none = F.lit(None).cast("string")
+    rows = both.select(
+        key,
+        _pair(
+            F.lit(""), none, F.lit(""), F.lit(None), F.lit(None),
+            F.try_parse_json("s_text"), F.try_parse_json("d_text"),
+        ).alias("p"),
+    )
+    for _ in range(max_depth):
+        rows = rows.select(key, F.explode(let(F.col("p"), _opened)).alias("p"))
     s, d = F.col("p.s"), F.col("p.d")
     op = (
         F.when(s.isNull() & d.isNull(), F.lit(None))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import pointers as P
 from broadsheet.functions import variants as V
+from broadsheet.functions.binding import let
 
 MAX_DEPTH = 8
 
+_NODE = "struct<path:string,parent:string,sort_key:string,value:variant,open:boolean>"
+
 
 def _node(path: Column, parent: Column, sort_key: Column, value: Column, at_edge: Column) -> Column:
     return F.struct(
@@ -31,6 +34,36 @@ def element_key(index: Column) -> Column:
     return F.concat(F.lit("\x01"), F.lpad(index.cast("string"), 12, "0"))
 
 
+def _opened(node: Column) -> Column:
+    """A node as an array: itself, and its children when it is an open container."""
+    inside = F.concat(node["path"], F.lit("/"))
+    edge = F.when(node["open"], node["value"])
+    by_name = F.transform(
+        F.map_entries(V.members(edge)),
+        lambda e: _node(
+            F.concat(inside, P.escape_part(e["key"])),
+            node["path"],
+            F.concat(node["sort_key"], member_key(e["key"])),
+            e["value"],
+            F.lit(True),
+        ),
+    )
+    by_index = F.transform(
+        V.elements(edge),
+        lambda x, i: _node(
+            F.concat(inside, i.cast("string")),
+            node["path"],
+            F.concat(node["sort_key"], element_key(i)),
+            x,
+            F.lit(True),
+        ),
+    )
+    # A scalar, or a container opened at an earlier level, has no children here.
+    itself = F.array(_node(node["path"], node["parent"], node["sort_key"], node["value"], F.lit(False)))
+    children = F.coalesce(by_name, by_index, F.array().cast(f"array<{_NODE}>"))
+    return F.when(node["open"], F.concat(itself, children)).otherwise(F.array(node))
+
+
 def flatten_docs(
     docs: DataFrame, key: str = "doc_id", doc: str = "doc", max_depth: int = MAX_DEPTH
 ) -> DataFrame:
@@ -45,39 +78,7 @@ def flatten_docs(
         key, _node(F.lit(""), no_parent, F.lit(""), F.col(doc), F.lit(True)).alias("node")
     )
     for _ in range(max_depth):
-        node = F.col("node")
-        inside = F.concat(node["path"], F.lit("/"))
-        edge = F.when(node["open"], node["value"])
-        by_name = F.transform(
-            F.map_entries(V.members(edge)),
-            lambda e: _node(
-                F.concat(inside, P.escape_part(e["key"])),
-                node["path"],
-                F.concat(node["sort_key"], member_key(e["key"])),
-                e["value"],
-                F.lit(True),
-            ),
-        )
-        by_index = F.transform(
-            V.elements(edge),
-            lambda x, i: _node(
-                F.concat(inside, i.cast("string")),
-                node["path"],
-                F.concat(node["sort_key"], element_key(i)),
-                x,
-                F.lit(True),
-            ),
-        )
-        children = F.coalesce(by_name, by_index)
-        itself = F.array(
-            _node(node["path"], node["parent"], node["sort_key"], node["value"], F.lit(False))
-        )
-        rows = rows.select(
-            key,
-            F.explode(
-                F.when(children.isNull(), itself).otherwise(F.concat(itself, children))
-            ).alias("node"),
-        )
+        rows = rows.select(key, F.explode(let(F.col("node"), _opened)).alias("node"))
     kind = V.kind(F.col("node.value"))
     deep = F.col("node.open") & kind.isin("object", "list")
     return rows.select(

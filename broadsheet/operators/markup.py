@@ -294,7 +294,7 @@ def reassemble_chunks(
     chunks: DataFrame, key: str = "doc_id", seq: str = "seq", chunk: str = "chunk"
 ) -> DataFrame:
     """``(key, html)`` from pieces of a text; one group is one document."""
-    pieces = F.array_sort(F.collect_list(F.struct(seq, chunk)))
+    pieces = F.sort_array(F.collect_list(F.struct(seq, chunk)))
     return chunks.groupBy(key).agg(F.array_join(F.transform(pieces, lambda p: p[chunk]), "").alias("html"))
 
 

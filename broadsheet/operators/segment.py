@@ -159,7 +159,7 @@ def text_positions(docs: DataFrame, key: str = "doc_id", text: str = "text", *ex
 def _ngram_table(weights: DataFrame, n: int, rename) -> DataFrame:
     """``(key, g0..g5)``: the weights of each n-gram by the gap it contributes to."""
     sums = [
-        F.sum(F.when(F.col("feature") == rename(f), F.col("weight"))).alias(_at(o))
+        F.sum(F.when(F.col("feature") == rename(f), F.col("weight"))).cast("int").alias(_at(o))
         for o, f in NGRAM_FEATURES[n].items()
     ]
     wanted = [rename(f) for f in NGRAM_FEATURES[n].values()]
@@ -246,7 +246,7 @@ def segment_history_scores(weights: DataFrame) -> DataFrame:
         .groupBy("c4", "state")
         .agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("int").alias("score"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("state", "score")))
+    ordered = F.sort_array(F.collect_list(F.struct("state", "score")))
     return summed.groupBy("c4").agg(F.transform(ordered, lambda s: s["score"]).alias("scores"))
 
 
@@ -293,7 +293,7 @@ def segment(
     placed = docs.select(key, F.col(text).alias("text")).repartition(key)
     scored = segment_static_scores(placed, weights, key, "text", max_broadcast_rows)
     masks = decision_masks(scored, segment_history_scores(weights))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "mask"))), lambda g: g["mask"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "mask"))), lambda g: g["mask"])
     decided = masks.groupBy(key).agg(ordered.alias("masks")).select(
         key, decide_boundaries(F.col("masks")).alias("splits")
     )

@@ -61,7 +61,7 @@ def fit_prototypes(vectors: DataFrame, label: str = "label", vector: str = "embe
         .groupBy("label", "at")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("at", "x")))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "x")))
     return means.groupBy("label").agg(F.transform(ordered, lambda p: p["x"]).alias("prototype"))
 
 
@@ -74,7 +74,7 @@ def prototype_scorer(key: str, vector: str, prototypes: DataFrame) -> Scorer:
     """
     model = prototypes.agg(
         F.when(
-            F.count(F.lit(1)) <= MAX_LABELS, F.array_sort(F.collect_list(F.struct("label", "prototype")))
+            F.count(F.lit(1)) <= MAX_LABELS, F.sort_array(F.collect_list(F.struct("label", "prototype")))
         )
         .otherwise(F.raise_error(F.lit("too many labels for a prototype model")))
         .alias("model")

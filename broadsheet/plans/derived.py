@@ -45,7 +45,7 @@ def feed_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
     feed = F.expr("concat('http://feeds.example.org/', page_id div 20)").alias("feed_url")
     items = table(spark, sf, "pages").select(feed, "page_id", item.alias("item"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "item"))), lambda i: i["item"]), "")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", "item"))), lambda i: i["item"]), "")
     return items.groupBy("feed_url").agg(
         F.concat(F.lit('<rss version="2.0"><channel>'), body, F.lit("</channel></rss>")).alias("xml")
     )
@@ -67,7 +67,7 @@ def edge_pages(spark: SparkSession, sf: str) -> DataFrame:
         "concat('<I CLASS=x data-n=''', page_id, ''' hidden>&#65;&#300;&lt <u><></u></></b></q>"
         "<?note ', page_id, '></article>')"
     )
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", F.expr(f"replace(html, '</article>', {rare})").alias("html")
     )
 
@@ -91,7 +91,7 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.expr("page_id % 8 = 6"), F.lit(None))
         .otherwise(F.replace(F.replace(F.col("html"), F.lit("</head>"), head), F.lit("</body>"), foot))
     )
-    pages = table(spark, sf, "pages")
+    pages = spread(table(spark, sf, "pages"))
     site = "regexp_extract(url, '^[a-z]+://[^/?#]*', 0)"
     folder = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '^.*/', 0)"
     feed_url = F.expr(
@@ -108,7 +108,7 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
 
 def order_docs(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, doc)``: one JSON document per order."""
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("doc_id"),
         F.expr(
             """concat('{"cents":', cast(round(o_totalprice * 100) as bigint), ',"codes":[', o_custkey, ',', o_orderkey,
@@ -122,7 +122,7 @@ def changed_order_docs(spark: SparkSession, sf: str) -> DataFrame:
     """The same documents a version later: equal, or changed in one of four ways."""
     owner = """'{"id":', o_custkey, ',"rank":"', o_orderpriority, '"}'"""
     cents = "cast(round(o_totalprice * 100) as bigint)"
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("doc_id"),
         F.expr(
             f"""CASE o_orderkey % 5

@@ -59,7 +59,7 @@ def fetch_status(spark, sf):
 @query
 def article_text(spark, sf):
     html = F.col("html")
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", extract_title(html).alias("title"), extract_text(html).alias("text")
     )
 
@@ -70,7 +70,7 @@ def _profiles(spark, sf):
 
 def _normalized(spark, sf):
     profiles = cut_lineage(_profiles(spark, sf))
-    return A.normalize_articles(X.page_items(spark, sf), table(spark, sf, "pages"), profiles)
+    return A.normalize_articles(X.page_items(spark, sf), spread(table(spark, sf, "pages")), profiles)
 
 
 @query
@@ -127,7 +127,7 @@ def topic_by_tokens(spark, sf):
     seeds = T.topic_labels(spark).select(
         "ord", "label", F.posexplode(F.split(words[F.col("label")], " ")).alias("at", "word")
     ).select("ord", "label", "word", (F.lit(3) - F.col("at")).alias("weight"))
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return T.classify_topic(docs, "doc_id", T.token_scorer("doc_id", "text", seeds))
 
 

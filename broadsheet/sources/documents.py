@@ -60,7 +60,7 @@ def patch_to_json(changes: DataFrame, key: str = "doc_id") -> DataFrame:
 
     fields = F.array(text("op"), text("path"), text("from"), F.concat(F.lit('"value":'), F.to_json("value")))
     one = F.concat(F.lit("{"), F.array_join(F.array_compact(fields), ","), F.lit("}"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", one.alias("json"))))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", one.alias("json"))))
     joined = F.array_join(F.transform(ordered, lambda o: o["json"]), ",")
     return changes.groupBy(key).agg(F.concat(F.lit("["), joined, F.lit("]")).alias("patch"))
 
