@@ -221,7 +221,10 @@ def _apply_in_order(docs: DataFrame, changes: DataFrame, key: str, operations: d
         none.cast(dict(changes.dtypes)["value"]).alias("value"),
         "text",
     )
-    events = log.unionByName(base).repartition(key).sortWithinPartitions(key, "seq")
+    # The window brings each document together in order, base row first. A plain
+    # repartition would not do: it asks for a layout that a later re-plan may undo.
+    turn = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
+    events = log.unionByName(base).withColumn("turn", turn)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = text = doc = failed = None
@@ -233,9 +236,9 @@ def _apply_in_order(docs: DataFrame, changes: DataFrame, key: str, operations: d
 
         for batch in batches:
             finished = []
-            columns = (batch[c] for c in (key, "seq", "op", "path", "from", "value", "text"))
-            for doc_id, seq, op, path, source, value, base_text in zip(*columns):
-                if seq == BASE_SEQ:
+            columns = (batch[c] for c in (key, "seq", "op", "path", "from", "value", "text", "turn"))
+            for doc_id, seq, op, path, source, value, base_text, turn in zip(*columns):
+                if turn == 1:
                     if started:
                         finished.append(result())
                     current, text, status, failed, started = doc_id, base_text, "ok", None, True

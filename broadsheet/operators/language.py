@@ -14,7 +14,7 @@ FLOOR = 1e-6
 def trigrams(text: Column) -> Column:
     """All overlapping trigrams of the whole text, found in one pass over it."""
     padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
-    return F.regexp_extract_all(padded, F.lit("(?s)(?=(...))"), F.lit(1))
+    return F.regexp_extract_all(padded, F.lit("(?s)(?=(...))."), F.lit(1))
 
 
 def fit_language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -54,7 +54,7 @@ STATES = ["UUU"] + ["UU" + a for a in "BO"] + ["U" + a + b for a in "BO" for b i
 
 def _windows(padded: Column, width: int) -> Column:
     """All runs of ``width`` characters, in one pass over the text."""
-    return F.regexp_extract_all(padded, F.lit("(?s)(?=(.{%d}))" % width), F.lit(1))
+    return F.regexp_extract_all(padded, F.lit("(?s)(?=(.{%d}))." % width), F.lit(1))
 
 
 def gap_windows(text: Column) -> Column:
@@ -113,12 +113,15 @@ def _with_edge_chars(weights: DataFrame) -> DataFrame:
     longer than the number of its items."""
     items = F.when(F.col("feature").startswith("U"), 1).when(F.col("feature").startswith("B"), 2).otherwise(3)
     before, after = f"^([{_BEFORE}]*)", f"([{_AFTER}]*)$"
-    shown = F.col("key")
+    left = right = F.col("key")
     for name in EDGES[:3]:
-        shown = F.regexp_replace(shown, before + name, "$1" + _EDGE_CHARS[name])
+        left = F.regexp_replace(left, before + name, "$1" + _EDGE_CHARS[name])
     for name in reversed(EDGES[3:]):
-        shown = F.regexp_replace(shown, name + after, _EDGE_CHARS[name] + "$1")
-    shown = F.when(F.length("key") > items, shown).otherwise(F.col("key"))
+        right = F.regexp_replace(right, name + after, _EDGE_CHARS[name] + "$1")
+    # A feature reaches over one end of the text only.
+    over = F.length("key") > items
+    looks_left = F.col("feature").isin("UW1", "UW2", "UW3", "BW1", "TW1", "TW2")
+    shown = F.when(over & looks_left, left).when(over, right).otherwise(F.col("key"))
     is_char = F.col("feature").isin(list(CHARACTER_FEATURES))
     return weights.withColumn("key", F.when(is_char, shown).otherwise(F.col("key")))
 
