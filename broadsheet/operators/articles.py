@@ -14,7 +14,11 @@ def project_item(items: DataFrame) -> DataFrame:
 
 
 def fetch_pages(items: DataFrame, pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Items with the page they link to; ``fetch_status`` is ok or failed."""
+    """Items with the page they link to; ``fetch_status`` is ok or failed.
+
+    ``pages`` holds one row per URL. Project it first to what is needed of a page:
+    whatever ``html`` holds is shuffled. ``extract_pages`` resolves copies.
+    """
     crawl = pages.select(F.col(url).alias("link"), F.col(html).alias("html"))
     return items.join(crawl, "link", "left").withColumn(
         "fetch_status", F.when(F.col("html").isNull(), "failed").otherwise("ok")

@@ -43,7 +43,11 @@ def error_status(error: Column) -> Column:
 
 
 def order_changes(changes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, ops)``: the operations of each document in order, for logs of moderate length."""
+    """``(key, ops)``: the operations of each document in order, as one array.
+
+    A patch in this form is one value, so it must fit in a row. ``apply_changes``
+    does not need it and takes logs of any length.
+    """
     ops = F.struct("seq", "op", "path", "from", "value")
     # VARIANT has no order, so only the position decides.
     by_seq = F.array_sort(F.collect_list(ops), lambda a, b: F.signum(a["seq"] - b["seq"]).cast("int"))

@@ -144,7 +144,7 @@ def _at(offset: int) -> str:
     return f"g{offset + 2}"
 
 
-def text_positions(docs: DataFrame, key: str = "doc_id", text: str = "text", *extra: Column) -> DataFrame:
+def text_positions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, at, t, c)``: the three characters from each place of the padded text, and their classes.
 
     ``at`` is the character number; the edges lie at -3 to -1 and after the end.
@@ -152,10 +152,10 @@ def text_positions(docs: DataFrame, key: str = "doc_id", text: str = "text", *ex
     padded = F.concat(F.lit(_BEFORE), F.col(text), F.lit(_AFTER + _AFTER[:2]))
     t = _windows(padded, 3)
     c = _windows(F.concat(F.lit("OOO"), class_string(F.col(text)), F.lit("OOOOO")), 3)
-    rows = F.zip_with(t, c, lambda a, b: F.struct(a.alias("t"), b.alias("c")))
+    rows = F.arrays_zip(t, c)
     used = docs.filter(F.length(text) > 0)
-    return used.select(key, *extra, F.posexplode(rows).alias("i", "r")).select(
-        key, (F.col("i") - 3).alias("at"), "r.t", "r.c", *[e for e in extra]
+    return used.select(key, F.posexplode(rows).alias("i", "r")).select(
+        key, (F.col("i") - 3).alias("at"), F.col("r.0").alias("t"), F.col("r.1").alias("c")
     )
 
 
@@ -313,34 +313,22 @@ def segment(
 
 def boundary_marks(text: Column) -> Column:
     """B or O per gap of a text whose words are set apart by blanks, as one string."""
-    before = F.regexp_extract_all(F.trim(text), F.lit("(?s)( *)[^ ]"), F.lit(1))
-    gaps = F.slice(before, F.lit(2), F.greatest(F.size(before) - 1, F.lit(0)))
-    return F.array_join(F.transform(gaps, lambda x: F.when(x == "", "O").otherwise("B")), "")
+    marks = F.regexp_replace(F.regexp_replace(F.trim(text), "[^ ]", "O"), " +O", "B")
+    return F.substring(marks, F.lit(2), F.length(marks))
 
 
-def training_windows(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, pos, w, c, p, b)`` of a corpus whose words are set apart by blanks.
-
-    ``b`` is B at the start of a word, else O; ``p`` are the three decisions before.
-    """
-    marks = boundary_marks(F.col(text))
-    history = _windows(F.concat(F.lit("UUU"), marks), 3)
-    windows = gap_windows(F.replace(F.col(text), F.lit(" "), F.lit("")))
-    steps = F.zip_with(history, F.split(marks, ""), lambda p, b: F.struct(p.alias("p"), b.alias("b")))
-    rows = F.zip_with(
-        windows,
-        steps,
-        lambda g, s: F.struct(g["w"].alias("w"), g["c"].alias("c"), s["p"].alias("p"), s["b"].alias("b")),
-    )
-    return corpus.select(key, F.posexplode(rows).alias("at", "r")).select(
-        key, (F.col("at") + 1).alias("pos"), "r.*"
-    ).filter("w IS NOT NULL")
-
-
-def _class_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
+def _class_counts(corpus: DataFrame, text: str) -> DataFrame:
     """Counts of class and decision features, from distinct windows (at most 7^6 * 15 * 2)."""
+    unspaced = F.replace(F.col(text), F.lit(" "), F.lit(""))
+    c = _windows(F.concat(F.lit("OOO"), class_string(unspaced), F.lit("OOO")), 6)
+    # The three decisions before each gap, and its own.
+    decisions = _windows(F.concat(F.lit("UUU"), boundary_marks(F.col(text))), 4)
+    gaps = F.slice(c, F.lit(2), F.greatest(F.size(c) - 2, F.lit(0)))
     distinct = (
-        training_windows(corpus, key, text).groupBy("c", "p", "b").agg(F.count(F.lit(1)).alias("n"))
+        corpus.select(F.explode(F.arrays_zip(gaps, decisions)).alias("r"))
+        .groupBy(F.col("r.0").alias("c"), F.col("r.1").alias("d"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("c", F.substring("d", 1, 3).alias("p"), F.substring("d", 4, 1).alias("b"), "n")
     )
     rows = distinct.select("b", "n", _feature_rows([*CLASS_FEATURES.items(), *HISTORY_FEATURES]).alias("f"))
     return rows.groupBy("f.feature", "f.key").agg(
@@ -349,20 +337,26 @@ def _class_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _character_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """Counts of character features. A place of the text gives three rows, one per n-gram;
-    each counts the marks of the six gaps around it at once."""
-    marks = boundary_marks(F.col(text))
-    around = _windows(F.concat(F.lit("X" * 6), marks, F.lit("X" * 6)), 6)
+def _character_counts(corpus: DataFrame, text: str) -> DataFrame:
+    """Counts of character features.
+
+    Triples of characters are counted with the marks of the six gaps around them
+    first; each distinct one then gives three n-grams and counts for all six gaps.
+    """
+    around = _windows(F.concat(F.lit("X" * 6), boundary_marks(F.col(text)), F.lit("X" * 6)), 6)
     unspaced = F.replace(F.col(text), F.lit(" "), F.lit(""))
     t = _windows(F.concat(F.lit(_BEFORE), unspaced, F.lit(_AFTER + _AFTER[:2])), 3)
-    rows = F.zip_with(t, around, lambda a, b: F.struct(a.alias("t"), b.alias("m")))
-    places = corpus.filter(F.length(unspaced) > 0).select(F.explode(rows).alias("r")).select("r.t", "r.m")
-    grams = places.select(
-        F.explode(F.array(*[F.substring("t", 1, n) for n in (1, 2, 3)])).alias("key"), "m"
+    distinct = (
+        corpus.filter(F.length(unspaced) > 0)
+        .select(F.explode(F.arrays_zip(t, around)).alias("r"))
+        .groupBy(F.col("r.0").alias("t"), F.col("r.1").alias("m"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    grams = distinct.select(
+        F.explode(F.array(*[F.substring("t", 1, n) for n in (1, 2, 3)])).alias("key"), "m", "n"
     )
     sums = [
-        F.sum(F.when(F.substring("m", o + 3, 1) == mark, 1).otherwise(0)).alias(f"{_at(o)}_{mark}")
+        F.sum(F.when(F.substring("m", o + 3, 1) == mark, F.col("n")).otherwise(0)).alias(f"{_at(o)}_{mark}")
         for o in OFFSETS
         for mark in "BO"
     ]
@@ -388,14 +382,14 @@ def _character_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def fit_segment_weights(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fit_segment_weights(corpus: DataFrame, text: str = "text") -> DataFrame:
     """``(feature, key, weight)`` from a corpus with blanks between words.
 
     A weight is the log odds of a boundary given the feature key, over the log odds
     of any boundary, times 100; the bias is the latter.
     """
-    by_class = cut_lineage(_class_counts(corpus, key, text))  # read three times below
-    counts = _character_counts(corpus, key, text).unionByName(by_class)
+    by_class = cut_lineage(_class_counts(corpus, text))  # read three times below
+    counts = _character_counts(corpus, text).unionByName(by_class)
     # A feature of one class sees every gap once.
     prior = by_class.filter("feature = 'UC1'").agg(
         F.sum("n_split").alias("all_split"), F.sum("n_kept").alias("all_kept")

@@ -52,8 +52,10 @@ def feed_items_roundtrip(spark, sf):
 
 @query
 def fetch_status(spark, sf):
-    fetched = A.fetch_pages(X.page_items(spark, sf), table(spark, sf, "pages"))
-    return fetched.select("link", "fetch_status", F.coalesce(F.length("html"), F.lit(0)).alias("n_chars"))
+    # Only the length of a page is wanted, so only that is joined.
+    sizes = table(spark, sf, "pages").select("url", F.length("html").alias("html"))
+    fetched = A.fetch_pages(X.page_items(spark, sf), sizes)
+    return fetched.select("link", "fetch_status", F.coalesce("html", F.lit(0)).alias("n_chars"))
 
 
 @query
@@ -575,6 +577,7 @@ def segment_concatenation(spark, sf):
 @query
 def file_status(spark, sf):
     """Requests for the table files themselves, in ten shapes, by every page."""
+    sf = sf.rstrip("/")
     shape = f"""CASE page_id % 10
         WHEN 0 THEN 'file://{sf}/pages.parquet' WHEN 1 THEN 'file://localhost{sf}/orders%2Eparquet'
         WHEN 2 THEN 'file://{sf}/nothing.parquet' WHEN 3 THEN 'file://host{sf}/pages.parquet'
