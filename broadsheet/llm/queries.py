@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, line_dedup
+from broadsheet.llm import exact_dedup, jaccard_join, line_dedup
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -30,3 +30,8 @@ def op5_line_dedup(spark, sf):
 @query
 def op7_exact_dedup(spark, sf):
     return exact_dedup.verdicts(_table(spark, sf, "documents"))
+
+
+@query
+def op1_jaccard_join(spark, sf):
+    return jaccard_join.similar_components(_table(spark, sf, "documents"))
