@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, jaccard_join, line_dedup
+from broadsheet.llm import decontaminate, exact_dedup, jaccard_join, line_dedup
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,3 +35,8 @@ def op7_exact_dedup(spark, sf):
 @query
 def op1_jaccard_join(spark, sf):
     return jaccard_join.similar_components(_table(spark, sf, "documents"))
+
+
+@query
+def op10_decontaminate(spark, sf):
+    return decontaminate.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
