@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Edits allowed for each code point of an item.
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 # Characters of items in one automaton.
 ROUND_CHARS = 8_000_000
 

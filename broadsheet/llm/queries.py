@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, exact_dedup, jaccard_join, line_dedup
+from broadsheet.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, toxicity
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -40,3 +40,8 @@ def op1_jaccard_join(spark, sf):
 @query
 def op10_decontaminate(spark, sf):
     return decontaminate.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+@query
+def op8_toxicity(spark, sf):
+    return toxicity.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))

@@ -55,15 +55,15 @@ class _Powers:
         return cls.up, cls.down
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte position of every word in UTF-8 bytes."""
-    space = _IS_SPACE[data]
+def word_hashes(data: np.ndarray, is_space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and end byte position of every word in UTF-8 bytes; ``is_space`` tells of each byte value."""
+    space = is_space[data]
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = _Powers.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[_LOWER[data]] * down[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64)), starts
+    return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
 def shingle_sets(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
@@ -83,7 +83,7 @@ def _block(parts: list[bytes]) -> Iterator[np.ndarray]:
     if not parts:
         return
     data = np.frombuffer(b" ".join(parts), np.uint8)
-    words, starts = word_hashes(data)
+    words, starts, _ = word_hashes(data)
     begins = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
     firsts = np.append(np.searchsorted(starts, begins), len(words))
     rolled = None
