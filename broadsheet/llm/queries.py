@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import decontaminate, exact_dedup, jaccard_join, line_dedup, toxicity
+from broadsheet.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, toxicity
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,3 +45,8 @@ def op10_decontaminate(spark, sf):
 @query
 def op8_toxicity(spark, sf):
     return toxicity.score(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query
+def op2_bpe(spark, sf):
+    return bpe.round_trip(_table(spark, sf, "documents"))
