@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, toxicity
+from broadsheet.llm import bpe, decontaminate, exact_dedup, jaccard_join, line_dedup, main_text, toxicity
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -50,3 +50,9 @@ def op8_toxicity(spark, sf):
 @query
 def op2_bpe(spark, sf):
     return bpe.round_trip(_table(spark, sf, "documents"))
+
+
+@query
+def op4_main_text(spark, sf):
+    pages = main_text.extract(_table(spark, sf, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
