@@ -32,3 +32,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
 """
+
+SQL["op9_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS said,
+    -- start, role, line feed, text with its escape signs, end and line feed
+    sum(12 + 1 + 10 + 1 + length(role) + length(text) + length(text) - length(replace(text, '\', ''))
+      + length(regexp_replace(text, '<(\|(im_start|im_end|br|endoftext|startoftext)\||/?s|</?SYS>)>|\[/?INST\]', '\0#', 'g')) - length(text)) AS formatted_chars
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
+FROM s
+"""
