@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.llm.shingles import slices
+
 # The pattern that byte-level vocabularies of this kind are made with: a fixed value.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words whose encodings are kept, and the longest that is.
@@ -44,7 +46,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _letters() -> dict[str, int]:
+def byte_of_letter() -> dict[str, int]:
     """The letter that stands for each byte in a vocabulary file: itself where printable, else one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -57,7 +59,7 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = _letters()
+        letters = byte_of_letter()
         names = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*names.values(), *self.special.values()]) + 1
@@ -210,7 +212,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(where)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 ids = bpe.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -225,19 +227,13 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(where)
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices(batch):
                 texts = [bpe.decode(x or b"") for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, f"doc_id {kind}, ids binary, text string")
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, which bounds what is held beside it."""
-    for a in range(0, batch.num_rows, rows):
-        yield batch.slice(a, rows)
-
-
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids and of the text they decode to."""
     rows = decode(encode(docs, doc_id, text, path), path=path)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.llm.components import connected_components
-from broadsheet.llm.shingles import mix, shingle_sets
+from broadsheet.llm.shingles import mix, shingle_sets, slices
 from broadsheet.session import cut_lineage
 
 # Similarity as a fraction of whole numbers.
@@ -95,7 +95,7 @@ def document_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = [(_set_id(s), len(s), _profile(s)) for s in shingle_sets(batch.column("text").to_pylist())]
             hashes, sizes, profiles = zip(*sets, strict=True) if sets else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -175,7 +175,7 @@ def _signature_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for s in shingle_sets(batch.column("text").to_pylist()):
                 held.append(s)
                 size += len(s) * 8

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, line_dedup, main_text, toxicity
+from broadsheet.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    line_dedup,
+    main_text,
+    token_counts,
+    toxicity,
+)
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,3 +75,8 @@ def op9_chat_format(spark, sf):
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     records = chat_format.rows_to_records(rows.unionByName(more))
     return chat_format.digests(chat_format.format_turns(chat_format.to_turns(records)))
+
+
+@query
+def op3_token_counts(spark, sf):
+    return token_counts.token_counts(_table(spark, sf, "documents"))

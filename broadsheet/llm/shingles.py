@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 SIZE = 5
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -66,6 +67,12 @@ def word_hashes(data: np.ndarray, is_space: np.ndarray = _IS_SPACE) -> tuple[np.
     return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, which bounds what is held beside it."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
 def shingle_sets(texts: Sequence[str | None]) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; NULL counts as empty."""
     block, size = [], 0
