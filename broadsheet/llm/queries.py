@@ -15,6 +15,7 @@ from broadsheet.llm import (
     jaccard_join,
     line_dedup,
     main_text,
+    secret_scan,
     token_counts,
     toxicity,
 )
@@ -80,3 +81,9 @@ def op9_chat_format(spark, sf):
 @query
 def op3_token_counts(spark, sf):
     return token_counts.token_counts(_table(spark, sf, "documents"))
+
+
+@query
+def op6_secret_scan(spark, sf):
+    found = secret_scan.scan(_table(spark, sf, "documents"))
+    return found.select("doc_id", "place", F.sha2("secret", 256).alias("secret_sha256"), "score")
