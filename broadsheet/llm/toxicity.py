@@ -32,16 +32,16 @@ from pyspark.sql import functions as F
 from broadsheet.llm.shingles import word_hashes
 
 # Bounds of the training sample, in documents.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 6, 6
-VOCABULARY, CHAR_BUCKETS = 500, 2048
-EPOCHS, RATE, BATCH, DECAY = 8, 0.01, 128, 1e-4
+VOCABULARY, CHAR_BUCKETS = 1000, 2048
+EPOCHS, MIN_STEPS, RATE, BATCH, DECAY = 8, 100, 0.015, 128, 1e-4
 THRESHOLD = 0.3
 # Windows that are scored together, and characters of texts that are cut into windows together.
 BLOCK, BLOCK_CHARS = 2048, 1_000_000
 # What an error on a toxic document costs against one on a clean document.
-TOXIC_WEIGHT = 3.0
+TOXIC_WEIGHT = 2.0
 # Share of the toxic labels of the sample that may be wrong.
 WRONG_LABELS = 0.1
 
@@ -84,16 +84,15 @@ def words_of(texts: list[str | None]) -> Words:
     starts, ends = starts[first], ends[first]
     sizes = ends - starts
     place = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum()) if len(found) else np.zeros(0, np.int64)
-    wide = data.astype(np.int64)
-    own = wide[place]
-    before = np.where(np.repeat(starts, sizes) == place, 60, wide[place - 1])
-    after = np.where(np.repeat(ends, sizes) == place + 1, 62, wide[np.minimum(place + 1, len(data) - 1)])
-    buckets = (before * 961 + own * 31 + after) % (CHAR_BUCKETS - 1) + 1
+    own = data[place].astype(np.int64)
+    before = np.where(np.repeat(starts, sizes) == place, 60, data[place - 1])
+    after = np.where(np.repeat(ends, sizes) == place + 1, 62, data[np.minimum(place + 1, len(data) - 1)])
+    buckets = (before.astype(np.int64) * 961 + own * 31 + after) % (CHAR_BUCKETS - 1) + 1
     return Words(
         np.concatenate(([np.uint64(0)], found)),
         np.concatenate(([0], buckets)),
         np.concatenate(([1], sizes)),
-        [number[a:b] + 1 for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+        [(number[a:b] + 1).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
     )
 
 
@@ -261,8 +260,8 @@ def _windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     local = np.array([x for s in starts for x in s], np.int64)
     place = local[:, None] + np.arange(WINDOW)
     mask = place < np.array(sizes, np.int64)[of][:, None] if len(of) else np.zeros((0, WINDOW), bool)
-    flat = np.concatenate([*texts, np.zeros(1, np.int64)])
-    rows = flat[np.where(mask, begins[of][:, None] + place, len(flat) - 1)] if len(of) else np.zeros((0, WINDOW), np.int64)
+    flat = np.concatenate([*texts, np.zeros(1, np.int32)])
+    rows = flat[np.where(mask, begins[of][:, None] + place, len(flat) - 1)] if len(of) else np.zeros((0, WINDOW), np.int32)
     return rows, mask, of
 
 
@@ -298,7 +297,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     count = np.diff(np.append(first, len(of)))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    # A small sample is gone through more often.
+    epochs = max(EPOCHS, -(-MIN_STEPS * BATCH // len(y)))
+    for epoch in range(epochs):
         logits = _logits(model.fast(model.inputs(words)), rows, mask)
         top = np.array([a + int(np.argmax(logits[a : a + n])) for a, n in zip(first, count, strict=True)])
         # The toxic documents that least look it are taken for wrong labels, once the model tells some.
@@ -308,7 +309,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
         picked = np.concatenate([top[trusted], other[y == 0]])
         target = np.concatenate([y[trusted], np.zeros(int((y == 0).sum()), np.float32)])
         order = rng.permutation(len(picked))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
             grad = model.gradients(words, rows[picked[some]], mask[picked[some]], target[some])
