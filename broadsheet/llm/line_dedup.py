@@ -164,18 +164,21 @@ def update_filters(filters: DataFrame | None, added: DataFrame, removed: DataFra
         """Sorted by shard and step, so that one filter is open at a time."""
         shard, bank = None, CuckooFilter()
         for batch in batches:
-            frame = batch.to_pandas()
-            for (number, step), part in frame.groupby(["shard", "step"], sort=True):
+            key = batch.column("shard").to_numpy(zero_copy_only=False) * 3 + batch.column("step").to_numpy(zero_copy_only=False)
+            h1 = batch.column("h1").fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)])) if len(key) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                number, step = divmod(int(key[a]), 3)
                 if number != shard:
                     if shard is not None:
                         yield _filter_row(shard, bank)
                     shard, bank = number, CuckooFilter()
                 if step == 0:
-                    bank = CuckooFilter.from_bytes(part["cells"].iloc[0], bool(part["is_full"].iloc[0]))
+                    bank = CuckooFilter.from_bytes(batch.column("cells")[int(a)].as_py(), batch.column("is_full")[int(a)].as_py())
                 elif step == 1:
-                    bank.delete(part["h1"].to_numpy(np.int64))
+                    bank.delete(h1[a:b])
                 else:
-                    bank.insert(part["h1"].to_numpy(np.int64))
+                    bank.insert(h1[a:b])
         if shard is not None:
             yield _filter_row(shard, bank)
 
