@@ -116,7 +116,8 @@ def attributes(token: Column, entities: dict[str, str] | None = None) -> Column:
     """Ordered ``(name, value)`` pairs of a start tag; duplicates are kept."""
     inner = F.regexp_replace(token, f"^<(?:{TAG_NAME})?|>\\z", "")
     # The list of attributes ends at the first thing that is not one.
-    run = F.regexp_extract(inner, f"^(?:{ATTRIBUTE})*", 0)
+    # Possessive, so that a tag of any length is matched without recursion.
+    run = F.regexp_extract(inner, f"^(?:{ATTRIBUTE})*+", 0)
     found = F.regexp_extract_all(run, F.lit(ATTRIBUTE), F.lit(0))
     table = BASIC_ENTITIES if entities is None else entities
 

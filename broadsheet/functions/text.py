@@ -43,7 +43,10 @@ def decode_references(text: Column, entities: dict[str, str] | None = None) -> C
 
     def decode(piece: Column) -> Column:
         digits = F.regexp_extract(piece, "^&#[xX]?([0-9a-fA-F]+);$", 1)
-        number = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        # Leading zeros say nothing; a number of more than 10 digits is no character.
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        number = F.when(piece.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(short)
+        number = F.when(F.length(short) <= 10, number).try_cast("bigint")
         known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
         out = F.when(~piece.startswith("&"), piece)
         for name, char in table.items():
@@ -51,7 +54,7 @@ def decode_references(text: Column, entities: dict[str, str] | None = None) -> C
         return out.when(piece.startswith("&#") & known, code_point(number)).otherwise(piece)
 
     pieces = F.regexp_extract_all(
-        text, F.lit("&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"), F.lit(0)
+        text, F.lit("&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[a-zA-Z][a-zA-Z0-9]*);|[^&]+|&"), F.lit(0)
     )
     return F.when(text.contains("&"), F.array_join(F.transform(pieces, decode), "")).otherwise(text)
 

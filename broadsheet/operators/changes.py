@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
@@ -13,7 +12,7 @@ from pyspark.sql.window import Window
 
 from broadsheet.functions import pointers as P
 from broadsheet.functions import variants as V
-from broadsheet.functions.json_edits import INVALID, OPERATIONS, POINTER_ERROR, Fault
+from broadsheet.functions.json_edits import INVALID, OPERATIONS, POINTER_ERROR, Fault, Number, from_text, to_text
 
 # Operations per block of one log: a log longer than this is judged in parallel.
 BLOCK = 100_000
@@ -34,6 +33,9 @@ def validate_changes(changes: DataFrame, operations: dict[str, Callable] | None
         .when(F.col("path").isNull(), F.lit("missing_path"))
         .when(P.pointer_error(F.col("path")).isNotNull(), F.lit("bad_pointer"))
     )
+    if "seq" in changes.columns:
+        # Without a number an operation has no place in the log.
+        error = F.coalesce(error, F.when(F.col("seq").isNull(), F.lit("missing_seq")))
     return changes.withColumn("error", error)
 
 
@@ -71,43 +73,69 @@ def apply_changes(
 
     ``doc`` is JSON text, the result is VARIANT. A log is flat when it adds, replaces
     and removes direct members of an object; flat logs are applied by aggregation,
-    however long they are. Other logs are folded in order. A document without a log,
-    or with a failing one, keeps its content.
+    however long they are. Other logs are folded in order, also those that name an
+    operation given in ``operations``. A document without a log, or with a failing one,
+    keeps its content.
+
+    A document that is no JSON, or names a key twice, is ``invalid`` and NULL, log or
+    not. So is a log with a NULL ``seq``, or one that gives a ``seq`` to two operations
+    on one member (any two in a folded log). A log whose single operation adds a value
+    at the root creates a document that was not there; one that removes the root gives
+    NULL and ``removed``. Any other log without a document is ``orphan``.
     """
+    known = OPERATIONS if operations is None else operations
+    custom = [name for name, fn in known.items() if OPERATIONS.get(name) is not fn]
     checked = validate_changes(changes, operations)
     parts = P.pointer_parts(F.col("path"))
     flat = (
         F.col("op").isin("add", "replace", "remove")
         & (F.size(parts) == 1)
-        & (F.col("value").isNotNull() | (F.col("op") == "remove"))
+        & F.when(F.col("value").isNull(), F.col("op") == "remove").otherwise(as_variant(changes, "value").isNotNull())
+        & ~F.col("op").isin(custom)
     )
-    marked = checked.withColumn("flat", F.col("error").isNull() & flat)
-    if operations is not None:
-        marked = marked.withColumn("flat", F.lit(False))
+    marked = checked.withColumn("flat", F.col("error").isNull() & F.coalesce(flat, F.lit(False)))
     summary = marked.groupBy(key).agg(
         F.min(F.when(F.col("error").isNotNull(), F.struct("seq", "error"))).alias("bad"),
         F.bool_and("flat").alias("all_flat"),
+        F.count(F.lit(1)).alias("n_ops"),
+        F.min("seq").alias("first_seq"),
+        F.max(F.when(F.col("path") == "", F.col("op"))).alias("root_op"),
+        F.max(F.when((F.col("path") == "") & (F.col("op") == "add"), _value_text(changes))).alias("root_value"),
     )
-    base = docs.select(key, F.col(doc).alias("text")).join(summary, key, "left")
+    base = docs.select(key, F.col(doc).alias("text"), F.lit(True).alias("known")).join(summary, key, "full_outer")
     is_object = V.members(F.try_parse_json("text")).isNotNull()
+    whole = F.col("bad").isNull() & (F.col("n_ops") == 1)
     route = (
-        F.when(F.col("all_flat").isNull(), F.lit("untouched"))
+        F.when(F.col("known").isNull(), F.when(whole & (F.col("root_op") == "add") & F.col("root_value").isNotNull(), "created").otherwise("orphan"))
+        .when(F.col("all_flat").isNull(), F.lit("untouched"))
         .when(F.col("bad").isNotNull(), F.lit("malformed"))
+        .when(whole & (F.col("root_op") == "remove"), F.lit("removed"))
         .when(F.col("all_flat") & is_object, F.lit("flat"))
         .otherwise(F.lit("fold"))
     )
     base = base.withColumn("route", route)
 
-    still = base.filter("route IN ('untouched', 'malformed')").select(
-        key,
-        F.try_parse_json("text").alias("doc"),
-        F.coalesce(error_status(F.col("bad.error")), F.lit("ok")).alias("status"),
-        F.col("bad.seq").cast("long").alias("failed_seq"),
+    kept = F.try_parse_json(F.when(F.col("route") == "created", F.col("root_value")).when(F.col("route") != "removed", F.col("text")))
+    unread = kept.isNull() & F.coalesce("root_value", "text").isNotNull()
+    status = (
+        F.when(F.col("route").isin("orphan", "removed"), F.col("route"))
+        .when(F.col("bad").isNotNull(), error_status(F.col("bad.error")))
+        .when(unread, F.lit(INVALID))
+        .otherwise("ok")
+    )
+    failed = F.when(F.col("route") == "orphan", F.col("first_seq")).otherwise(F.col("bad.seq"))
+    still = base.filter("route IN ('untouched', 'malformed', 'created', 'orphan', 'removed')").select(
+        key, kept.alias("doc"), status.alias("status"), failed.cast("long").alias("failed_seq")
     )
     flat_docs = base.filter("route = 'flat'").select(key, "text")
     done = still.unionByName(_apply_flat(flat_docs, marked.filter("flat"), key, block))
     to_fold = base.filter("route = 'fold'").select(key, "text")
-    return done.unionByName(_apply_in_order(to_fold, changes, key, OPERATIONS if operations is None else operations))
+    return done.unionByName(_apply_in_order(to_fold, changes, key, known))
+
+
+def _value_text(changes: DataFrame) -> Column:
+    """The value of an operation as JSON text."""
+    return F.to_json("value") if dict(changes.dtypes)["value"] == "variant" else F.col("value")
 
 
 def _apply_flat(docs: DataFrame, log: DataFrame, key: str, block: int) -> DataFrame:
@@ -126,12 +154,13 @@ def _apply_flat(docs: DataFrame, log: DataFrame, key: str, block: int) -> DataFr
         as_variant(log, "value").alias("value"),
         F.floor(F.col("seq") / block).alias("block"),
     )
-    before = F.lag("op").over(Window.partitionBy(key, "name", "block").orderBy("seq"))
+    in_turn = Window.partitionBy(key, "name", "block").orderBy("seq")
     per_block = (
-        rows.withColumn("before", before)
+        rows.withColumns({"before": F.lag("op").over(in_turn), "previous": F.lag("seq").over(in_turn)})
         .groupBy(key, "name", "block")
         .agg(
             F.min(F.when(needs & (F.col("before") == "remove"), F.col("seq"))).alias("clash"),
+            F.min(F.when(F.col("previous") == F.col("seq"), F.col("seq"))).alias("twice"),
             F.min(F.struct("seq", "op")).alias("first"),
             F.max(F.struct("seq", "op")).alias("last"),
             F.max_by("value", "seq").alias("value"),
@@ -146,6 +175,7 @@ def _apply_flat(docs: DataFrame, log: DataFrame, key: str, block: int) -> DataFr
         .groupBy(key, "name")
         .agg(
             F.min(F.least("clash", clash_at_start)).alias("clash"),
+            F.min("twice").alias("twice"),
             F.min("first").alias("first"),
             F.max("last.seq").alias("last_seq"),
             F.max_by("last.op", "last.seq").alias("op"),
@@ -153,6 +183,7 @@ def _apply_flat(docs: DataFrame, log: DataFrame, key: str, block: int) -> DataFr
         )
     )
     touched = per_name.groupBy(key).agg(
+        F.min("twice").alias("twice"),
         F.map_from_entries(
             F.collect_list(F.struct("name", F.struct("op", "value", "first", "clash").alias("change")))
         ).alias("touched")
@@ -175,18 +206,19 @@ def _apply_flat(docs: DataFrame, log: DataFrame, key: str, block: int) -> DataFr
     )
     failed = F.array_min(faults)
     result = V.as_object(F.map_filter(merged, lambda _, v: v.isNotNull()))
+    fault = F.least(failed, F.col("twice"))
     return joined.select(
         key,
-        F.when(failed.isNull(), result).otherwise(F.try_parse_json("text")).alias("doc"),
-        F.when(failed.isNull(), "ok").otherwise("conflict").alias("status"),
-        failed.alias("failed_seq"),
+        F.when(fault.isNull(), result).otherwise(F.try_parse_json("text")).alias("doc"),
+        F.when(fault.isNull(), "ok").when(fault == F.col("twice"), INVALID).otherwise("conflict").alias("status"),
+        fault.alias("failed_seq"),
     )
 
 
 def _plain(value):
     """A value from the log as plain JSON types."""
     if isinstance(value, str):
-        return json.loads(value)
+        return from_text(value)
     return _no_decimals(value.toPython())
 
 
@@ -196,7 +228,7 @@ def _no_decimals(value):
     if isinstance(value, list):
         return [_no_decimals(v) for v in value]
     if isinstance(value, Decimal):
-        return int(value) if value.as_tuple().exponent >= 0 else float(value)
+        return int(value) if value.as_tuple().exponent >= 0 else Number(format(value, "f"))
     return value
 
 
@@ -227,15 +259,15 @@ def _apply_in_order(docs: DataFrame, changes: DataFrame, key: str, operations: d
     )
     # The window brings each document together in order, base row first. A plain
     # repartition would not do: it asks for a layout that a later re-plan may undo.
-    turn = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.col("op").isNotNull(), "seq"))
     events = log.unionByName(base).withColumn("turn", turn)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = text = doc = failed = None
+        current = text = doc = failed = before = None
         status, started = "ok", False
 
         def result():
-            out = text if status != "ok" else json.dumps(doc, ensure_ascii=False)
+            out = text if status != "ok" else to_text(doc)
             return (current, out, status, failed)
 
         for batch in batches:
@@ -245,14 +277,18 @@ def _apply_in_order(docs: DataFrame, changes: DataFrame, key: str, operations: d
                 if turn == 1:
                     if started:
                         finished.append(result())
-                    current, text, status, failed, started = doc_id, base_text, "ok", None, True
+                    current, text, status, failed, started, before = doc_id, base_text, "ok", None, True, None
                     try:
-                        doc = json.loads(base_text)
+                        doc = from_text(base_text)
                     except (TypeError, ValueError):
                         status, failed = INVALID, None
                     continue
                 if status != "ok":
                     continue
+                if seq == before:
+                    status, failed = INVALID, seq
+                    continue
+                before = seq
                 change = {"op": op, "path": path}
                 try:
                     if source is not None:
@@ -272,4 +308,6 @@ def _apply_in_order(docs: DataFrame, changes: DataFrame, key: str, operations: d
 
     shape = f"{key} {dict(docs.dtypes)[key]}, text string, status string, failed_seq long"
     folded = events.mapInPandas(fold, shape)
-    return folded.select(key, F.try_parse_json("text").alias("doc"), "status", "failed_seq")
+    read = F.try_parse_json("text")
+    status = F.when((F.col("status") == "ok") & read.isNull(), INVALID).otherwise(F.col("status"))
+    return folded.select(key, read.alias("doc"), status.alias("status"), "failed_seq")

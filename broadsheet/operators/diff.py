@@ -108,7 +108,8 @@ def snapshot_ops(
     """
     left = src.select(key, F.col(doc).alias("s_text"))
     right = dst.select(key, F.col(doc).alias("d_text"))
-    both = left.join(right, key).filter("s_text <> d_text")
+    # A document of one side only is added or removed as a whole, at the root.
+    both = left.join(right, key, "full_outer").filter("NOT s_text <=> d_text")
     none = F.lit(None).cast("string")
     rows = both.select(
         key,
@@ -198,12 +199,8 @@ def value_keys(ops: DataFrame, key: str, value: str, max_depth: int = MAX_DEPTH)
     scalars = ops.filter(~holder).select(key, "op_id", V.scalar_text(F.col(value)).alias("value_key"))
     holders = ops.filter(holder).select(F.struct(key, "op_id").alias("id"), F.col(value).alias("doc"))
     leaves = flatten_docs(holders, "id", "doc", max_depth)
-    inner = F.col("type").isin("object", "list") & ~F.col("too_deep")
-    line = F.concat_ws(
-        "\x02", "path", F.when(inner, F.col("type")).when(
-            F.col("too_deep"), F.concat(F.to_json("value"), F.schema_of_variant("value"))
-        ).otherwise(V.scalar_text(F.col("value")))
-    )
+    inner = F.col("type").isin("object", "list")
+    line = F.concat_ws("\x02", "path", F.when(inner, F.col("type")).otherwise(V.scalar_text(F.col("value"))))
     digests = leaves.groupBy("id").agg(
         F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\x03"), 256).alias("value_key")
     )

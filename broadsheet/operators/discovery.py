@@ -140,7 +140,8 @@ def find_feeds(
             F.when(~is_a_feed, page_candidates(F.col(url), F.col(body))).alias("found"),
         )
         .groupBy("page_url")
-        .agg(F.max("is_feed").alias("is_feed"), F.max("found").alias("found"))
+        # Of several copies of a page, what any of them offers.
+        .agg(F.max("is_feed").alias("is_feed"), F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"))
     )
     wanted = sites.select(coerce_url(F.col(site)).alias("page_url")).distinct().join(digest, "page_url")
     itself = F.array(_candidate(PAGE, F.col("page_url")))

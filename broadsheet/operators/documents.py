@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.functions import pointers as P
 from broadsheet.functions import variants as V
 from broadsheet.functions.binding import let
 
+# Levels that are opened natively; what is deeper is walked in one step.
 MAX_DEPTH = 8
 
 _NODE = "struct<path:string,parent:string,sort_key:string,value:variant,open:boolean>"
@@ -67,11 +72,11 @@ def _opened(node: Column) -> Column:
 def flatten_docs(
     docs: DataFrame, key: str = "doc_id", doc: str = "doc", max_depth: int = MAX_DEPTH
 ) -> DataFrame:
-    """``(key, path, parent, type, value, sort_key, too_deep)``, one row per place of a document.
+    """``(key, path, parent, type, value, sort_key)``, one row per place of a document, at any depth.
 
     ``doc`` is a VARIANT. Each level replaces an open container by itself and its
     children within the same scan: one pass, no shuffle, no recursion. Containers
-    still open at ``max_depth`` stay whole and are flagged.
+    still open after ``max_depth`` levels list the places below them in one step.
     """
     no_parent = F.lit(None).cast("string")
     rows = docs.filter(F.col(doc).isNotNull()).select(
@@ -79,11 +84,50 @@ def flatten_docs(
     )
     for _ in range(max_depth):
         rows = rows.select(key, F.explode(let(F.col("node"), _opened)).alias("node"))
-    kind = V.kind(F.col("node.value"))
-    deep = F.col("node.open") & kind.isin("object", "list")
-    return rows.select(
-        key, "node.path", "node.parent", kind.alias("type"), "node.value", "node.sort_key", deep.alias("too_deep")
+    deep = F.col("node.open") & V.kind(F.col("node.value")).isin("object", "list")
+    itself = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<boolean>").alias("indexed"))
+    below = F.when(deep, _places_below(F.to_json("node.value")))
+    rows = rows.select(key, "node", F.explode(F.concat(F.array(itself), F.coalesce(below, F.array().cast(_PLACES)))).alias("below"))
+    here = F.size("below.parts") == 0
+    parts = F.transform("below.parts", P.escape_part)
+    path = F.concat(F.col("node.path"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit("/"), p)), ""))
+    above = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    parent = F.concat(F.col("node.path"), F.array_join(F.transform(above, lambda p: F.concat(F.lit("/"), p)), ""))
+    keys = F.zip_with("below.parts", "below.indexed", lambda p, i: F.when(i, element_key(p)).otherwise(member_key(p)))
+    rows = rows.select(
+        key,
+        path.alias("path"),
+        F.when(here, F.col("node.parent")).otherwise(parent).alias("parent"),
+        F.when(here, F.col("node.value")).otherwise(P.resolve_parts(F.col("node.value"), F.col("below.parts"))).alias("value"),
+        F.concat(F.col("node.sort_key"), F.array_join(keys, "")).alias("sort_key"),
     )
+    return rows.select(key, "path", "parent", V.kind(F.col("value")).alias("type"), "value", "sort_key")
+
+
+_PLACES = "array<struct<parts:array<string>,indexed:array<boolean>>>"
+
+
+@F.pandas_udf(
+    T.ArrayType(T.StructType([T.StructField("parts", T.ArrayType(T.StringType())), T.StructField("indexed", T.ArrayType(T.BooleanType()))]))
+)
+def _places_below(texts: pd.Series) -> pd.Series:
+    """All places inside each container, as the names and indices that lead to them; a stack, so any depth will do."""
+
+    def walk(text):
+        if text is None:
+            return None
+        out, stack = [], [(json.loads(text), [], [])]
+        while stack:
+            value, parts, indexed = stack.pop()
+            if parts:
+                out.append({"parts": parts, "indexed": indexed})
+            if isinstance(value, dict):
+                stack.extend((v, [*parts, k], [*indexed, False]) for k, v in value.items())
+            elif isinstance(value, list):
+                stack.extend((v, [*parts, str(i)], [*indexed, True]) for i, v in enumerate(value))
+        return out
+
+    return texts.map(walk)
 
 
 def pointer_join(

@@ -270,7 +270,8 @@ def close_events(
             stacked = e["tag"].isin(list(balanced_tags)) | (e["tag"] == "")
         return e["kind"].isin("start", "end") & stacked
 
-    tagged = pages.select(key, F.filter(tokens, wanted).alias("t"))
+    # A failed fetch has no page and no tags.
+    tagged = pages.filter(F.col(html).isNotNull()).select(key, F.filter(tokens, wanted).alias("t"))
     return tagged.select(
         key, F.explode(_walk_stack(F.col("t.kind"), F.col("t.tag"), F.col("t.pos"))).alias("c")
     ).select(key, "c.*")

@@ -39,10 +39,9 @@ HISTORY_FEATURES = [
 EDGES = ["B3", "B2", "B1", "E1", "E2", "E3"]
 BIAS = "BIAS"
 
-# Inside plans an edge is one private character, so that a window is a 6-character string.
-_EDGE_CHARS = dict(zip(EDGES, "\ue000\ue001\ue002\ue003\ue004\ue005"))
-# Marks a boundary while tokens are cut.
-_CUT = "\ue006"
+# Inside plans an edge is one code point that is no character in any text, so that a window
+# is a 6-character string.
+_EDGE_CHARS = dict(zip(EDGES, "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5"))
 _BEFORE = "".join(_EDGE_CHARS[e] for e in EDGES[:3])
 _AFTER = "".join(_EDGE_CHARS[e] for e in EDGES[3:])
 
@@ -98,7 +97,7 @@ def _show_edges(key: Column) -> Column:
     shown = key
     for name, char in _EDGE_CHARS.items():
         shown = F.replace(shown, F.lit(char), F.lit(name))
-    return F.when(key.rlike("[\ue000-\ue005]"), shown).otherwise(key)
+    return F.when(key.rlike("[\ufdd0-\ufdd5]"), shown).otherwise(key)
 
 
 def segment_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -302,11 +301,9 @@ def segment(
     )
     joined = placed.join(decided, key, "left")
     chars = F.split("text", "")
-    marked = F.transform(
-        chars,
-        lambda c, i: F.when(F.get("splits", i - 1), F.concat(F.lit(_CUT), c)).otherwise(c),
-    )
-    tokens = F.split(F.array_join(marked, ""), _CUT)
+    begins = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | F.get("splits", i - 1))
+    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(chars)))
+    tokens = F.zip_with(begins, ends, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), ""))
     empty = F.array().cast("array<string>")
     return joined.select(key, F.when(F.col("text") == "", empty).otherwise(tokens).alias("tokens"))
 

@@ -16,9 +16,6 @@ TOPICS = [
 ]
 NO_TOPIC = "Unknown"
 
-# Bound on the labels of a prototype model; the model is read as one small value.
-MAX_LABELS = 1_000
-
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -66,19 +63,13 @@ def fit_prototypes(vectors: DataFrame, label: str = "label", vector: str = "embe
 
 
 def prototype_scorer(key: str, vector: str, prototypes: DataFrame) -> Scorer:
-    """Cosine similarity to each prototype, to six digits; labels rank by name.
+    """The best cosine similarity to a prototype, to six digits; labels rank by name.
 
-    The model is a handful of vectors (at most ``MAX_LABELS``, checked in the
-    plan). It enters as a scalar subquery, so vectors are scored where they are
-    read, without a shuffle.
+    The model is one vector a label and enters as a scalar subquery, so vectors are
+    scored where they are read, without a shuffle; each vector gives one row, however
+    many labels there are. The model must fit in a row.
     """
-    model = prototypes.agg(
-        F.when(
-            F.count(F.lit(1)) <= MAX_LABELS, F.sort_array(F.collect_list(F.struct("label", "prototype")))
-        )
-        .otherwise(F.raise_error(F.lit("too many labels for a prototype model")))
-        .alias("model")
-    ).scalar()
+    model = prototypes.agg(F.sort_array(F.collect_list(F.struct("label", "prototype"))).alias("model")).scalar()
 
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -88,26 +79,31 @@ def prototype_scorer(key: str, vector: str, prototypes: DataFrame) -> Scorer:
         scored = F.transform(
             "model",
             lambda m, i: F.struct(
-                i.alias("ord"),
-                m["label"].cast("string").alias("label"),
                 F.round(
-                    dot(v, m["prototype"]) / F.sqrt(dot(v, v) * dot(m["prototype"], m["prototype"])), 6
+                    F.try_divide(dot(v, m["prototype"]), F.sqrt(dot(v, v) * dot(m["prototype"], m["prototype"]))), 6
                 ).alias("score"),
+                (-i).alias("rank"),
+                i.alias("ord"),
+                m["label"].cast("string").alias("label"),
             ),
         )
+        # A vector or prototype without a direction has no similarity.
+        best = F.array_max(F.filter(scored, lambda s: s["score"].isNotNull() & ~F.isnan(s["score"])))
         rows = docs.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"), model.alias("model"))
-        return rows.select(key, F.explode(scored).alias("s")).select(key, "s.*")
+        return rows.select(key, best.alias("s")).filter("s IS NOT NULL").select(key, "s.ord", "s.label", "s.score")
 
     return score
 
 
 def model_scorer(key: str, text: str, labels: DataFrame, score_batches: Callable) -> Scorer:
     """Scores of an outside model. ``score_batches`` is an iterator Pandas UDF
-    ``text -> array<double>`` in label order, so the model loads once per worker."""
+    ``text -> array<double>`` in label order, so the model loads once per worker. Where it
+    gives NULL, for a text or a label, there is no score, and without any the topic is
+    ``Unknown``."""
 
     def score(docs: DataFrame) -> DataFrame:
         scored = docs.select(key, F.posexplode(score_batches(F.col(text))).alias("ord", "score"))
-        table, _ = broadcast_within(labels, MAX_LABELS)
+        table, _ = broadcast_within(labels)
         return scored.join(table, "ord")
 
     return score

@@ -69,9 +69,13 @@ def patch_from_json(patches: DataFrame, key: str = "doc_id", patch: str = "patch
     """The change log ``(doc_id, seq, op, path, from, value)`` of a table of patch texts.
 
     ``op`` and ``path`` are NULL when they are missing or not text, which the
-    validation reports.
+    validation reports; so it does a text that is no list, as one row. A NULL text is
+    no patch and an empty list has no operations; neither gives a row.
     """
-    items = F.try_variant_get(F.try_parse_json(F.col(patch)), "$", "array<variant>")
+    listed = F.try_variant_get(F.try_parse_json(F.col(patch)), "$", "array<variant>")
+    # A text that is no list of operations is one operation without a name.
+    broken = F.array(F.lit(None).cast("variant"))
+    items = F.when(F.col(patch).isNotNull(), F.coalesce(listed, broken))
 
     def string(name: str) -> Column:
         field = F.try_variant_get("item", f"$.{name}", "variant")

@@ -40,6 +40,26 @@ def file_url_path(url: Column) -> Column:
     )
 
 
+def plain_path(path: Column) -> Column:
+    """The path without empty parts and ``.``, and with each ``..`` taking back the part before it."""
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.split(path, "/"),
+        none,
+        lambda done, part: F.when(part.isin("", "."), done)
+        .when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    return F.when(path == "", path).otherwise(F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(kept, "/")))
+
+
+def folders_of(files: DataFrame) -> DataFrame:
+    """``path``: every folder above the files."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return files.select(F.explode(above).alias("path")).withColumn("path", F.when(F.col("path") == "", "/").otherwise(F.col("path"))).distinct()
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """``(path, content_length, body)`` of the files below a folder.
 
@@ -64,7 +84,10 @@ def resolve_file_urls(
     asked = requests.withColumn("error", file_url_error(F.col("method"), F.col("url"))).withColumn(
         "path", F.when(F.col("error").isNull(), file_url_path(F.col("url")))
     )
-    found = asked.join(files, "path", "left")
+    # A path that ends as a folder's can't be a file.
+    as_folder = F.col("path").rlike(r"/\.{0,2}$")
+    asked = asked.withColumn("as_folder", as_folder).withColumn("path", plain_path(F.col("path")))
+    found = asked.join(files, "path", "left").join(folders_of(files).withColumn("is_folder", F.lit(True)), "path", "left")
     if denied is None:
         found = found.withColumn("denied", F.lit(False))
     else:
@@ -73,14 +96,17 @@ def resolve_file_urls(
     refused = F.col("error").isNotNull()
     status = (
         F.when(refused, F.lit(None).cast("int"))
-        .when(F.col("path") == "", F.lit(BAD_REQUEST))
+        .when((F.col("path") == "") | F.col("is_folder"), F.lit(BAD_REQUEST))
+        .when(F.col("as_folder") & F.col("content_length").isNotNull(), F.lit(BAD_REQUEST))
         .when(F.col("denied"), F.lit(FORBIDDEN))
         .when(F.col("content_length").isNull(), F.lit(NOT_FOUND))
         .otherwise(F.lit(OK))
     )
     # The texts that stand for the body of a failed request.
     reason = (
-        F.when(status == BAD_REQUEST, F.lit("Invalid path"))
+        F.when((status == BAD_REQUEST) & F.col("is_folder"), F.concat(F.lit("Is a directory: "), F.col("path")))
+        .when((status == BAD_REQUEST) & F.col("as_folder"), F.concat(F.lit("Not a directory: "), F.col("path")))
+        .when(status == BAD_REQUEST, F.lit("Invalid path"))
         .when(status == FORBIDDEN, F.concat(F.lit("Permission denied: "), F.col("path")))
         .when(status == NOT_FOUND, F.concat_ws(": ", F.lit("No such file or directory"), F.col("path")))
     )

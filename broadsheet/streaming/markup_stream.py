@@ -66,7 +66,7 @@ def markup_stream(
     as soon as it is complete; the open rest, the next number and the last tag are
     kept per document. A piece that comes early waits for the ones before it. The
     rest is flushed by ``is_last`` or, with ``idle`` (as ``"10 minutes"``), when
-    nothing has come for that long.
+    nothing has come for that long; pieces that still wait then follow in order.
     """
     cut = _cutter(tuple(literal_tags))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
@@ -77,13 +77,17 @@ def markup_stream(
         waiting = {seq: (chunk, is_last) for seq, chunk, is_last in json.loads(held)}
         for batch in batches:
             for seq, chunk, is_last in zip(batch["seq"], batch["chunk"], batch["is_last"]):
-                waiting[int(seq)] = (chunk, bool(is_last))
+                # A piece that was read before is a repeat.
+                if int(seq) >= next_seq:
+                    waiting[int(seq)] = (chunk, bool(is_last))
         ended, text = False, tail
         while next_seq in waiting and not ended:
             chunk, ended = waiting.pop(next_seq)
             text += chunk
             next_seq += 1
         if state.hasTimedOut:
+            # Pieces beyond a gap that nothing filled are text all the same.
+            text += "".join(waiting[seq][0] for seq in sorted(waiting))
             ended = True
         tokens, tail = cut(text, ended)
         rows = []

@@ -90,7 +90,12 @@ def test_invalid(spark):
     assert [r[1] for r in rows] == [None, None, None, ["ok"]]
 
 
-def test_flatten_marks_what_is_too_deep(spark):
-    flat = DOC.flatten_docs(parsed(spark, '{"a":[{"b":[1]}]}'), max_depth=2)
-    got = {(r.path, r.type, r.too_deep) for r in flat.collect()}
-    assert got == {("", "object", False), ("/a", "list", False), ("/a/0", "object", True)}
+def test_flatten_reaches_any_depth(spark):
+    for depth in (1, 2, 8):
+        flat = DOC.flatten_docs(parsed(spark, '{"a":[{"b/":[1, 1.50]}, {}]}'), max_depth=depth).orderBy("sort_key")
+        got = [(r.path, r.parent, r.type, r.v) for r in flat.selectExpr("*", "to_json(value) AS v").collect()]
+        assert [g[0] for g in got] == ["", "/a", "/a/0", "/a/0/b~1", "/a/0/b~1/0", "/a/0/b~1/1", "/a/1"]
+        assert [g[1] for g in got] == [None, "", "/a", "/a/0", "/a/0/b~1", "/a/0/b~1", "/a"]
+        assert got[4][3] == "1" and got[5][3] in ("1.5", "1.50")
+    deep = "[" * 40 + "7" + "]" * 40
+    assert DOC.flatten_docs(parsed(spark, deep)).count() == 41

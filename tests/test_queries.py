@@ -1,4 +1,4 @@
-"""Every query beside its SQL oracle at the smallest scale. BROADSHEET_SLOW=1 adds the slow ones."""
+"""Every query beside its SQL oracle at the smallest scale."""
 
 import os
 
@@ -8,11 +8,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tools.check_queries import compare, connect
 
 SF = "/root/testdata/sf0.001"
-SLOW = {
-    "segment_static_scores", "segment_history_scores", "segment_concatenation", "segment_weights", "snapshot_diff_moves",
-    "diff_moves_roundtrip", "articles_kept", "article_counts",
-}
-NAMES = [n for n in queries() if n in oracle_sql() and (n not in SLOW or os.environ.get("BROADSHEET_SLOW"))]
+NAMES = [n for n in queries() if n in oracle_sql()]
 
 
 @pytest.fixture(scope="module")
