@@ -56,15 +56,28 @@ class _Powers:
         return cls.up, cls.down
 
 
-def word_hashes(data: np.ndarray, is_space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and end byte position of every word in UTF-8 bytes; ``is_space`` tells of each byte value."""
-    space = is_space[data]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+def word_hashes(data: np.ndarray, is_space: np.ndarray = _IS_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first and end byte position of every word in UTF-8 bytes; ``is_space`` tells of each byte value.
+
+    With ``lower`` words that differ in the case of A-Z only have one hash.
+    """
+    value = _BYTE[_LOWER] if lower else _BYTE
+    edge = np.diff(np.concatenate(([True], is_space[data], [True])).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _Powers.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * down[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    del edge
+    hashes = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        # Whole words of about a chunk together, so that the sums stay small.
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK_BYTES, side="right")))
+        low, high = int(starts[a]), int(ends[b - 1])
+        up, down = _Powers.get(high - low + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(value[data[low:high]] * down[: high - low], out=sums[1:])
+        s, e = starts[a:b] - low, ends[a:b] - low
+        hashes[a:b] = mix((sums[e] - sums[s]) * up[s] + (e - s).astype(np.uint64))
+        a = b
+    return hashes, starts, ends
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
