@@ -32,6 +32,9 @@ HEADLINES = [
     "patch_apply_objects",
     "patch_apply_full",
     "snapshot_diff",
+    "snapshot_diff_moves",
+    "diff_moves_roundtrip",
+    "markup_stream_tokens",
     "segment_tokens",
 ]
 
