@@ -187,6 +187,30 @@ def mixed_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def dirty_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """``(doc_id, doc)``: a small document per order; every sixth is no JSON."""
+    doc = """if(o_orderkey % 6 = 5, concat('no json ', o_orderkey),
+        concat('{"k":', o_orderkey, ',"n":12345678901234567.89,"s":"P"}'))"""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(doc).alias("doc"))
+
+
+def dirty_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The line items of each order as additions ``/m<n>``, with one of eight faults by order.
+
+    0 none, 1 a value that is no JSON, 2 negative numbers, 3 a missing number, 4 one
+    number and member for all, 5 no such document, 6 a copy (not flat), 7 a missing member.
+    """
+    case = "l_orderkey % 8"
+    return numbered_lines(spark, sf).select(
+        F.expr(f"if({case} = 5, -l_orderkey, l_orderkey)").alias("doc_id"),
+        F.expr(f"cast(CASE {case} WHEN 2 THEN n - 100 WHEN 3 THEN if(n = 1, null, n) WHEN 4 THEN 7 ELSE n END as bigint)").alias("seq"),
+        F.expr(f"CASE {case} WHEN 6 THEN 'copy' WHEN 7 THEN if(n = 1, 'replace', 'add') ELSE 'add' END").alias("op"),
+        F.expr(f"CASE WHEN {case} = 4 THEN '/m' WHEN {case} = 7 AND n = 1 THEN '/absent' ELSE concat('/m', n) END").alias("path"),
+        F.expr(f"if({case} = 6, '/n', null)").alias("from"),
+        F.expr(f"CASE WHEN {case} = 1 AND n = 1 THEN 'no value' WHEN {case} = 6 THEN null ELSE cast(n as string) END").alias("value"),
+    )
+
+
 def page_chunks(spark: SparkSession, sf: str, size: int = 499) -> DataFrame:
     """``(page_id, seq, chunk, is_last)``: every page cut into pieces."""
     count = f"cast(ceil(length(html) / {size}) as bigint)"

@@ -91,6 +91,7 @@ normalized AS (
 
 SQL["articles_normalized"] = f"WITH {NORMALIZED} SELECT title, link, text, published, language, status FROM normalized"
 SQL["articles_kept"] = f"WITH {NORMALIZED} SELECT link, language, CAST(length(text) AS INTEGER) AS n_chars FROM normalized WHERE status = 'ok'"
+SQL["articles_saved"] = SQL["articles_kept"]
 SQL["article_counts"] = f"""
 WITH {ITEMS} SELECT count(*) AS pulled, count(html) AS saved, count(*) - count(html) AS failed
 FROM items LEFT JOIN pages ON url = link
@@ -610,3 +611,37 @@ SELECT page_id, CASE WHEN page_id % 13 = 0 OR page_id % 10 = 3 THEN NULL ELSE
   CASE WHEN page_id % 13 = 0 THEN 'invalid_method' WHEN page_id % 10 = 3 THEN 'host_not_permitted' END AS error
 FROM pages
 """
+
+SQL["topic_by_model"] = """
+WITH t AS (
+  SELECT doc_id, text, [length(text) - length(replace(text, c, '')) FOR c IN ['a', 'e', 'i', 'o', 'u', 'd', 'n', 's', 't']] AS n
+  FROM documents
+)
+SELECT doc_id, CASE WHEN doc_id % 50 = 0 OR text = '' THEN 'Unknown' ELSE
+  ['Politics', 'Technology', 'Health', 'Entertainment', 'Sports', 'Finance', 'Science', 'World', 'Business'][list_position(n, list_max(n))] END AS topic
+FROM t
+"""
+
+SQL["patch_apply_dirty"] = """
+WITH l AS (SELECT l_orderkey AS k, count(*) AS c FROM lineitem GROUP BY 1),
+members AS (
+  SELECT k, string_agg('"m' || i || '":' || CASE WHEN k % 8 = 6 THEN '12345678901234567.89' ELSE CAST(i AS VARCHAR) END || ',', '' ORDER BY 'm' || i) AS added
+  FROM (SELECT k, unnest(generate_series(1, c)) AS i FROM l) GROUP BY k
+), d AS (
+  SELECT o_orderkey AS k, c, added, CASE WHEN c IS NULL OR o_orderkey % 8 = 5 THEN 0 ELSE o_orderkey % 8 END AS fault,
+    CASE WHEN o_orderkey % 8 = 5 THEN '' ELSE coalesce(added, '') END AS more
+  FROM orders LEFT JOIN l ON o_orderkey = l.k LEFT JOIN members m ON o_orderkey = m.k
+), r AS (
+  SELECT k AS doc_id,
+    CASE WHEN k % 6 = 5 THEN NULL ELSE '{"k":' || k || ',' || CASE WHEN fault IN (0, 2, 6) THEN more WHEN fault = 4 AND c = 1 THEN '"m":1,' ELSE '' END
+      || '"n":12345678901234567.89,"s":"P"}' END AS doc,
+    CASE WHEN k % 6 = 5 OR fault IN (1, 3) OR (fault = 4 AND c > 1) THEN 'invalid' WHEN fault = 7 THEN 'conflict' ELSE 'ok' END AS status,
+    CASE WHEN k % 6 = 5 THEN NULL WHEN fault = 1 THEN 1 WHEN fault = 4 AND c > 1 THEN 7 WHEN fault = 7 THEN 1 END AS failed_seq
+  FROM d
+)
+SELECT doc_id, doc, status, CAST(failed_seq AS BIGINT) AS failed_seq FROM r
+UNION ALL
+SELECT CASE WHEN k % 8 = 5 THEN -k ELSE k END, NULL, 'orphan',
+  CASE k % 8 WHEN 2 THEN -99 WHEN 3 THEN CASE WHEN c > 1 THEN 2 END WHEN 4 THEN 7 ELSE 1 END
+FROM l WHERE k % 8 = 5 OR k NOT IN (SELECT o_orderkey FROM orders)
+"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from broadsheet.functions import pointers as P
 from broadsheet.functions import urls as U
@@ -22,6 +24,7 @@ from broadsheet.operators import markup as M
 from broadsheet.operators import segment as G
 from broadsheet.operators import topics as T
 from broadsheet.plans import derived as X
+from broadsheet.plans.article_run import run_articles
 from broadsheet.plans.derived import table
 from broadsheet.session import cut_lineage, scratch_path, spread
 from broadsheet.sources import documents as SD
@@ -33,6 +36,8 @@ from broadsheet.streaming.markup_stream import markup_stream
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOGUE: dict[str, Query] = {}
 
+# The letters that the stand-in for a model counts, one a topic.
+LETTERS = "aeioudnst"
 # Documents of these queries are at most this deep.
 DEPTH = 4
 
@@ -42,6 +47,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@F.pandas_udf(ST.ArrayType(ST.DoubleType()))
+def _letter_scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stands for a model: how often a text has each of nine letters; nothing for an empty text."""
+    for texts in batches:
+        yield texts.map(lambda t: [float(t.count(c)) for c in LETTERS] if t else None)
+
+
 # Feeds and articles
 
 
@@ -85,6 +97,16 @@ def articles_kept(spark, sf):
     return A.only_ok(_normalized(spark, sf)).select("link", "language", F.length("text").alias("n_chars"))
 
 
+@query
+def articles_saved(spark, sf):
+    """The whole job over feed files, one file a feed; what it saved is read back."""
+    feeds, out = scratch_path(spark, "feeds"), scratch_path(spark, "articles")
+    X.feed_texts(spark, sf).select("xml").write.option("maxRecordsPerFile", 1).text(feeds)
+    run_articles(spark, feeds, table(spark, sf, "pages"), cut_lineage(_profiles(spark, sf)), out)
+    saved = spark.read.schema("title string, link string, text string, published string, language string").json(out)
+    return saved.select("link", "language", F.length("text").alias("n_chars"))
+
+
 @query
 def article_counts(spark, sf):
     return run_counters(_normalized(spark, sf))
@@ -123,6 +145,12 @@ SEED_WORDS = {
 }
 
 
+@query
+def topic_by_model(spark, sf):
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.expr("if(doc_id % 50 = 0, '', text)").alias("text")))
+    return T.classify_topic(docs, "doc_id", T.model_scorer("doc_id", "text", T.topic_labels(spark), _letter_scores))
+
+
 @query
 def topic_by_tokens(spark, sf):
     words = F.create_map(*[F.lit(x) for pair in SEED_WORDS.items() for x in pair])
@@ -342,6 +370,11 @@ def patch_apply_malformed(spark, sf):
     return _applied(X.order_docs(spark, sf), _broken_log(spark, sf)).select("doc_id", "status", "failed_seq")
 
 
+@query
+def patch_apply_dirty(spark, sf):
+    return _applied(X.dirty_docs(spark, sf), X.dirty_log(spark, sf))
+
+
 @query
 def json_text_patches(spark, sf):
     """Logs written as JSON text and read again."""
