@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from broadsheet.functions.binding import let
 from broadsheet.functions.chars import class_string
 from broadsheet.session import MAX_BROADCAST_ROWS, broadcast_within, cut_lineage
 
@@ -300,10 +301,17 @@ def segment(
         key, decide_boundaries(F.col("masks")).alias("splits")
     )
     joined = placed.join(decided, key, "left")
-    chars = F.split("text", "")
-    begins = F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | F.get("splits", i - 1))
-    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(chars)))
-    tokens = F.zip_with(begins, ends, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), ""))
+
+    def cut(chars: Column) -> Column:
+        """The characters joined from each boundary to the next."""
+
+        def pieces(begins: Column) -> Column:
+            ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(chars)))
+            return F.zip_with(begins, ends, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), ""))
+
+        return let(F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | F.get("splits", i - 1)), pieces)
+
+    tokens = let(F.split("text", ""), cut)
     empty = F.array().cast("array<string>")
     return joined.select(key, F.when(F.col("text") == "", empty).otherwise(tokens).alias("tokens"))
 
