@@ -16,10 +16,11 @@ empty partitions than ``n - k`` agrees with each partner on one that is not empt
 leaves them out. Only the other sets keep them.
 
 *Small groups* of one signature give all their pairs; *large groups* first link every
-member to one leader. After that only members outside the largest component of their group
-are held against the group, in blocks. Every pair must pass an exact bound before any text
-is fetched: sets that differ in ``k`` elements differ by at most ``k`` in the counts of
-their elements by hash bucket.
+member to one leader, the member that is in most large groups, which is as a rule what the
+others were copied from. After that only members outside the largest component of their
+group are held against the group, in blocks. Every pair must pass an exact bound before any
+text is fetched: sets that differ in ``k`` elements differ in at most ``k`` of the parities
+of their elements by hash bucket.
 
 Equal sets are collapsed to one before all this, by hash and size of the set.
 
@@ -41,7 +42,7 @@ from pyspark.sql import types as T
 
 from broadsheet.llm.components import connected_components
 from broadsheet.llm.shingles import mix, shingle_sets, slices
-from broadsheet.session import cut_lineage
+from broadsheet.session import scratch_path
 
 # Similarity as a fraction of whole numbers.
 NEED, OF = 80, 100
@@ -53,10 +54,24 @@ SMALL_GROUP = 24
 BLOCK = 256
 # Signature blocks for each shuffle partition; one block is in memory at a time.
 BLOCKS_PER_PARTITION = 16
+# Bytes of a signature that are kept beside its block.
+SIG_BYTES = 6
+# Bits of the profile of a large set; beyond about 9,000 elements it rules out less.
+MOST_BITS = 4096
 # Texts of this many bytes make signatures together.
 SIGN_CHARS = 8 << 20
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Written as a table in the shared folder and read again: computed once, whatever happens to executors.
+
+    A table is compressed and a checkpoint is not.
+    """
+    path = scratch_path(rows.sparkSession, "jaccard")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _band_starts(largest: int) -> np.ndarray:
     starts = [1]
     while starts[-1] <= largest * 2:
@@ -72,22 +87,27 @@ def _set_id(values: np.ndarray) -> int:
 
 
 def _profile(values: np.ndarray) -> bytes:
-    """Elements by hash bucket, up to 255 each; a power of two of buckets, about a quarter of the elements."""
-    buckets = 16
-    while buckets * 4 < len(values):
-        buckets *= 2
-    counts = np.bincount((values & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """Parities of the number of elements by hash bucket: a power of two of bits, two to four for an element."""
+    bits = 128
+    while bits < min(len(values) * 2, MOST_BITS):
+        bits *= 2
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(profiles: np.ndarray, width: int) -> np.ndarray:
+    """Profiles of fewer bits: the halves of a power of two, added up as parities."""
+    while profiles.shape[-1] > width:
+        half = profiles.shape[-1] // 2
+        profiles = profiles[..., :half] ^ profiles[..., half:]
+    return profiles
 
 
 def _far(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of elements in one set only."""
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] + x[len(x) // 2 :] if len(x) // 2 >= len(y) else x
-    while len(y) > len(x):
-        y = y[: len(y) // 2] + y[len(y) // 2 :]
-    return int(np.abs(x - y).sum())
+    """A lower bound of the number of elements in one set only: each changes one parity."""
+    width = min(len(a), len(b))
+    x, y = _fold(np.frombuffer(a, np.uint8), width), _fold(np.frombuffer(b, np.uint8), width)
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def document_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,7 +179,7 @@ def _signature_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
         ids = np.array([key[0] for key in unique], np.int64)
         sizes = np.array([key[1] for key in unique], np.int64)
         for sigs, owner in signatures(sets):
-            block = (sigs % np.uint64(n_blocks)).astype(np.int64)
+            block, sigs = (sigs % np.uint64(n_blocks)).astype(np.int64), sigs >> np.uint64(8 * (8 - SIG_BYTES))
             order = np.argsort(block, kind="stable")
             block, sigs, owner = block[order], sigs[order], owner[order]
             cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else np.array([0])
@@ -167,7 +187,7 @@ def _signature_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([int(block[a]) for a, _ in spans], pa.int64()),
-                    "sigs": pa.array([sigs[a:b].tobytes() for a, b in spans], pa.binary()),
+                    "sigs": pa.array([sigs[a:b].view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes() for a, b in spans], pa.binary()),
                     "sets": pa.array([ids[owner[a:b]].tobytes() for a, b in spans], pa.binary()),
                     "sizes": pa.array([sizes[owner[a:b]].tobytes() for a, b in spans], pa.binary()),
                 }
@@ -192,7 +212,8 @@ def _shared(blocks: DataFrame) -> DataFrame:
     columns = ["sig", "a", "n_a", "b", "n_b"]
 
     def meet(held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        sigs = np.concatenate([np.frombuffer(x[0], np.uint64) for x in held])
+        short = np.concatenate([np.frombuffer(x[0], np.uint8) for x in held]).reshape(-1, SIG_BYTES)
+        sigs = np.pad(short, ((0, 0), (0, 8 - SIG_BYTES))).view(np.uint64).ravel()
         sets = np.concatenate([np.frombuffer(x[1], np.int64) for x in held])
         sizes = np.concatenate([np.frombuffer(x[2], np.int64) for x in held])
         order = np.lexsort((sizes, sets, sigs))
@@ -284,7 +305,7 @@ def _candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id`` (the smallest id that its links reach)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sets = cut_lineage(document_sets(docs))
+    sets = stored(document_sets(docs))
     known = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     links = similar_links(docs, known)
     chosen = known.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("first"))
@@ -309,71 +330,99 @@ def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     chosen = sets.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("profile").alias("profile"))
-    chosen = cut_lineage(chosen)
     n_blocks = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = cut_lineage(_shared(_signature_blocks(docs.filter("doc_id is not null").select("text"), n_blocks)))
+    found = stored(_shared(_signature_blocks(docs.filter("doc_id is not null").select("text"), n_blocks)))
     pairs = found.filter("sig is null").select("a", "n_a", "b", "n_b").distinct()
-    members = found.filter("sig is not null").select("sig", F.col("a").alias("set_hash"), F.col("n_a").alias("n_shingles"))
-    members = members.join(chosen, ["set_hash", "n_shingles"])
-    leaders = members.groupBy("sig").agg(F.min(F.struct("first", "n_shingles", "profile")).alias("lead"))
-    stars = members.join(leaders, "sig").filter(F.col("first") != F.col("lead.first"))
-
     left = chosen.select(F.col("set_hash").alias("a"), F.col("n_shingles").alias("n_a"), F.col("first").alias("first_a"), F.col("profile").alias("profile_a"))
     right = chosen.select(F.col("set_hash").alias("b"), F.col("n_shingles").alias("n_b"), F.col("first").alias("first_b"), F.col("profile").alias("profile_b"))
     small = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"])
-    ends = ["n_a", "n_b", "profile_a", "profile_b"]
-    small = small.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), *ends)
-    starred = stars.select(
-        F.col("lead.first").alias("a"), F.col("first").alias("b"), F.col("lead.n_shingles").alias("n_a"),
-        F.col("n_shingles").alias("n_b"), F.col("lead.profile").alias("profile_a"), F.col("profile").alias("profile_b"),
-    ).dropDuplicates(["a", "b", "n_a", "n_b"])
-    near = cut_lineage(_within_bound(small.unionByName(starred)).filter("a <> b").distinct())
-    links = cut_lineage(_verified(near, _candidate_texts(docs, near)))
+    small = small.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), "n_a", "n_b", "profile_a", "profile_b")
+
+    members = found.filter("sig is not null").select("sig", F.col("a").alias("set_hash"), F.col("n_a").alias("n_shingles"))
+    members = stored(members.join(chosen.drop("profile"), ["set_hash", "n_shingles"]).select("sig", "first"))
+    often = members.groupBy("first").agg(F.count(F.lit(1)).alias("groups"))
+    leaders = members.join(often, "first").groupBy("sig").agg(F.min_by("first", F.struct(-F.col("groups"), F.col("first"))).alias("lead"))
+    # One leader leads many groups, so the pairs are far fewer than the members.
+    stars = members.join(leaders, "sig").filter("first <> lead").select(F.col("lead").alias("a"), F.col("first").alias("b")).distinct()
+    near = stored(_within_bound(small.unionByName(_with_profiles(stars, chosen))).filter("a <> b").distinct())
+    links = stored(_verified(near, _candidate_texts(docs, near)))
     if members.isEmpty():
         return links
 
     # Members of large groups outside the main component of their group, against the whole group.
     parts = connected_components(links)
     named = members.join(parts, members["first"] == parts["node"], "left")
-    named = cut_lineage(named.select("sig", "first", "n_shingles", "profile", F.coalesce("component", "first").alias("part")))
+    named = stored(named.select("sig", "first", F.coalesce("component", "first").alias("part")))
     sizes = named.groupBy("sig", "part").count()
     main = sizes.groupBy("sig").agg(F.max(F.struct("count", "part")).alias("main")).select("sig", F.col("main.part").alias("main"))
-    outside = named.join(main, "sig").filter("part <> main").drop("main")
-    blocks = _blocks(outside)
-    rest = cut_lineage(_cross(named, blocks).distinct())
-    rest = rest.join(near, ["a", "b"], "left_anti")
+    outside = stored(named.join(main, "sig").filter("part <> main").drop("main"))
+    profiles = chosen.select("first", "n_shingles", "profile")
+    rest = _cross(named.join(profiles, "first"), outside.join(profiles, "first"), named, outside).distinct()
+    rest = stored(rest.join(near, ["a", "b"], "left_anti"))
     return links.unionByName(_verified(rest, _candidate_texts(docs, rest)))
 
 
-def _blocks(outside: DataFrame) -> DataFrame:
-    """The members outside, packed into blocks of about ``BLOCK`` of one signature."""
-    number = F.count(F.lit(1)).alias("n")
-    sized = outside.groupBy("sig").agg(number)
-    lots = F.ceil(F.col("n") / BLOCK).cast("long")
-    dealt = outside.join(sized, "sig").withColumn("lot", F.pmod(F.xxhash64("first"), lots))
-    member = F.struct("first", "n_shingles", "profile", "part")
-    return dealt.groupBy("sig", "lot").agg(F.collect_list(member).alias("block")).select("sig", "block")
+def _with_profiles(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of documents with size and profile of their sets."""
+    left = chosen.select(F.col("first").alias("a"), F.col("n_shingles").alias("n_a"), F.col("profile").alias("profile_a"))
+    right = chosen.select(F.col("first").alias("b"), F.col("n_shingles").alias("n_b"), F.col("profile").alias("profile_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "profile_a", "profile_b")
 
 
-def _cross(named: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Pairs of a member and one of a block, of different components, that the bound leaves; ``a < b``."""
-    kind = named.schema["first"].dataType.simpleString()
+def _cross(members: DataFrame, outside: DataFrame, all_members: DataFrame, all_outside: DataFrame) -> DataFrame:
+    """Pairs of a member and one outside, of one signature and different components, that the bound leaves; ``a < b``.
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Those outside are dealt into lots of about ``BLOCK``, the members into as many salts as
+    they have blocks. A lot and a salt meet in a task: the lot is held, the members stream by.
+    The numbers of lots and salts are counted without profiles.
+    """
+    kind = members.schema["first"].dataType.simpleString()
+    member = ["sig", "first", "n_shingles", "profile", "part"]
+    lots = all_outside.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("lots"))
+    salts = all_members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * 16)).cast("long").alias("salts"))
+    grid = lots.join(salts, "sig")
+    mine = F.pmod(F.xxhash64("first"), F.col("lots")), F.pmod(F.xxhash64("first"), F.col("salts"))
+    held = outside.join(grid, "sig").select(*member, mine[0].alias("lot"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
+    passing = members.join(grid, "sig").select(*member, F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), mine[1].alias("salt"), F.lit(1).alias("side"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lot = None, []
         for batch in batches:
             a, b = [], []
-            rows = (batch.column(c).to_pylist() for c in ("first", "n_shingles", "profile", "part", "block"))
-            for first, n, profile, part, block in zip(*rows, strict=True):
-                for other in block:
-                    m = other["n_shingles"]
-                    if other["part"] == part or min(m, n) * OF < max(m, n) * NEED:
-                        continue
-                    if _far(profile, other["profile"]) * (OF + NEED) <= (m + n) * (OF - NEED):
-                        a.append(min(first, other["first"]))
-                        b.append(max(first, other["first"]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field("first").type), pa.array(b, batch.schema.field("first").type)], ["a", "b"])
-
-    return named.join(blocks, "sig").select("first", "n_shingles", "profile", "part", "block").mapInArrow(hold, f"a {kind}, b {kind}")
+            chunk = []
+            columns = [batch.column(c).to_pylist() for c in ("sig", "lot", "salt", "side", "first", "n_shingles", "profile", "part")]
+            for sig, number, salt, side, *one in zip(*columns, strict=True):
+                if (sig, number, salt) != key or len(chunk) >= 64:
+                    _near_pairs(lot, chunk, a, b)
+                    chunk = []
+                if (sig, number, salt) != key:
+                    key, lot = (sig, number, salt), []
+                (chunk if side else lot).append(one)
+            _near_pairs(lot, chunk, a, b)
+            kind = batch.schema.field("first").type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
+
+    dealt = held.unionByName(passing).repartition("sig", "lot", "salt").sortWithinPartitions("sig", "lot", "salt", "side")
+    return dealt.mapInArrow(meet, f"a {kind}, b {kind}")
+
+
+def _near_pairs(lot: list, chunk: list, a: list, b: list) -> None:
+    """Add the pairs of two lists of ``(id, size, profile, component)`` that the bound leaves."""
+    for width in sorted({len(x[2]) for x in lot}):
+        left = [x for x in lot if len(x[2]) == width]
+        profiles = np.array([np.frombuffer(x[2], np.uint8) for x in left])
+        sizes = np.array([x[1] for x in left], np.int64)
+        for first, n, profile, part in chunk:
+            fits = np.minimum(sizes, n) * OF >= np.maximum(sizes, n) * NEED
+            fits &= np.array([x[3] != part for x in left])
+            if not fits.any():
+                continue
+            common = min(width, len(profile))
+            apart = _fold(profiles[fits], common) ^ _fold(np.frombuffer(profile, np.uint8), common)
+            near = np.bitwise_count(apart).sum(1, dtype=np.int64) * (OF + NEED) <= (sizes[fits] + n) * (OF - NEED)
+            for i in np.flatnonzero(fits)[near]:
+                a.append(min(first, left[i][0]))
+                b.append(max(first, left[i][0]))
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
