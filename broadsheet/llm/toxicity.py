@@ -21,13 +21,15 @@ ones (0 if there are none). Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.llm.shingles import word_hashes
 
@@ -332,7 +334,7 @@ def scores(model: Model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-best))
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+def _blocks(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
     """Lists of texts of about ``BLOCK_CHARS`` characters, at least one text each."""
     held, size = [], 0
     for text in texts:
@@ -384,8 +386,20 @@ def _scored(rows: DataFrame, texts: list[str], known: list[int]) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with all their columns."""
+    """The documents that score below the threshold, with all their columns.
+
+    Only texts go to Python and only scores come back; the rows stay where they are.
+    """
     texts, known = labelled_sample(docs, labels, doc_id, text)
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    scored = _scored(rows.select("row", "text"), texts, known)
-    return scored.filter(F.col("score") < threshold).select("row.*")
+    share = float(np.mean(known)) if known else 0.0
+    shared = docs.sparkSession.sparkContext.broadcast(train(texts, known))
+
+    @F.pandas_udf(T.DoubleType())
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = shared.value
+        for batch in batches:
+            parts = [scores(model, some) if model is not None else np.full(len(some), share) for some in _blocks(batch)]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    rows = docs.select(F.struct("*").alias("row"), toxic(F.col(text)).alias("score"))
+    return rows.filter(F.col("score") < threshold).select("row.*")
