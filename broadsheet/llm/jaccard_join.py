@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.llm.components import connected_components
+from broadsheet.llm.line_dedup import build_filters, probe
 from broadsheet.llm.shingles import mix, shingle_sets, slices
 from broadsheet.session import scratch_path
 
@@ -295,8 +296,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return docs.join(wanted, "doc_id", "left_semi").distinct()
+    """The texts that pairs need. A filter of bounded size passes these and few others, so only they are shuffled."""
+    wanted = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    marked = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h1"))
+    passed = probe(marked, build_filters(wanted.select(F.xxhash64("doc_id").alias("h1"))))
+    return passed.select("doc_id", "text").join(wanted, "doc_id", "left_semi").distinct()
 
 
 # The operator
