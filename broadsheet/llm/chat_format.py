@@ -2,8 +2,9 @@
 
 A record is JSON text of any layout. Its fingerprint is a hash of its nested field paths,
 whatever the values. ``MAPPINGS`` says for each known fingerprint where the turns are, so
-prompt, instruction and message layouts all become rows of ``(role, text)``. Turns are then
-written into one text per conversation::
+prompt, instruction and message layouts all become rows of ``(role, text)``. A table that
+has one row a turn is not written as JSON: the fingerprint of its field names selects one of
+``ROW_MAPPINGS``. Turns are then written into one text per conversation::
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -13,15 +14,22 @@ lists the spans of assistant texts.
 
 Defined results: NULL roles and texts are empty. Rows of one conversation go by turn, then
 role and text; a NULL turn comes first. Rows with a NULL ``conv_id`` are one conversation.
-Records of an unknown layout, or that are no JSON object, are in ``unmapped`` and nowhere
-else. A record repeated with its ``conv_id`` is one. Empty tables give empty tables; extra
-columns are ignored.
+Records of an unknown layout, or that are no JSON object, are in ``unmapped`` with a status
+and nowhere else. A record repeated with its ``conv_id`` is one. Empty tables give empty
+tables; extra columns are ignored.
+
+Limits: Spark reads no JSON text with a string of more than 20 million characters or of more
+than about 128 MB in all; such a record is ``unreadable`` in ``unmapped``. Turns kept as rows
+have no such limit: a conversation is limited by what one row of its formatted text can hold.
 
 All of it is built-in SQL functions. One exchange by conversation puts turns together.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,6 +84,13 @@ MAPPINGS = [
     Mapping("instruction_input", '{"instruction": "", "input": "", "output": ""}', (("system", "instruction"), ("user", "input"), ("assistant", "output"))),
 ]
 
+# Layouts of tables with one row a turn, by the names of their fields; ``turn`` gives the order.
+ROW_MAPPINGS = [
+    Mapping("turn_text", '{"turn": 0, "role": "", "text": ""}', text="text"),
+    Mapping("turn_content", '{"turn": 0, "role": "", "content": ""}'),
+    Mapping("turn_value", '{"turn": 0, "from": "", "value": ""}', role="from", text="value"),
+]
+
 
 def field_paths(record: Column) -> Column:
     """The nested field names of JSON text as one string, sorted, without values or their types; NULL if it is no JSON."""
@@ -87,12 +102,24 @@ def fingerprint(record: Column) -> Column:
     return F.md5(field_paths(record))
 
 
+def names_fingerprint(names: Iterable[str]) -> str:
+    """The fingerprint of a record with these fields and nothing nested in them."""
+    return hashlib.md5(f"OBJECT<{', '.join(sorted(names))}>".encode()).hexdigest()
+
+
 def _known(docs: DataFrame) -> dict[str, str]:
     """Fingerprint of each mapping, by the same expression that records go through."""
     row = docs.sparkSession.range(1).select(*[fingerprint(F.lit(m.example)).alias(m.name) for m in MAPPINGS]).first()
     return row.asDict()
 
 
+def _role(mapping: Mapping, role: Column) -> Column:
+    role = F.coalesce(role, F.lit(""))
+    if mapping.role != "from":
+        return role
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])[role], role)
+
+
 def _turns(mapping: Mapping, record: Column) -> Column:
     value = F.try_parse_json(record)
 
@@ -104,13 +131,9 @@ def _turns(mapping: Mapping, record: Column) -> Column:
         return fixed
     kind = f"array<struct<{mapping.role}: string, {mapping.text}: string>>"
     listed = F.try_variant_get(value, f"$.{mapping.items}", kind)
-    names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
 
     def turn(item: Column) -> Column:
-        role = F.coalesce(item[mapping.role], F.lit(""))
-        if mapping.role == "from":
-            role = F.coalesce(names[role], role)
-        return F.struct(role.alias("role"), F.coalesce(item[mapping.text], F.lit("")).alias("text"))
+        return F.struct(_role(mapping, item[mapping.role]).alias("role"), F.coalesce(item[mapping.text], F.lit("")).alias("text"))
 
     turns = F.transform(listed, turn)
     return F.concat(fixed, turns) if mapping.fields else turns
@@ -126,14 +149,39 @@ def to_turns(records: DataFrame, conv_id: str = "conv_id", record: str = "record
 
 
 def unmapped(records: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
-    """``conv_id, record, paths``: records whose layout no mapping knows."""
+    """``conv_id, record, paths, status``: records without turns, as ``missing`` (NULL), ``unreadable`` or of an ``unknown layout``."""
     known = list(_known(records).values())
     paths = field_paths(F.col(record))
-    return records.filter(F.coalesce(~F.md5(paths).isin(known), F.lit(True))).select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"), paths.alias("paths"))
+    status = F.when(F.col(record).isNull(), "missing").when(paths.isNull(), "unreadable").otherwise("unknown layout")
+    lost = records.filter(F.coalesce(~F.md5(paths).isin(known), F.lit(True)))
+    return lost.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"), paths.alias("paths"), status.alias("status"))
+
+
+def row_mapping(names: Iterable[str]) -> Mapping:
+    """The first of ``ROW_MAPPINGS`` that the fields of a table fit, other fields aside."""
+    names = set(names)
+    for mapping in ROW_MAPPINGS:
+        fields = set(json.loads(mapping.example))
+        if names_fingerprint(names & fields) == names_fingerprint(fields):
+            return mapping
+    raise ValueError(f"no layout with one row a turn has the fields {sorted(names)}")
+
+
+def rows_to_turns(rows: DataFrame, conv_id: str = "conv_id") -> DataFrame:
+    """``conv_id, version, pos, role, text`` of conversations kept one row a turn. They have one version."""
+    mapping = row_mapping(rows.columns)
+    text = F.coalesce(F.col(mapping.text), F.lit(""))
+    one = F.struct(F.col("turn"), _role(mapping, F.col(mapping.role)).alias("role"), text.alias("text"))
+    grouped = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    exploded = grouped.select("conv_id", F.lit("").alias("version"), F.posexplode("turns").alias("pos", "one"))
+    return exploded.select("conv_id", "version", "pos", "one.role", "one.text")
 
 
 def rows_to_records(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``conv_id, record``: conversations kept one row a turn, as JSON of the layout that suits their roles."""
+    """``conv_id, record``: conversations kept one row a turn, as JSON of the layout that suits their roles.
+
+    ``rows_to_turns`` needs no JSON and has no limit of its size.
+    """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     grouped = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
     roles = F.transform("turns", lambda t: t["role"])

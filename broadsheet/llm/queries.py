@@ -74,8 +74,7 @@ def op9_chat_format(spark, sf):
     rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    records = chat_format.rows_to_records(rows.unionByName(more))
-    return chat_format.digests(chat_format.format_turns(chat_format.to_turns(records)))
+    return chat_format.digests(chat_format.format_turns(chat_format.rows_to_turns(rows.unionByName(more))))
 
 
 @query

@@ -169,6 +169,33 @@ def test_formatted_turns_hold_no_control_string(spark):
     assert not any(c in row["e"] for c in ("<|im_start|>", "<|im_end|>", "</s>", "[INST]", "<<SYS>>", "<|endoftext|>"))
 
 
+def test_long_turns_are_kept(spark, tmp_path):
+    """A string of this length is more than JSON text may hold."""
+    size, path = 21_000_000, str(tmp_path / "conversations.parquet")
+    rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", None), (None, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    rows.withColumn("text", F.coalesce("text", F.repeat(F.lit("a"), F.lit(size)))).write.parquet(path)
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in CATALOGUE["op9_chat_format"](spark, str(tmp_path)).collect()}
+    assert got == {-7: (2, 21), 1: (2, size), None: (1, 0)}
+
+
+def test_rows_need_no_json(spark):
+    rows = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
+    for table in (rows, rows.withColumnRenamed("text", "content")):
+        made = chat_format.format_turns(chat_format.rows_to_turns(table))
+        assert sorted((tuple(r)[:5] for r in chat_format.digests(made).collect()), key=repr) == plain_digests(CHAT)
+    named = spark.createDataFrame([(1, 1, "gpt", "a"), (1, 0, "human", "q")], "conv_id long, turn long, `from` string, value string")
+    assert [tuple(r)[2:] for r in chat_format.rows_to_turns(named).orderBy("pos").collect()] == [(0, "user", "q"), (1, "assistant", "a")]
+    with pytest.raises(ValueError):
+        chat_format.rows_to_turns(rows.drop("text"))
+
+
+def test_records_without_turns_have_a_status(spark):
+    table = spark.createDataFrame([(1, "no json"), (2, '{"other": 1}'), (3, None), (4, '{"prompt": "", "completion": "%s"}')], "conv_id long, record string")
+    table = table.withColumn("record", F.replace("record", F.lit("%s"), F.repeat(F.lit("a"), F.lit(21_000_000))))
+    got = {r["conv_id"]: r["status"] for r in chat_format.unmapped(table).select("conv_id", "status").collect()}
+    assert got == {1: "unreadable", 2: "unknown layout", 3: "missing", 4: "unreadable"}
+
+
 # The pipeline
 
 
