@@ -8,9 +8,11 @@ shared blocks are what the site repeats and are deleted.
 Two checks by structure follow, because differencing alone can't be right on copied
 articles and on boilerplate that varies from page to page. Shared blocks inside an
 ``article`` or ``main`` element stay. Blocks in elements made for menus, headers, footers,
-sidebars, notices, adverts, forms or comments go, shared or not. If a page has an
-``article`` (or else a ``main``) element, only what is inside counts. A page that shares
-all its blocks is a copy, which tells nothing, so nothing is deleted.
+sidebars, notices, adverts, forms or comments go, shared or not; class, id and role count
+as whole names, and a form around the page's own structure is none of them. If a page has an
+``article`` (or else a ``main``) element, only what is inside counts. One inside an element
+to drop counts where no ``article`` stands outside, unless a ``main`` outside holds more. A
+page that shares all its blocks is a copy, which tells nothing, so nothing is deleted.
 
 Defined results: NULL or empty html has an empty text. Pages with a NULL or odd URL are of
 one host without a neighbour. Repeated rows have repeated results. Unfinished markup at the
@@ -39,7 +41,7 @@ from broadsheet.llm.shingles import slices
 RAW = {"script", "style", "template", "noscript", "svg", "iframe", "textarea", "math", "object", "canvas"}
 # Elements that never hold the article.
 ASIDE = {"head", "title", "nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset"}
-# Names in class, id or role that tell the same of any element.
+# Whole names in class, id or role that tell the same of any element, as do names joined of them only.
 ASIDE_NAMES = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner",
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc",
@@ -48,6 +50,12 @@ ASIDE_NAMES = {
     "comment", "comments", "respond", "discussion", "disqus", "replies", "share", "sharing", "social", "related", "recommended",
     "search", "login", "signup", "form",
 }
+ASIDE_NAMES |= {f"{a}-{b}" for a in ("site", "main", "top", "bottom", "global", "primary", "secondary") for b in ("nav", "navbar", "navigation", "menu", "header", "footer")}
+ASIDE_NAMES |= {
+    "site-info", "nav-links", "widget-area", "sidebar-widget", "comments-area", "comment-list", "comments-list", "comment-section", "comments-section",
+    "related-posts", "related-articles", "related-links", "related-content", "recommended-posts", "share-buttons", "share-links",
+    "social-links", "social-icons", "social-media", "ad-container", "ad-wrapper", "ad-slot", "ad-unit", "ad-box", "cookie-bar", "cookie-policy", "search-box", "search-bar",
+}
 # Elements inside a block; all others begin and end one.
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
@@ -58,32 +66,40 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPLIT = re.compile(r"[\s_\-]+")
+# What tells that a form is around the page, before its end tag.
+_AROUND = re.compile(r"<(?:(h1|nav|footer|aside|main|article)|/form)\b", re.I)
 
 # Where a block stands.
 MAIN, PLAIN, BESIDE = 2, 1, 0
 
 
+def _is_aside_name(name: str) -> bool:
+    name = name.replace("_", "-").strip("-")
+    return name in ASIDE_NAMES or ("-" in name and ASIDE_NAMES.issuperset(filter(None, name.split("-"))))
+
+
 def _is_aside(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in ASIDE or (tag == "header" and not in_main):
         return True
     if attributes and tag not in ("html", "body", "article", "main"):
         for found in _NAMES.finditer(attributes):
             value = found[1] or found[2] or found[3] or ""
-            if not ASIDE_NAMES.isdisjoint(_SPLIT.split(value.lower())):
+            if any(map(_is_aside_name, value.lower().split())):
                 return True
     return False
 
 
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """The blocks of a page in order: text with single blanks, and where it stands."""
-    out: list[tuple[str, int]] = []
+    # Texts with their container, "" outside of any and NULL in an aside, and whether that stands in an aside.
+    out: list[tuple[str, str | None, bool]] = []
     text = page or ""
     has_article = "<article" in text or "<article" in text.lower()
-    mains = {"article"} if has_article else {"main"}
     parts: list[str] = []
-    main_depth = 0
+    depth = {"article": 0, "main": 0}
     beside, beside_depth = "", 0
+    # Asides around the open container: name, level, what was open before, level of the name since.
+    held: list[list] = []
     at = 0
 
     def close() -> None:
@@ -91,7 +107,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             joined = "".join(parts)
             clean = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
             if clean:
-                out.append((clean, BESIDE if beside else MAIN if main_depth else PLAIN))
+                out.append((clean, None if beside else "article" if depth["article"] else "main" if depth["main"] else "", bool(held)))
             parts.clear()
 
     while True:
@@ -125,12 +141,33 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                     beside = ""
             elif ends and tag in ("body", "html"):
                 beside = ""
-        elif tag in mains:
-            main_depth = max(0, main_depth - 1) if ends else main_depth + 1
-        elif not ends and tag not in VOID and _is_aside(tag, found[3] or "", main_depth > 0):
+                held.clear()
+            elif tag in depth and not ends:
+                held.append([beside, beside_depth, depth, 0])
+                beside, depth = "", {"article": 0, "main": 0, tag: 1}
+        elif tag in depth:
+            depth[tag] = max(0, depth[tag] - 1) if ends else depth[tag] + 1
+            if held and not any(depth.values()):
+                beside, beside_depth, depth, _ = held.pop()
+        elif not ends and tag == "form" and (around := _AROUND.search(text, at)) and around[1]:
+            continue
+        elif not ends and tag not in VOID and _is_aside(tag, found[3] or "", depth["article" if has_article else "main"] > 0):
             beside, beside_depth = tag, 1
+        elif held and tag == held[-1][0]:
+            held[-1][3] += -1 if ends else 1
+            if held[-1][3] < 0:
+                # The aside ends, and so does what was left open in it.
+                beside, beside_depth, depth, _ = held.pop()
+                beside_depth -= 1
+                beside = beside if beside_depth else ""
     close()
-    return out
+    size = {(c, h): sum(len(t) for t, *x in out if x == [c, h]) for c in depth for h in (False, True)}
+    if size["article", False]:
+        main = ("article", False)
+    else:
+        main = max([("main", False), ("article", True)], key=lambda x: size[x])
+        main = main if size[main] else ("main", True)
+    return [(t, MAIN if (c, h) == main else PLAIN if c is not None and not h else BESIDE) for t, c, h in out]
 
 
 def block_hashes(cut: list[tuple[str, int]]) -> list[int]:

@@ -54,6 +54,24 @@ def test_text_of(body, text):
     assert main_text.text_of(page, None) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        *[(f"<nav>m</nav><div class='{c}'><article><p>body</p></article></div>", "body") for c in ("content has-sidebar", "no-comments", "search-result", "page-header-fixed", "sidebar", "header")],
+        ("<div class='content has-sidebar'><p>body</p></div><div class='widget sidebar'>side</div><div id='cookie_notice'>c</div><div class='main-nav'>m</div>", "body"),
+        ("<form id='aspnetForm'><nav>m</nav><div><h1>T</h1><p>body</p></div></form><form>Name <p>mail</p></form>", "T body"),
+        ("<form><main><p>body</p></main></form>", "body"),
+        ("<div class='banner'><div>b</div><article>one<div class='ad'><div>x</div>buy</div>two</article>c</div><p>rest</p>", "one two"),
+        # Comments and teasers are articles too.
+        ("<article>body<aside><article>teaser</article></aside>end</article><div class='comments'><article>first!</article></div>", "body end"),
+        ("<main><p>the longer body</p></main><aside><article>teaser</article></aside>", "the longer body"),
+        ("<aside><article>teaser</aside><article>body</article>", "body"),
+    ],
+)
+def test_articles_inside_elements_to_drop(page, text):
+    assert main_text.text_of(f"<html><body class='sidebar'>{page}</body></html>", None) == text
+
+
 def test_differencing_deletes_what_neighbours_share(spark):
     """Without an article element only the comparison with the nearest page tells what the site repeats."""
     rows = [(i, f"http://h.example/a/{i:03d}?q={i}", f"<div>Welcome</div><div>text {i}</div><p>more {i}</p><div>Imprint</div>") for i in range(40)]
