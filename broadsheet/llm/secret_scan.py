@@ -1,7 +1,11 @@
 """Secret scans: a random forest decides which candidate strings are secrets.
 
-Candidates are all runs of at least 16 letters, digits and ``+ / = _ -``, of which whole
-texts hold many that are no secrets: long words, numbers, paths, host names. Each gets
+Candidates are of two forms. One is all runs of at least 16 letters, digits and ``+ / _ -``
+with ``=`` as padding at their end, of which whole texts hold many that are no secrets: long
+words, numbers, paths, host names. The other is any value of at least 6 characters assigned
+to a name with a key word: within quotes up to the closing one, otherwise up to a blank,
+quote or next URL parameter, without the punctuation at its end. A name and its ``=`` are no
+part of a candidate (a name of a single letter stays with a run). Each candidate gets
 features of four kinds: its length; its character transitions (how often the class of
 character changes, shares of classes, different characters); how much of it the commonest
 words of the corpus cover; and its path and neighbouring words (slashes, dots, an
@@ -34,11 +38,22 @@ from pyspark.sql import functions as F
 
 from broadsheet.session import cut_lineage
 
-# A candidate begins where a run begins; runs are taken whole, so no text is read twice.
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}+"
+KEY_WORD = r"(?i)(secret|token|passw|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key)"
+# What stands between a name and its value.
+BETWEEN = r"[\"'`\])]{0,2}\s{0,4}[:=]{1,3}>?\s{0,4}(?:(?i:bearer|basic)\s{1,2})?[\"'`]?"
+# A value after a name with a key word. The first tests are short, so that few places need the long one.
+NAMED = KEY_WORD.replace("(?i)(", "(?i:") + rf"[A-Za-z0-9_-]{{0,24}}{BETWEEN}"
+KEYED = (
+    r"(?<=[:=>\s\"'`])(?<=[:=>]|[:=>][\s\"'`]|[:=>]\s{1,4}[\"'`]?|(?i:bearer|basic)\s{1,2}[\"'`]?)"
+    rf"(?<={NAMED})(?!(?i:bearer|basic)\s)"
+    r"(?:(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')|(?<=`)[^`\r\n]{6,}+(?=`)"
+    r"|(?![:=>])(?:(?!&\w{1,40}=)[^\s\"'`]){5,}(?<![&?])(?!&\w{1,40}=)[^\s\"'`,;.:)\]}>])"
+)
+# A run begins where no other run does; runs are taken whole, so no text is read twice.
+RUN = r"(?<![A-Za-z0-9+/_-])(?:(?<!=)[A-Za-z]=)?[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/=_-]))?"
+CANDIDATE = f"(?:{KEYED}|{RUN})"
 # Characters of context kept before and after a candidate.
 BEFORE, AFTER = 80, 40
-KEY_WORD = r"(?i)(secret|token|passw|pwd|api_?key|access_?key|auth|credential|bearer|private_?key)"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 # Common words that count as the dictionary, and their length.
 DICTIONARY, SHORTEST, LONGEST = 96, 3, 7
@@ -61,11 +76,16 @@ def common_words(docs: DataFrame, text: str = "text", size: int = DICTIONARY) ->
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, place, candidate, before, after``: every candidate of every text with its context."""
-    found = F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
-    between = F.split(F.col(text), CANDIDATE, -1)
+    # Few texts name a key word before an assignment; the others have no candidates but runs.
+    named = F.col(text).rlike(NAMED)
+    found = F.when(named, F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))).otherwise(F.regexp_extract_all(F.col(text), F.lit(RUN), F.lit(0)))
+    between = F.when(named, F.split(F.col(text), CANDIDATE, -1)).otherwise(F.split(F.col(text), RUN, -1))
     rows = docs.select(F.col(doc_id).alias("doc_id"), found.alias("found"), between.alias("between")).filter(F.size("found") > 0)
-    rows = rows.select("doc_id", "between", F.posexplode("found").alias("place", "candidate"))
+    rows = rows.select("doc_id", "between", "found", F.posexplode("found").alias("place", "candidate"))
+    rows = rows.withColumn("last", F.when(F.col("place") > 0, F.get("found", F.col("place") - 1))).drop("found")
     before, after = F.get("between", F.col("place")), F.get("between", F.col("place") + 1)
+    # The name that a value is assigned to can be a candidate of its own.
+    before = F.when(before.rlike(f"^{BETWEEN}$"), F.concat(F.coalesce("last", F.lit("")), before)).otherwise(before)
     return rows.select("doc_id", "place", "candidate", F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"))
 
 
@@ -74,7 +94,8 @@ def with_features(rows: DataFrame, dictionary: list[str]) -> DataFrame:
     own, before, after = F.col("candidate"), F.col("before"), F.col("after")
     size = F.length(own)
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    classes = F.translate(own, lower + upper + "0123456789+/=_-", "a" * 26 + "A" * 26 + "0" * 10 + "-----")
+    signs = "+/=_-!\"#$%&'()*,.:;<>?@[\\]^`{|}~ "
+    classes = F.translate(own, lower + upper + "0123456789" + signs, "a" * 26 + "A" * 26 + "0" * 10 + "-" * len(signs))
 
     def share(pattern: str) -> Column:
         return F.regexp_count(own, F.lit(pattern)) / size
@@ -103,7 +124,7 @@ def with_features(rows: DataFrame, dictionary: list[str]) -> DataFrame:
 
 def findings_by_rule(rows: DataFrame) -> DataFrame:
     """Candidates that rules can tell for sure, with ``label`` 1 or 0."""
-    named = F.col("before").rlike(r"(?i)(secret|token|password|passwd|api_?key)\s*[=:]\s*[\"']$")
+    named = F.col("before").rlike(r"(?i)(secret|token|password|passwd|api_?key)\s*[=:]\s*[\"']$|(SECRET|TOKEN|PASSWORD|PASSWD|API_?KEY)[A-Z0-9_]*=$")
     plain = F.col("candidate").rlike("^(?:[A-Za-z]+|[0-9]+)$")
     label = F.when(named & ~plain, 1).when(~named & (plain | (F.col("covered") > 0.5)), 0)
     return rows.withColumn("label", label.cast("double")).filter(F.col("label").isNotNull())

@@ -286,3 +286,38 @@ def test_candidates_keep_their_context(spark):
     got = [tuple(r) for r in secret_scan.candidates(docs).orderBy("place").collect()]
     assert [(r[1], r[2]) for r in got] == [(0, "a=bbbbbbbbbbbbbbbbbbbb"), (1, "/dddddddddddddddddd"), (2, "eeeeeeeeeeeeeeeee")]
     assert got[1][3:] == (" c ", ". ")
+
+
+@pytest.mark.parametrize(
+    "text, secrets",
+    [
+        ("password = 'hunter2!x'", ["hunter2!x"]),
+        ("API_TOKEN=9f8e7d6c5b4a39281706f5e4d3c2b1a0\nX=1", ["9f8e7d6c5b4a39281706f5e4d3c2b1a0"]),
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG+bPxRfiCY==", ["AWS_SECRET_ACCESS_KEY", "wJalrXUtnFEMI/K7MDENG+bPxRfiCY=="]),
+        ('{"api-key": "a.b!c@d#e$f g"}, passwd: x7$k.', ["a.b!c@d#e$f g"]),
+        ("DB_PASSWORD=p.a!s@s#1$, http://h/?token=abc123&page=2", ["p.a!s@s#1$", "abc123"]),
+        ("Authorization: Bearer ab.cd-ef1", ["ab.cd-ef1"]),
+        ("name=0123456789abcdef0 the password is unknown, see `token: no`", ["0123456789abcdef0"]),
+    ],
+)
+def test_candidates_end_at_assignments(spark, text, secrets):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = secret_scan.with_features(secret_scan.candidates(docs), []).orderBy("place").collect()
+    assert [r["candidate"] for r in rows] == secrets
+    if "name=" not in text and "Bearer" not in text:
+        assert rows[-1]["key_word"] and rows[-1]["assigned"]
+
+
+def test_short_and_unquoted_secrets_are_found(spark):
+    rng, rows, planted = random.Random(7), [], {}
+    for i in range(300):
+        words = [rng.choice(["the", "and", "internationalization", "1234567890123456", "stone"]) for _ in range(30)]
+        if i % 3 == 0:
+            planted[i] = "".join(rng.choice("abcdXYZ0123456789") for _ in range(5)) + rng.choice(".!@#$") + "".join(rng.choice("abcdXYZ0123456789") for _ in range(4))
+            words.insert(9, f"password = '{planted[i]}'")
+        if i % 3 == 1:
+            planted[i] = "%032x" % rng.getrandbits(128)
+            words.insert(9, f"API_TOKEN={planted[i]}")
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["secret"] for r in secret_scan.scan(docs).collect()} == planted
