@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,7 +105,7 @@ def window_starts(n: int) -> list[int]:
 
 
 class Model:
-    """Parameters and both passes. ``p`` holds plain arrays, so a model is pickled as they are."""
+    """Parameters, as plain arrays in ``p``, and both passes."""
 
     def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, seed: int = 7):
         """``vocabulary``: sorted hashes of the known words; ``weight``: the evidence of each, after that of all others."""
@@ -122,6 +123,17 @@ class Model:
             self.p |= {f"W{side}": small(d, 3 * h), f"b{side}": np.zeros(3 * h, np.float32), f"U{side}": small(h, 3 * h)}
         self.p |= {"att": small(2 * h), "out": small(2 * h), "bias": np.full(1, -2, np.float32)}
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All that makes up the model, as plain arrays: they can be broadcast to executors without this package."""
+        return {"vocabulary": self.vocabulary, **self.p}
+
+    @classmethod
+    def of(cls, arrays: dict[str, np.ndarray]) -> Model:
+        model = cls.__new__(cls)
+        model.p = {k: v for k, v in arrays.items() if k != "vocabulary"}
+        model.vocabulary = arrays["vocabulary"]
+        return model
+
     def numbers(self, words: Words) -> np.ndarray:
         """Rows of the word vectors; 0 for words that aren't known."""
         if not len(self.vocabulary):
@@ -368,13 +380,18 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def _share(rows: DataFrame, model: Model | None) -> Broadcast[dict[str, np.ndarray]]:
+    """A broadcast is pickled by reference, so it holds arrays and no class of this package; empty without a model."""
+    return rows.sparkSession.sparkContext.broadcast(model.arrays() if model is not None else {})
+
+
 def _scored(rows: DataFrame, texts: list[str], known: list[int]) -> DataFrame:
     """``rows`` (any columns, the text as ``text``) with a column ``score`` after them."""
     share = float(np.mean(known)) if known else 0.0
-    shared = rows.sparkSession.sparkContext.broadcast(train(texts, known))
+    shared = _share(rows, train(texts, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.of(shared.value) if shared.value else None
         for batch in batches:
             blocks = _blocks(batch.column("text").to_pylist())
             parts = [scores(model, some) if model is not None else np.full(len(some), share) for some in blocks]
@@ -392,11 +409,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     """
     texts, known = labelled_sample(docs, labels, doc_id, text)
     share = float(np.mean(known)) if known else 0.0
-    shared = docs.sparkSession.sparkContext.broadcast(train(texts, known))
+    shared = _share(docs, train(texts, known))
 
     @F.pandas_udf(T.DoubleType())
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
+        model = Model.of(shared.value) if shared.value else None
         for batch in batches:
             parts = [scores(model, some) if model is not None else np.full(len(some), share) for some in _blocks(batch)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
