@@ -50,3 +50,36 @@ WITH c AS (
 SELECT conv_id, n_turns, turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
 FROM s
 """
+
+
+def _clusters(rounds: int = 3) -> str:
+    """Rounds written out one after the other; centroids are rows of lists."""
+    parts = [r"""
+e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k, v AS c FROM e
+  ORDER BY sha256('1:' || vec_id), v LIMIT 16
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (
+  SELECT vec_id, v, min((d, k)) AS m FROM (
+    SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d, rn
+    FROM (SELECT *, row_number() OVER () AS rn FROM e) CROSS JOIN c{i})
+  GROUP BY rn, vec_id, v
+)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (
+  SELECT k, list(floor_mean ORDER BY i) AS c FROM (
+    SELECT m[2] AS k, i, (sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+    FROM a{i} CROSS JOIN range(1, 65) r(i) GROUP BY 1, 2) GROUP BY k
+), c{i + 1} AS (SELECT k, coalesce(s{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN s{i} USING (k))""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT vec_id, k::INT AS cluster, m[1] AS distance, (sum(m[1]) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+  (sum(m[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM (SELECT *, m[2] AS k FROM a{rounds}) JOIN c{rounds} USING (k)
+"""
+
+
+SQL["op13_centroids"] = _clusters()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm import (
     bpe,
+    centroids,
     chat_format,
     decontaminate,
     exact_dedup,
@@ -86,3 +87,8 @@ def op3_token_counts(spark, sf):
 def op6_secret_scan(spark, sf):
     found = secret_scan.scan(_table(spark, sf, "documents"))
     return found.select("doc_id", "place", F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
+@query
+def op13_centroids(spark, sf):
+    return centroids.cluster(_table(spark, sf, "embeddings"))
