@@ -83,3 +83,35 @@ FROM (SELECT *, m[2] AS k FROM a{rounds}) JOIN c{rounds} USING (k)
 
 
 SQL["op13_centroids"] = _clusters()
+
+# The targets by filling up: a source stops when its most is below its share of what is left, over all sources at least as needy.
+SQL["op11_curriculum"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))) AS place
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, 3.0::DOUBLE * sum(size) AS most,
+    [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w,
+    [7.5::DOUBLE, 2.0, 0.5][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w0,
+    [-5.0::DOUBLE, 0.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS slope
+  FROM d GROUP BY source
+), f AS (
+  SELECT a.source, bool_and(b.most * (SELECT sum(c.w) FROM s c WHERE c.most / c.w >= b.most / b.w)
+    <= b.w * ((SELECT sum(source_size) FROM s) - coalesce((SELECT sum(c.most) FROM s c WHERE c.most / c.w < b.most / b.w), 0))) AS stops
+  FROM s a JOIN s b ON b.most / b.w <= a.most / a.w GROUP BY a.source
+), t AS (
+  SELECT s.*, CASE WHEN stops THEN most ELSE w * ((SELECT sum(source_size) FROM s)
+      - coalesce((SELECT sum(most) FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source WHERE stops), 0))
+    / (SELECT sum(w) FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source WHERE NOT stops) END AS target
+  FROM s JOIN f ON s.source IS NOT DISTINCT FROM f.source
+), p AS (
+  SELECT d.*, t.* EXCLUDE (source), floor(target + 0.5)::BIGINT AS lim,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), y AS (SELECT *, a / lim * w AS y FROM p)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+  (greatest(least(lim - a, size), 0) + greatest(least(lim - a - source_size, size), 0) + greatest(least(lim - a - 2 * source_size, size), 0))::BIGINT AS taken,
+  CASE WHEN least(lim - a, size) > 0 THEN 2.0 * y / (w0 + sqrt(w0 * w0 + 2.0 * slope * y)) END AS position
+FROM y
+"""

@@ -11,6 +11,7 @@ from broadsheet.llm import (
     bpe,
     centroids,
     chat_format,
+    curriculum,
     decontaminate,
     exact_dedup,
     jaccard_join,
@@ -92,3 +93,8 @@ def op6_secret_scan(spark, sf):
 @query
 def op13_centroids(spark, sf):
     return centroids.cluster(_table(spark, sf, "embeddings"))
+
+
+@query
+def op11_curriculum(spark, sf):
+    return curriculum.mix(_table(spark, sf, "documents"))
