@@ -115,3 +115,61 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
   CASE WHEN least(lim - a, size) > 0 THEN 2.0 * y / (w0 + sqrt(w0 * w0 + 2.0 * slope * y)) END AS position
 FROM y
 """
+
+# CRC-32 bit by bit; costs from the last row to the first; then one edit a step, the least letter that the costs allow.
+SQL["op12_turn_repair"] = r"""
+WITH RECURSIVE b AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(
+        string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT),
+      lambda c, x: list_reduce([xor(c, x)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT) % 20 AS fault
+  FROM conversations
+), d AS (
+  SELECT g, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fault WHEN 3 THEN 2 ELSE 1 END))
+  FROM b WHERE fault <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS pos, substr(role, 1, 1) AS initial FROM d
+), k AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY pos) > 1 AS again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') AS cut,
+    lag(initial) OVER (PARTITION BY g ORDER BY pos) || initial AS pair, lag(g) OVER (PARTITION BY g ORDER BY pos) IS NOT NULL AS has_pair
+  FROM n
+), r AS (
+  SELECT g, pos, role, text, blank OR again AS must, cut::INT AS extra,
+    CASE initial WHEN 's' THEN [1, 99, 99, 99] WHEN 'u' THEN [2, 2, 99, 2] WHEN 'a' THEN [99, 99, 3, 99] ELSE [99, 99, 99, 99] END AS keep
+  FROM k
+), c AS (
+  SELECT g, count(*) AS rows, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated, count(*) FILTER (has_pair AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM k GROUP BY g
+), v AS (
+  SELECT g, rows + 1 AS pos, [0, 4, 2, 0]::BIGINT[] AS v FROM c
+  UNION ALL
+  SELECT g, pos, [least(e[1], 2 + e[3], 4 + e[4]), least(e[2], 2 + e[3], 4 + e[4]), least(e[3], 2 + e[4]), least(e[4], 2 + e[3])]
+  FROM (
+    SELECT r.g, r.pos, CASE WHEN must THEN list_transform(v.v, lambda x: x + 3) ELSE list_transform([1, 2, 3, 4], lambda s:
+      least(3 + v.v[s], 2 + extra + v.v[[3, 3, 4, 3][s]], CASE WHEN keep[s] < 99 THEN extra + v.v[keep[s] + 1] ELSE 1000000000 END)) END AS e
+    FROM v JOIN r ON r.g = v.g AND r.pos = v.pos - 1)
+), t AS (
+  SELECT g, 1::BIGINT AS pos, 0 AS s, 0::BIGINT AS cost, '' AS audit, NULL::VARCHAR AS made, false AS done FROM c
+  UNION ALL
+  SELECT g, CASE edit WHEN 'I' THEN pos WHEN '' THEN pos ELSE pos + 1 END, CASE edit WHEN 'D' THEN s WHEN '' THEN s WHEN 'K' THEN keep[s + 1] ELSE [2, 2, 3, 2][s + 1] END,
+    cost + CASE edit WHEN 'D' THEN 3 WHEN 'I' THEN 2 WHEN 'R' THEN 2 + extra WHEN 'K' THEN extra ELSE 0 END, audit || edit,
+    CASE WHEN edit IN ('D', '') THEN made ELSE CASE WHEN made IS NULL THEN '' ELSE made || chr(10) END
+      || CASE WHEN edit = 'K' THEN role WHEN s = 2 THEN 'assistant' ELSE 'user' END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END END, edit = ''
+  FROM (
+    SELECT t.*, r.keep, r.extra, r.role, r.text, CASE
+      WHEN r.g IS NULL THEN CASE WHEN a.v[t.s + 1] > 0 THEN 'I' ELSE '' END
+      WHEN 3 + z.v[t.s + 1] = a.v[t.s + 1] THEN 'D'
+      WHEN 2 + a.v[[3, 3, 4, 3][t.s + 1]] = a.v[t.s + 1] THEN 'I'
+      WHEN keep[t.s + 1] < 99 AND extra + z.v[keep[t.s + 1] + 1] = a.v[t.s + 1] THEN 'K'
+      ELSE 'R' END AS edit
+    FROM t JOIN v a ON a.g = t.g AND a.pos = t.pos LEFT JOIN r ON r.g = t.g AND r.pos = t.pos LEFT JOIN v z ON z.g = t.g AND z.pos = t.pos + 1
+    WHERE NOT t.done)
+)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(made, '')) AS repaired_sha256
+FROM (SELECT DISTINCT g, conv_id FROM b) i LEFT JOIN c ON c.g = i.g LEFT JOIN t ON t.g = i.g AND t.done
+"""

@@ -20,6 +20,7 @@ from broadsheet.llm import (
     secret_scan,
     token_counts,
     toxicity,
+    turn_repair,
 )
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +99,8 @@ def op13_centroids(spark, sf):
 @query
 def op11_curriculum(spark, sf):
     return curriculum.mix(_table(spark, sf, "documents"))
+
+
+@query
+def op12_turn_repair(spark, sf):
+    return turn_repair.digests(*turn_repair.repair(turn_repair.damage(_table(spark, sf, "conversations")), "times"))
