@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,3 +37,12 @@ def class_string(text: Column) -> Column:
     for name in ["A", "N", "M", "H", "I", "K"]:
         out = F.regexp_replace(out, by_name[name], name)
     return F.regexp_replace(out, "(?s)[^MHIKAN]", "O")
+
+
+def class_table() -> bytes:
+    """The class of each code point below 65536, as its place in ``MHIKANO``; all others are of the last class."""
+    names, table = "MHIKANO", bytearray([6]) * 65536
+    for name, pattern in reversed(CHARACTER_CLASSES):
+        for found in re.finditer(pattern, "".join(map(chr, range(65536)))):
+            table[found.start()] = names.index(name)
+    return bytes(table)

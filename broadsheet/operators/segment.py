@@ -7,14 +7,14 @@ select weights; the gap is a boundary when bias and weights sum to more than 0.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from broadsheet.functions.binding import let
-from broadsheet.functions.chars import class_string
+from broadsheet.functions.chars import class_string, class_table
+from broadsheet.operators import boundaries as B
+from broadsheet.operators.boundaries import EDGES_AFTER, EDGES_BEFORE, STATES
 from broadsheet.session import MAX_BROADCAST_ROWS, broadcast_within, cut_lineage
 
 # Features and the items they join, by window position (w characters,
@@ -42,14 +42,8 @@ BIAS = "BIAS"
 
 # Inside plans an edge is one code point that is no character in any text, so that a window
 # is a 6-character string.
-_EDGE_CHARS = dict(zip(EDGES, "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5"))
-_BEFORE = "".join(_EDGE_CHARS[e] for e in EDGES[:3])
-_AFTER = "".join(_EDGE_CHARS[e] for e in EDGES[3:])
-
-# The decisions that can precede a gap, oldest first; the position is the state number.
-STATES = ["UUU"] + ["UU" + a for a in "BO"] + ["U" + a + b for a in "BO" for b in "BO"] + [
-    a + b + c for a in "BO" for b in "BO" for c in "BO"
-]
+_EDGE_CHARS = dict(zip(EDGES, EDGES_BEFORE + EDGES_AFTER, strict=True))
+_BEFORE, _AFTER = EDGES_BEFORE, EDGES_AFTER
 
 
 def _windows(padded: Column, width: int) -> Column:
@@ -188,6 +182,10 @@ def _sum_of(rows: DataFrame, offset: int) -> Column:
     return total.cast("int").alias(_at(offset))
 
 
+def _bias(weights: DataFrame) -> int:
+    return weights.filter(F.col("feature") == BIAS).agg(F.sum("weight")).first()[0] or 0
+
+
 def segment_static_scores(
     docs: DataFrame,
     weights: DataFrame,
@@ -202,9 +200,7 @@ def segment_static_scores(
     Models within the bound are broadcast; a larger one is joined by n-gram. ``docs``
     should be partitioned by ``key``: everything stays in that partitioning.
     """
-    bias = F.coalesce(
-        weights.filter(F.col("feature") == BIAS).agg(F.sum("weight").alias("b")).scalar(), F.lit(0)
-    )
+    bias = F.lit(_bias(weights))
     table = _with_edge_chars(weights.filter(F.col("feature") != BIAS).select("feature", "key", "weight"))
     rows = text_positions(docs, key, text)
     for n in (1, 2, 3):
@@ -263,22 +259,51 @@ def decision_masks(scored: DataFrame, history: DataFrame) -> DataFrame:
     return joined.withColumn("mask", mask).drop("c4", "scores")
 
 
-_NEXT = [[STATES.index(s[1:] + d) for d in "OB"] for s in STATES]
-
-
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def decide_boundaries(masks: pd.Series) -> pd.Series:
-    """The ordered decisions of each text: the one step that cannot run in parallel."""
-
-    def decide(row):
-        state, out = 0, []
-        for mask in row:
-            split = (int(mask) >> state) & 1
-            out.append(bool(split))
-            state = _NEXT[state][split]
-        return out
-
-    return masks.map(decide)
+def _model_arrays(weights: DataFrame, max_rows: int) -> dict[str, np.ndarray] | None:
+    """The model as arrays of numbers if it has at most ``max_rows`` rows, else None."""
+    if weights.limit(max_rows + 1).count() > max_rows:
+        return None
+    table = _with_edge_chars(weights.filter(F.col("feature") != BIAS).select("feature", "key", "weight"))
+    model = {"bias": np.array([_bias(weights)], np.int64)}
+    for n in (1, 2, 3):
+        found = _ngram_table(table, n, str).filter(F.length("key") == n).toPandas()
+        keys = np.zeros(len(found), np.int64)
+        for k in range(n):
+            keys = keys << 21 | np.array([ord(x[k]) for x in found["key"]], np.int64)
+        order = np.argsort(keys)
+        grams = np.zeros((len(found) + 1, len(OFFSETS)), np.int32)
+        for offset in NGRAM_FEATURES[n]:
+            grams[:-1, offset + 2] = found[_at(offset)].fillna(0).to_numpy()[order]
+        model |= {f"keys{n}": keys[order], f"grams{n}": grams}
+    classes, history = np.zeros((7**3, len(OFFSETS)), np.int32), np.zeros((7**4, len(STATES)), np.int32)
+    for row in _class_table(weights).collect():
+        classes[_class_index(row["c"])] = [row[_at(o)] for o in OFFSETS]
+    for row in segment_history_scores(weights).collect():
+        history[_class_index(row["c4"])] = row["scores"]
+    return model | {"classes": classes, "history": history, "kinds": np.frombuffer(class_table(), np.uint8)}
+
+
+def _class_index(classes: str) -> int:
+    number = 0
+    for c in classes:
+        number = number * 7 + "MHIKANO".index(c)
+    return number
+
+
+def _masks_by_joins(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+    """What ``score_blocks`` gives, for a model of any size: n-grams are joined with it."""
+    name = F.concat("id", F.lit(":"), F.col("block").cast("string"))
+    named = blocks.withColumn("name", name).withColumn("around", F.concat("before", "part", "after"))
+    scored = segment_static_scores(named.repartition("name"), weights, "name", "around", 0)
+    gaps = decision_masks(scored, segment_history_scores(weights))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "mask")))
+    found = gaps.groupBy("name").agg(ordered.alias("gaps"))
+    # Positions count from the first character around the block, which has no gap.
+    begin = F.length("before")
+    own = F.filter("gaps", lambda g: (g["pos"] >= begin) & (g["pos"] < begin + F.length("part")))
+    low_high = F.transform(own, lambda g: F.concat(F.lpad(F.hex(g["mask"].bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(g["mask"], 8)), 2, "0")))
+    masks = F.unhex(F.concat(F.when(begin == 0, "0000").otherwise(""), F.coalesce(F.array_join(low_high, ""), F.lit(""))))
+    return named.join(found, "name", "left").select("key", "id", "copies", "block", "part", masks.alias("masks"))
 
 
 def segment(
@@ -288,52 +313,32 @@ def segment(
     text: str = "text",
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """``(key, tokens)``; the tokens of a text concatenate to it, an empty text has none.
+    """``(key, tokens)``; the tokens of a text concatenate to it, an empty text has none, a NULL one has NULL.
 
-    Texts are spread by key once. Scoring one row per gap and gathering the gaps of
-    a text again then stay in that partitioning, so no character is shuffled.
+    A model within the bound is broadcast as arrays, and a text of one block is scored and
+    cut where it is read. Longer texts are dealt out by block; each block is a map of
+    states, and only the maps meet again before all blocks decide. With a larger model
+    all texts go by block and their n-grams are joined with the model.
     """
-    placed = docs.select(key, F.col(text).alias("text")).repartition(key)
-    scored = segment_static_scores(placed, weights, key, "text", max_broadcast_rows)
-    masks = decision_masks(scored, segment_history_scores(weights))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "mask"))), lambda g: g["mask"])
-    decided = masks.groupBy(key).agg(ordered.alias("masks")).select(
-        key, decide_boundaries(F.col("masks")).alias("splits")
-    )
-    joined = placed.join(decided, key, "left")
-
-    def cut(chars: Column) -> Column:
-        """The characters joined from each boundary to the next."""
-
-        def pieces(begins: Column) -> Column:
-            ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(chars)))
-            return F.zip_with(begins, ends, lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), ""))
-
-        return let(F.filter(F.sequence(F.lit(0), F.size(chars) - 1), lambda i: (i == 0) | F.get("splits", i - 1)), pieces)
-
-    tokens = let(F.split("text", ""), cut)
-    empty = F.array().cast("array<string>")
-    return joined.select(key, F.when(F.col("text") == "", empty).otherwise(tokens).alias("tokens"))
-
-
-def boundary_marks(text: Column) -> Column:
-    """B or O per gap of a text whose words are set apart by blanks, as one string."""
-    marks = F.regexp_replace(F.regexp_replace(F.trim(text), "[^ ]", "O"), " +O", "B")
-    return F.substring(marks, F.lit(2), F.length(marks))
-
-
-def _class_counts(corpus: DataFrame, text: str) -> DataFrame:
+    model = _model_arrays(weights, max_broadcast_rows)
+    if model is None:
+        some = docs.filter(F.length(text) > 0)
+        rows = B.block_tokens(_masks_by_joins(B.text_blocks(some, key, text), weights))
+        empty = F.when(F.col(text).isNotNull(), F.array().cast("array<string>"))
+        return B.join_blocks(rows).withColumnRenamed("key", key).unionByName(
+            docs.filter(F.coalesce(F.length(text) == 0, F.lit(True))).select(key, empty.alias("tokens"))
+        )
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    is_long = F.coalesce(F.length(text) > B.BLOCK, F.lit(False))
+    short = B.segment_short(docs.filter(~is_long), shared, key, text)
+    scored = B.score_blocks(B.text_blocks(docs.filter(is_long), key, text), shared)
+    return short.unionByName(B.join_blocks(B.block_tokens(scored))).withColumnRenamed("key", key)
+
+
+def _class_counts(windows: DataFrame) -> DataFrame:
     """Counts of class and decision features, from distinct windows (at most 7^6 * 15 * 2)."""
-    unspaced = F.replace(F.col(text), F.lit(" "), F.lit(""))
-    c = _windows(F.concat(F.lit("OOO"), class_string(unspaced), F.lit("OOO")), 6)
-    # The three decisions before each gap, and its own.
-    decisions = _windows(F.concat(F.lit("UUU"), boundary_marks(F.col(text))), 4)
-    gaps = F.slice(c, F.lit(2), F.greatest(F.size(c) - 2, F.lit(0)))
-    distinct = (
-        corpus.select(F.explode(F.arrays_zip(gaps, decisions)).alias("r"))
-        .groupBy(F.col("r.0").alias("c"), F.col("r.1").alias("d"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("c", F.substring("d", 1, 3).alias("p"), F.substring("d", 4, 1).alias("b"), "n")
+    distinct = windows.filter("kind = 'c'").select(
+        F.col("window").alias("c"), F.substring("marks", 1, 3).alias("p"), F.substring("marks", 4, 1).alias("b"), "n"
     )
     rows = distinct.select("b", "n", _feature_rows([*CLASS_FEATURES.items(), *HISTORY_FEATURES]).alias("f"))
     return rows.groupBy("f.feature", "f.key").agg(
@@ -342,21 +347,13 @@ def _class_counts(corpus: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _character_counts(corpus: DataFrame, text: str) -> DataFrame:
+def _character_counts(windows: DataFrame) -> DataFrame:
     """Counts of character features.
 
-    Triples of characters are counted with the marks of the six gaps around them
-    first; each distinct one then gives three n-grams and counts for all six gaps.
+    Triples of characters come with the marks of the six gaps around them; each distinct
+    one gives three n-grams and counts for all six gaps.
     """
-    around = _windows(F.concat(F.lit("X" * 6), boundary_marks(F.col(text)), F.lit("X" * 6)), 6)
-    unspaced = F.replace(F.col(text), F.lit(" "), F.lit(""))
-    t = _windows(F.concat(F.lit(_BEFORE), unspaced, F.lit(_AFTER + _AFTER[:2])), 3)
-    distinct = (
-        corpus.filter(F.length(unspaced) > 0)
-        .select(F.explode(F.arrays_zip(t, around)).alias("r"))
-        .groupBy(F.col("r.0").alias("t"), F.col("r.1").alias("m"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    distinct = windows.filter("kind = 't'").select(F.col("window").alias("t"), F.col("marks").alias("m"), "n")
     grams = distinct.select(
         F.explode(F.array(*[F.substring("t", 1, n) for n in (1, 2, 3)])).alias("key"), "m", "n"
     )
@@ -393,8 +390,9 @@ def fit_segment_weights(corpus: DataFrame, text: str = "text") -> DataFrame:
     A weight is the log odds of a boundary given the feature key, over the log odds
     of any boundary, times 100; the bias is the latter.
     """
-    by_class = cut_lineage(_class_counts(corpus, text))  # read three times below
-    counts = _character_counts(corpus, text).unionByName(by_class)
+    windows = cut_lineage(B.window_counts(corpus, text))  # distinct windows, read below in two ways
+    by_class = cut_lineage(_class_counts(windows))  # read three times below
+    counts = _character_counts(windows).unionByName(by_class)
     # A feature of one class sees every gap once.
     prior = by_class.filter("feature = 'UC1'").agg(
         F.sum("n_split").alias("all_split"), F.sum("n_kept").alias("all_kept")

@@ -601,6 +601,28 @@ grid AS (SELECT a.k AS c1, b.k AS c2, c.k AS c3, d.k AS c4, state, s[1] AS p1, s
 {history_sum()}
 """
 
+# Each gap lists what it does in every state; a text is folded along them, its decisions so far as one string.
+SQL["segment_tokens"] = f"""
+WITH {WEIGHTS}, k AS (SELECT unnest(['M','H','I','K','A','N','O']) AS k),
+states(state, s) AS (VALUES (0,'UUU'),(1,'UUB'),(2,'UUO'),(3,'UBB'),(4,'UBO'),(5,'UOB'),(6,'UOO'),
+  (7,'BBB'),(8,'BBO'),(9,'BOB'),(10,'BOO'),(11,'OBB'),(12,'OBO'),(13,'OOB'),(14,'OOO')),
+grid AS (SELECT a.k AS c1, b.k AS c2, c.k AS c3, d.k AS c4, state, s[1] AS p1, s[2] AS p2, s[3] AS p3 FROM k a, k b, k c, k d, states),
+history AS (SELECT c4, list(score ORDER BY state) AS scores FROM ({history_sum()}) GROUP BY c4),
+scored AS ({static_sum()}),
+steps AS (
+  SELECT g.doc_id, g.pos, array_to_string(list_transform(h.scores, lambda x: CASE WHEN s.static + x > 0 THEN 'B' ELSE 'O' END), '') AS step
+  FROM gaps g JOIN scored s ON s.doc_id = g.doc_id AND s.pos = g.pos JOIN history h ON h.c4 = g.c1 || g.c2 || g.c3 || g.c4
+), folded AS (
+  SELECT doc_id, list_reduce(['UUU'] || list(step ORDER BY pos), lambda past, step:
+    past || step[list_position(['UUU','UUB','UUO','UBB','UBO','UOB','UOO','BBB','BBO','BOB','BOO','OBB','OBO','OOB','OOO'], right(past, 3))]) AS past
+  FROM steps GROUP BY doc_id
+), marked AS (
+  SELECT c.doc_id, unnest(c.s) AS c, generate_subscripts(c.s, 1) AS pos, unnest(string_split('B' || coalesce(substr(f.past, 4), ''), '')) AS b
+  FROM chars c LEFT JOIN folded f ON f.doc_id = c.doc_id WHERE len(c.s) > 0
+), runs AS (SELECT *, sum(CASE WHEN b = 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM marked)
+SELECT doc_id, CAST(run - 1 AS INTEGER) AS pos, string_agg(c, '' ORDER BY pos) AS token FROM runs GROUP BY doc_id, run
+"""
+
 SQL["segment_concatenation"] = f"WITH {SPACED} SELECT doc_id, md5(replace(text, ' ', '')) AS digest FROM spaced"
 
 # File requests

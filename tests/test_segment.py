@@ -6,7 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.functions.chars import CHARACTER_CLASSES
+from broadsheet.functions.chars import CHARACTER_CLASSES, class_table
+from broadsheet.operators import boundaries as B
 from broadsheet.operators import segment as G
 
 TEXTS = ["", "東", "東京", "私の名前は中野です。", "ABC123、「東京都」一二三", "あいあいあいカタカナ", "B1E2B1", "１２ａｂé😀ー々"]
@@ -63,6 +64,48 @@ def test_equals_the_plain_loop(spark, seed, max_broadcast_rows):
     assert got == {i: plain_segment(t, table) for i, t in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize("block, max_broadcast_rows", [(3, 1_000_000), (4, 0)])
+def test_blocks_equal_the_plain_loop(spark, monkeypatch, block, max_broadcast_rows):
+    monkeypatch.setattr(B, "BLOCK", block)
+    table = random_weights(block)
+    weights = spark.createDataFrame([(f, k, v) for (f, k), v in table.items()], "feature string, key string, weight int")
+    rows = [*enumerate(TEXTS), (5, TEXTS[4]), (5, TEXTS[4]), (None, TEXTS[5]), (90, "".join(TEXTS) * 5), (91, None), (92, "😀" * 7)]
+    got = G.segment(spark.createDataFrame(rows, "doc_id long, text string"), weights, max_broadcast_rows=max_broadcast_rows).collect()
+    want = [(i, None if t is None else plain_segment(t, table)) for i, t in rows]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_one_long_text_goes_to_many_tasks(spark):
+    """A text of many blocks whose decisions hang together: its blocks are cut in several tasks, and none of it is lost."""
+    table = random_weights(7)
+    weights = spark.createDataFrame([(f, k, v) for (f, k), v in table.items()], "feature string, key string, weight int")
+    rng = random.Random(7)
+    text = "".join(rng.choice("".join(TEXTS)) for _ in range(200_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shared = spark.sparkContext.broadcast(G._model_arrays(weights, 10**6))
+    scored = B.score_blocks(B.text_blocks(docs, "doc_id", "text"), shared)
+    places = B.block_tokens(scored).select("block", F.spark_partition_id().alias("p")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(places) == -(-200_000 // B.BLOCK) and len({r.p for r in places}) > 1
+    assert G.segment(docs, weights).first().tokens == plain_segment(text, table)
+
+
+def test_maps_of_states_compose():
+    rng = random.Random(4)
+    masks = [rng.choice([0, 32767, rng.randrange(32768)]) for _ in range(300)]
+    for cut in (0, 1, 7, 150, 300):
+        assert B.compose(B.map_of(masks[:cut]), B.map_of(masks[cut:])) == B.map_of(masks)
+    assert B.map_of(masks) == [B.run_states(masks, s)[1] for s in range(15)]
+
+
+def test_class_table_equals_the_patterns():
+    table = class_table()
+    assert len(table) == 65536
+    for code in [*range(0x250), *range(0x3000, 0x3100), *range(0x4E00, 0x4F00), *range(0x9F00, 0xA000), *range(0xFE00, 0x10000), 0xD800]:
+        assert "MHIKANO"[table[code]] == class_of(chr(code))
+
+
 def test_learns_word_boundaries(spark):
     corpus = spark.createDataFrame([(1, "東京 の 空 東京 の 海"), (2, "海 の 空")], "doc_id long, text string")
     docs = spark.createDataFrame([(1, "東京の海")], "doc_id long, text string")
