@@ -2,173 +2,60 @@
 
 from __future__ import annotations
 
-import bisect
+import sys
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from broadsheet.functions import pointers as P
-from broadsheet.functions import variants as V
-from broadsheet.functions.binding import let
-from broadsheet.operators.documents import MAX_DEPTH, element_key, flatten_docs, member_key
-from broadsheet.session import cut_lineage
+from broadsheet.functions.json_edits import from_text
+from broadsheet.functions.json_walk import MISSING, operations
 
+# Nesting that parsed documents can have; writing a value takes two frames a level.
+_FRAMES = 10_000
 
-_PAIR = (
-    "struct<path:string,parent:string,sort_key:string,at:int,cut:int,s:variant,d:variant,done:boolean>"
-)
 
-
-def _pair(
-    path: Column, parent: Column, sort_key: Column, at: Column, cut: Column, s: Column, d: Column, done: bool = False
-) -> Column:
-    return F.struct(
-        path.alias("path"),
-        parent.alias("parent"),
-        sort_key.alias("sort_key"),
-        at.cast("int").alias("at"),
-        cut.cast("int").alias("cut"),
-        s.alias("s"),
-        d.alias("d"),
-        F.lit(done).alias("done"),
-    )
-
-
-def _changed(s: Column, d: Column) -> Column:
-    """False when both sides are surely the same value.
-
-    Containers only get here at the depth limit. A list that mixes number kinds
-    has one schema, so a container with fractions is replaced to be on the safe side.
-    """
-    schema = F.schema_of_variant(s)
-    mixed = schema.contains("DECIMAL") | schema.contains("DOUBLE")
-    holder = V.kind(s).isin("object", "list")
-    return (holder & mixed) | ~V.same_value(s, d)
-
-
-def _opened(p: Column) -> Column:
-    """A pair as an array: its paired children, itself as a found change, or nothing."""
-    sides = F.struct(
-        V.members(p["s"]).alias("s_map"),
-        V.members(p["d"]).alias("d_map"),
-        V.elements(p["s"]).alias("s_arr"),
-        V.elements(p["d"]).alias("d_arr"),
-    )
-    inside = F.concat(p["path"], F.lit("/"))
-    no_int = F.lit(None)
-    change = _pair(p["path"], p["parent"], p["sort_key"], p["at"], p["cut"], p["s"], p["d"], True)
-
-    def walk(v: Column) -> Column:
-        by_name = F.transform(
-            F.map_entries(
-                F.map_zip_with(v["s_map"], v["d_map"], lambda _, a, b: F.struct(a.alias("a"), b.alias("b")))
-            ),
-            lambda e: _pair(
-                F.concat(inside, P.escape_part(e["key"])),
-                p["path"],
-                F.concat(p["sort_key"], member_key(e["key"])),
-                no_int,
-                no_int,
-                e["value"]["a"],
-                e["value"]["b"],
-            ),
-        )
-        cut = F.least(F.size(v["s_arr"]), F.size(v["d_arr"]))
-        by_index = F.transform(
-            F.zip_with(v["s_arr"], v["d_arr"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-            lambda x, i: _pair(
-                F.concat(inside, i.cast("string")),
-                p["path"],
-                F.concat(p["sort_key"], element_key(i)),
-                i,
-                cut,
-                x["a"],
-                x["b"],
-            ),
-        )
-        nothing = F.array().cast(f"array<{_PAIR}>")
-        differs = p["s"].isNull() | p["d"].isNull() | _changed(p["s"], p["d"])
-        return F.coalesce(by_name, by_index, F.when(differs, F.array(change)).otherwise(nothing))
-
-    return F.when(p["done"], F.array(p)).otherwise(let(sides, walk))
-
-
-def snapshot_ops(
-    src: DataFrame, dst: DataFrame, key: str = "doc_id", doc: str = "doc", max_depth: int = MAX_DEPTH
+def diff_docs(
+    src: DataFrame, dst: DataFrame, key: str = "doc_id", doc: str = "doc", moves: bool = False
 ) -> DataFrame:
-    """Unordered operations ``(key, op, path, parent, sort_key, at, cut, old, value)``.
+    """``(key, seq, op, path, from, value)`` that turns ``src`` into ``dst``.
 
-    ``doc`` is JSON text on both sides; documents with equal text are dropped
-    first. One join brings the two versions of a document together; they are then
-    walked in step, level by level, within the row. Both a container: its children
-    are paired. Anything else is an operation, or nothing when the values agree.
-    ``at`` is the index of a list element, ``cut`` the length of the shorter list.
+    ``doc`` is JSON text on both sides. Removed places come first, then added ones, then
+    replacements, each in path order with list indices as numbers. Surplus list elements
+    are removed at the index where the shorter list ends. With ``moves``, an added value
+    that equals a removed one becomes a move, which runs where the addition would; of
+    several removals the last is paired with the first addition.
+
+    One join brings the two versions of a document together; those of equal text are
+    dropped. Each pair is then walked in step in its Arrow batch, to any depth, and its
+    whole patch is made there, so nothing else is shuffled. A document of one side only
+    is added or removed as a whole, at the root; text that is no JSON counts as none.
     """
     left = src.select(key, F.col(doc).alias("s_text"))
     right = dst.select(key, F.col(doc).alias("d_text"))
-    # A document of one side only is added or removed as a whole, at the root.
     both = left.join(right, key, "full_outer").filter("NOT s_text <=> d_text")
-    none = F.lit(None).cast("string")
-    rows = both.select(
-        key,
-        _pair(
-            F.lit(""), none, F.lit(""), F.lit(None), F.lit(None),
-            F.try_parse_json("s_text"), F.try_parse_json("d_text"),
-        ).alias("p"),
-    )
-    for _ in range(max_depth):
-        rows = rows.select(key, F.explode(let(F.col("p"), _opened)).alias("p"))
-    s, d = F.col("p.s"), F.col("p.d")
-    op = (
-        F.when(s.isNull() & d.isNull(), F.lit(None))
-        .when(s.isNull(), F.lit("add"))
-        .when(d.isNull(), F.lit("remove"))
-        .when(_changed(s, d), F.lit("replace"))
-    )
-    return (
-        rows.withColumn("op", op)
-        .filter("op IS NOT NULL")
-        .select(
-            key, "op", "p.path", "p.parent", "p.sort_key", "p.at", "p.cut", s.alias("old"), d.alias("value")
-        )
-    )
-
-
-def _ordered(ops: DataFrame, key: str, order: list) -> DataFrame:
-    return ops.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-
-
-def _rank_of_op(op: Column) -> Column:
-    return F.when(op == "remove", 0).when(op == "add", 1).otherwise(2)
-
-
-def diff_docs(
-    src: DataFrame,
-    dst: DataFrame,
-    key: str = "doc_id",
-    doc: str = "doc",
-    moves: bool = False,
-    max_depth: int = MAX_DEPTH,
-) -> DataFrame:
-    """``(key, seq, op, path, from, value)`` that turns ``src`` into ``dst``.
-
-    Removed places come first, then added ones, then replacements, each in path
-    order with list indices as numbers. Surplus list elements are removed at the
-    index where the shorter list ends. With ``moves``, an added value that equals a
-    removed one becomes a move.
-    """
-    ops = snapshot_ops(src, dst, key, doc, max_depth)
-    if moves:
-        ops = detect_moves(ops, key, max_depth)
-    else:
-        ops = _ordered(ops, key, [_rank_of_op(F.col("op")), "sort_key"])
-        ops = ops.withColumn("from", F.lit(None).cast("string"))
-    surplus = (F.col("op") == "remove") & F.col("at").isNotNull() & F.lit(not moves)
-    path = F.when(surplus, F.concat("parent", F.lit("/"), F.col("cut").cast("string"))).otherwise(F.col("path"))
-    value = F.when(F.col("op").isin("add", "replace"), F.col("value"))
-    return ops.select(key, "seq", "op", path.alias("path"), "from", value.alias("value"))
+    known = [F.when(F.try_parse_json(c).isNotNull(), F.col(c)).alias(c) for c in ("s_text", "d_text")]
+    rows = both.select(key, *known)
+
+    def patches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), _FRAMES))
+        for b in batches:
+            places, seqs, ops = [], [], []
+            for row, texts in enumerate(zip(b.column("s_text").to_pylist(), b.column("d_text").to_pylist(), strict=True)):
+                s, d = (MISSING if t is None else from_text(t) for t in texts)
+                own = operations(s, d, moves)
+                places += [row] * len(own)
+                seqs += range(1, len(own) + 1)
+                ops += own
+            columns = [b.column(key).take(pa.array(places, pa.int64())), pa.array(seqs, pa.int32())]
+            columns += [pa.array([o[k] for o in ops], pa.string()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, [key, "seq", "op", "path", "from", "text"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    found = rows.mapInArrow(patches, f"`{key}` {kind}, seq int, op string, path string, `from` string, text string")
+    return found.select(key, "seq", "op", "path", "from", F.parse_json("text").alias("value"))
 
 
 def merge_replaces(ops: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -186,92 +73,3 @@ def merge_replaces(ops: DataFrame, key: str = "doc_id") -> DataFrame:
         .withColumn("op", F.when(merged, "replace").otherwise(F.col("op")))
         .drop("before", "after")
     )
-
-
-def value_keys(ops: DataFrame, key: str, value: str, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(key, op_id, value_key)``: text that is equal for equal values of equal types only.
-
-    Scalars carry their kind. Containers carry a digest of their flattened leaves,
-    because the text and the schema of a list hide whether a number is ``1`` or ``1.0``.
-    """
-    kind = V.kind(F.col(value))
-    holder = kind.isin("object", "list")
-    scalars = ops.filter(~holder).select(key, "op_id", V.scalar_text(F.col(value)).alias("value_key"))
-    holders = ops.filter(holder).select(F.struct(key, "op_id").alias("id"), F.col(value).alias("doc"))
-    leaves = flatten_docs(holders, "id", "doc", max_depth)
-    inner = F.col("type").isin("object", "list")
-    line = F.concat_ws("\x02", "path", F.when(inner, F.col("type")).otherwise(V.scalar_text(F.col("value"))))
-    digests = leaves.groupBy("id").agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\x03"), 256).alias("value_key")
-    )
-    return scalars.unionByName(
-        digests.select(F.col(f"id.{key}").alias(key), F.col("id.op_id").alias("op_id"), "value_key")
-    )
-
-
-def detect_moves(ops: DataFrame, key: str = "doc_id", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Operations in which equal removed and added values have become moves, in order.
-
-    Pairing is one to one, the most recent removal first. A move runs where its add
-    would: after the plain removals, in path order. Removals and moves out of one
-    list shift its later elements; ``reindex_moves`` accounts for that.
-    """
-    # The operations are read several times below: compute the walk once.
-    ops = cut_lineage(ops.withColumn("op_id", F.concat_ws("\x02", "op", "sort_key")))
-    removed, added = ops.filter("op = 'remove'"), ops.filter("op = 'add'")
-    rivals = Window.partitionBy(key, "value_key")
-    gone = (
-        removed.join(value_keys(removed, key, "old", max_depth), [key, "op_id"])
-        .withColumn("n", F.row_number().over(rivals.orderBy(F.desc("sort_key"))))
-        .select(
-            key, "value_key", "n",
-            F.col("op_id").alias("gone_id"), F.col("path").alias("from"),
-            F.col("parent").alias("from_parent"), F.col("at").alias("from_at"),
-        )
-    )
-    came = (
-        added.join(value_keys(added, key, "value", max_depth), [key, "op_id"])
-        .withColumn("n", F.row_number().over(rivals.orderBy("sort_key")))
-        .select(key, "value_key", "n", "op_id")
-    )
-    pairs = came.join(gone, [key, "value_key", "n"]).drop("value_key", "n")
-    moved = ops.join(pairs.select(key, F.col("gone_id").alias("op_id")), [key, "op_id"], "left_anti").join(
-        pairs.drop("gone_id"), [key, "op_id"], "left"
-    )
-    op = F.when(F.col("from").isNotNull(), F.lit("move")).otherwise(F.col("op"))
-    moved = moved.withColumn("op", op)
-    ordered = _ordered(moved, key, [_rank_of_op(F.when(F.col("op") == "move", "add").otherwise(F.col("op"))), "sort_key"])
-    return reindex_moves(ordered, key)
-
-
-def reindex_moves(ops: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Source indices as they stand when each removal or move out of a list runs.
-
-    Only operations that take an element out of a list enter the fold; a group is
-    one list of one document.
-    """
-    takes = ops.filter(
-        ((F.col("op") == "remove") & F.col("at").isNotNull())
-        | ((F.col("op") == "move") & F.col("from_at").isNotNull())
-    ).select(
-        F.col(key),
-        "seq",
-        F.when(F.col("op") == "move", F.col("from_parent")).otherwise(F.col("parent")).alias("list"),
-        F.when(F.col("op") == "move", F.col("from_at")).otherwise(F.col("at")).alias("index"),
-    )
-    shape = f"{key} {dict(ops.dtypes)[key]}, seq int, now string"
-
-    def shift(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        earlier: list[int] = []
-        now = []
-        for where, index in zip(group["list"], group["index"]):
-            now.append(f"{where}/{index - bisect.bisect_left(earlier, index)}")
-            bisect.insort(earlier, index)
-        return pd.DataFrame({key: group[key], "seq": group["seq"], "now": now})
-
-    shifted = takes.groupBy(key, "list").applyInPandas(shift, shape)
-    out = ops.join(shifted, [key, "seq"], "left")
-    return out.withColumn(
-        "from", F.when(F.col("op") == "move", F.coalesce("now", "from"))
-    ).withColumn("path", F.when(F.col("op") == "remove", F.coalesce("now", "path")).otherwise(F.col("path"))).drop("now")

@@ -397,7 +397,7 @@ def json_duplicate_keys(spark, sf):
 
 
 def _diff(spark, sf, moves):
-    return D.diff_docs(X.order_docs(spark, sf), X.changed_order_docs(spark, sf), moves=moves, max_depth=DEPTH)
+    return D.diff_docs(X.order_docs(spark, sf), X.changed_order_docs(spark, sf), moves=moves)
 
 
 @query

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from broadsheet.functions import json_walk as W
 from broadsheet.functions import variants as V
 from broadsheet.operators import changes as C
 from broadsheet.operators import diff as D
@@ -41,10 +42,10 @@ def tables(spark):
     return df.select("doc_id", F.col("s").alias("doc")), df.select("doc_id", F.col("d").alias("doc"))
 
 
-@pytest.mark.parametrize("moves, max_depth", [(False, 4), (True, 4), (False, 2)])
-def test_apply_of_diff_is_the_target(spark, moves, max_depth):
+@pytest.mark.parametrize("moves", [False, True])
+def test_apply_of_diff_is_the_target(spark, moves):
     src, dst = tables(spark)
-    applied = C.apply_changes(src, D.diff_docs(src, dst, moves=moves, max_depth=max_depth))
+    applied = C.apply_changes(src, D.diff_docs(src, dst, moves=moves))
     want = dst.select("doc_id", F.parse_json("doc").alias("want"))
     joined = applied.join(want, "doc_id")
     wrong = joined.filter((F.col("status") != "ok") | ~V.same_value(F.col("doc"), F.col("want")))
@@ -54,13 +55,68 @@ def test_apply_of_diff_is_the_target(spark, moves, max_depth):
 
 def test_moves_are_found(spark):
     src, dst = tables(spark)
-    ops = D.diff_docs(src, dst, moves=True, max_depth=4).filter("op = 'move'")
+    ops = D.diff_docs(src, dst, moves=True).filter("op = 'move'")
     got = {(r.doc_id, r["from"], r.path) for r in ops.filter(f"doc_id < {len(PAIRS)}").collect()}
     assert (1, "/k", "/m") in got
     assert {p for i, _, p in got if i == 2} == {"/q/0", "/z"}
     assert not [g for g in got if g[0] == 7], "values that differ in number kind are no move"
 
 
+def nested(depth, leaf):
+    for i in range(depth):
+        leaf = {"d": leaf, "n": i} if i % 2 else [0, leaf]
+    return leaf
+
+
+@pytest.mark.parametrize("depth", [12, 400])
+def test_deep_documents_name_the_single_changed_leaf(spark, depth):
+    rows = [(1, json.dumps(nested(depth, 1)), json.dumps(nested(depth, 1.0))), (2, json.dumps(nested(depth, {"a": [5]})), json.dumps(nested(depth, {"b": [5]})))]
+    df = spark.createDataFrame(rows, "doc_id long, s string, d string")
+    src, dst = df.selectExpr("doc_id", "s AS doc"), df.selectExpr("doc_id", "d AS doc")
+    leaf = "".join("/d" if i % 2 else "/1" for i in reversed(range(depth)))
+    got = [(r.doc_id, r.op, r.path, r["from"]) for r in D.diff_docs(src, dst, moves=True).orderBy("doc_id").collect()]
+    assert got == [(1, "replace", leaf, None), (2, "move", leaf + "/b", leaf + "/a")]
+
+
+def test_taken_indices_against_a_list():
+    rng = random.Random(2)
+    for size in (1, 2, 7, 200):
+        first = rng.randint(0, 3)
+        left, taken, order = [*range(first + size)], W.Taken(first, size), [*range(first, first + size)]
+        rng.shuffle(order)
+        for index in order:
+            assert taken.now(index) == left.index(index)
+            left.remove(index)
+
+
+def test_many_moves_out_of_one_list(spark):
+    """Ten thousand elements leave one list for an object, in the order of its names."""
+    names = {f"k{(i * 7919) % 10_000:05d}": i for i in range(10_000)}
+    rows = [(1, json.dumps({"l": [*range(-5, 10_000)], "o": {}}), json.dumps({"l": [*range(-5, 0)], "o": names}))]
+    df = spark.createDataFrame(rows, "doc_id long, s string, d string")
+    src, dst = df.selectExpr("doc_id", "s AS doc"), df.selectExpr("doc_id", "d AS doc")
+    log = D.diff_docs(src, dst, moves=True)
+    assert log.groupBy("op").count().collect() == [("move", 10_000)]
+    left = [*range(-5, 10_000)]
+    for r in log.orderBy("seq").collect():
+        assert names[r.path.split("/")[2]] == left.pop(int(r["from"].split("/")[2]))
+
+
+def test_one_sided_and_broken_documents(spark):
+    src = spark.createDataFrame([(1, "{}"), (2, '{"a":1}'), (3, "no json"), (4, None), (None, "[1]"), (6, "[1e2]")], "doc_id long, doc string")
+    dst = spark.createDataFrame([(2, "no json"), (3, "5"), (5, "null"), (6, "[100.0]")], "doc_id long, doc string")
+    got = {(r.doc_id, r.op, r.path, r.value and r.value.toJson()) for r in D.diff_docs(src, dst, moves=True).collect()}
+    assert got == {(1, "remove", "", None), (2, "remove", "", None), (3, "add", "", "5"), (5, "add", "", "null"), (None, "remove", "", None)}
+    nothing = spark.createDataFrame([], "doc_id long, doc string")
+    assert D.diff_docs(nothing, nothing).collect() == []
+
+
+def test_plan_of_moves(spark):
+    src, dst = tables(spark)
+    plan = D.diff_docs(src, dst, moves=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2 and plan.count("MapInArrow") == 1
+
+
 def test_merge_replaces(spark):
     ops = spark.createDataFrame(
         [(1, 1, "remove", "/a"), (1, 2, "add", "/a"), (1, 3, "remove", "/b"), (1, 4, "add", "/c"), (2, 1, "add", "/a")],
