@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from broadsheet.functions import pointers as P
-from broadsheet.functions import variants as V
+from broadsheet.functions.edit_tries import Fails, apply_block, block_from_text, block_to_text, compile_block
 from broadsheet.functions.json_edits import INVALID, OPERATIONS, POINTER_ERROR, Fault, Number, from_text, to_text
 
-# Operations per block of one log: a log longer than this is judged in parallel.
-BLOCK = 100_000
-
-BASE_SEQ = -1
+# Numbers of operations in a block of one log: a log longer than this is worked on in parallel.
+BLOCK = 2048
+# Operations from which a block is made a trie.
+MIN_TRIE = 64
 
 
 def validate_changes(changes: DataFrame, operations: dict[str, Callable] | None = None) -> DataFrame:
@@ -56,11 +58,6 @@ def order_changes(changes: DataFrame, key: str = "doc_id") -> DataFrame:
     return changes.groupBy(key).agg(by_seq.alias("ops"))
 
 
-def as_variant(df: DataFrame, column: str) -> Column:
-    """A column of JSON text or VARIANT as VARIANT."""
-    return F.col(column) if dict(df.dtypes)[column] == "variant" else F.try_parse_json(F.col(column))
-
-
 def apply_changes(
     docs: DataFrame,
     changes: DataFrame,
@@ -71,148 +68,233 @@ def apply_changes(
 ) -> DataFrame:
     """``(key, doc, status, failed_seq)``: every document after its log, all or nothing.
 
-    ``doc`` is JSON text, the result is VARIANT. A log is flat when it adds, replaces
-    and removes direct members of an object; flat logs are applied by aggregation,
-    however long they are. Other logs are folded in order, also those that name an
-    operation given in ``operations``. A document without a log, or with a failing one,
-    keeps its content.
+    ``doc`` is JSON text, the result is VARIANT. A log is cut into blocks of ``block``
+    numbers, which are worked on in parallel: a block of many operations becomes one trie
+    of net edits (``edit_tries``), so a log that edits one document a million times spreads
+    over many tasks. Blocks then meet their document in order. A trie whose preconditions
+    hold is one edit; else the operations of its block run one by one, as do short blocks.
+    A document with a failing log keeps its content.
+
+    Both tables are read once. The log is shuffled by document and block, then its blocks
+    by document; they are consumed as a stream, one document and one block at a time.
 
     A document that is no JSON, or names a key twice, is ``invalid`` and NULL, log or
-    not. So is a log with a NULL ``seq``, or one that gives a ``seq`` to two operations
-    on one member (any two in a folded log). A log whose single operation adds a value
+    not. So is a log with a NULL ``seq``, or one that gives a ``seq`` to two operations:
+    on one member, where the log only adds, replaces and removes direct members of an
+    object, and any two in other logs. A log whose single operation adds a value
     at the root creates a document that was not there; one that removes the root gives
     NULL and ``removed``. Any other log without a document is ``orphan``.
     """
     known = OPERATIONS if operations is None else operations
-    custom = [name for name, fn in known.items() if OPERATIONS.get(name) is not fn]
-    checked = validate_changes(changes, operations)
-    parts = P.pointer_parts(F.col("path"))
-    flat = (
-        F.col("op").isin("add", "replace", "remove")
-        & (F.size(parts) == 1)
-        & F.when(F.col("value").isNull(), F.col("op") == "remove").otherwise(as_variant(changes, "value").isNotNull())
-        & ~F.col("op").isin(custom)
-    )
-    marked = checked.withColumn("flat", F.col("error").isNull() & F.coalesce(flat, F.lit(False)))
-    summary = marked.groupBy(key).agg(
-        F.min(F.when(F.col("error").isNotNull(), F.struct("seq", "error"))).alias("bad"),
-        F.bool_and("flat").alias("all_flat"),
-        F.count(F.lit(1)).alias("n_ops"),
-        F.min("seq").alias("first_seq"),
-        F.max(F.when(F.col("path") == "", F.col("op"))).alias("root_op"),
-        F.max(F.when((F.col("path") == "") & (F.col("op") == "add"), _value_text(changes))).alias("root_value"),
-    )
-    base = docs.select(key, F.col(doc).alias("text"), F.lit(True).alias("known")).join(summary, key, "full_outer")
-    is_object = V.members(F.try_parse_json("text")).isNotNull()
-    whole = F.col("bad").isNull() & (F.col("n_ops") == 1)
-    route = (
-        F.when(F.col("known").isNull(), F.when(whole & (F.col("root_op") == "add") & F.col("root_value").isNotNull(), "created").otherwise("orphan"))
-        .when(F.col("all_flat").isNull(), F.lit("untouched"))
-        .when(F.col("bad").isNotNull(), F.lit("malformed"))
-        .when(whole & (F.col("root_op") == "remove"), F.lit("removed"))
-        .when(F.col("all_flat") & is_object, F.lit("flat"))
-        .otherwise(F.lit("fold"))
-    )
-    base = base.withColumn("route", route)
-
-    kept = F.try_parse_json(F.when(F.col("route") == "created", F.col("root_value")).when(F.col("route") != "removed", F.col("text")))
-    unread = kept.isNull() & F.coalesce("root_value", "text").isNotNull()
-    status = (
-        F.when(F.col("route").isin("orphan", "removed"), F.col("route"))
-        .when(F.col("bad").isNotNull(), error_status(F.col("bad.error")))
-        .when(unread, F.lit(INVALID))
-        .otherwise("ok")
-    )
-    failed = F.when(F.col("route") == "orphan", F.col("first_seq")).otherwise(F.col("bad.seq"))
-    still = base.filter("route IN ('untouched', 'malformed', 'created', 'orphan', 'removed')").select(
-        key, kept.alias("doc"), status.alias("status"), failed.cast("long").alias("failed_seq")
+    blocks = _log_blocks(validate_changes(changes, operations), key, known, block)
+    none = F.lit(None)
+    valid = F.try_parse_json(F.col(doc)).isNotNull()
+    base = docs.select(key, F.lit(-1).alias("part"), F.col(doc).alias("text"), valid.alias("valid"))
+    # A NULL key joins no log.
+    with_key = base.filter(F.col(key).isNotNull())
+    events = with_key.unionByName(blocks, allowMissingColumns=True)
+    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.col("part") >= 0, "block", "part"))
+    done = _applied_blocks(events.withColumn("turn", turn), key, known)
+    alone = base.filter(F.col(key).isNull()).select(key, "text", F.lit("ok").alias("status"), none.cast("long").alias("failed_seq"))
+    rows = done.unionByName(alone).withColumn("doc", F.try_parse_json("text"))
+    unread = (F.col("status") == "ok") & F.col("doc").isNull() & F.col("text").isNotNull()
+    return rows.select(key, "doc", F.when(unread, INVALID).otherwise(F.col("status")).alias("status"), "failed_seq")
+
+
+# What is known of a block: how many operations, their first number and whether all are flat; the first number that is
+# given twice (to any two, to two on one member); the first malformed operation; the operations as text and as a trie.
+_BLOCK = "block long, part int, n long, first_seq long, flat boolean, twice long, member_twice long, bad_seq long, bad string, ops string, trie string"
+
+
+def _log_blocks(checked: DataFrame, key: str, operations: dict[str, Callable], block: int) -> DataFrame:
+    """``key`` and ``_BLOCK``: one row for each block of a log, or several if a number is given very often."""
+    plain = [name for name in ("add", "replace", "remove") if operations.get(name) is OPERATIONS[name]]
+    own = {name for name, fn in operations.items() if OPERATIONS.get(name) is not fn}
+    is_text = dict(checked.dtypes)["value"] != "variant"
+    readable = F.try_parse_json("value").isNotNull() if is_text else F.lit(True)
+    rows = checked.select(
+        key, F.floor(F.col("seq") / block).cast("long").alias("block"), F.col("seq").cast("long").alias("seq"), "op", "path", "from", "value", "error", readable.alias("readable")
     )
-    flat_docs = base.filter("route = 'flat'").select(key, "text")
-    done = still.unionByName(_apply_flat(flat_docs, marked.filter("flat"), key, block))
-    to_fold = base.filter("route = 'fold'").select(key, "text")
-    return done.unionByName(_apply_in_order(to_fold, changes, key, known))
+    turn = F.row_number().over(Window.partitionBy(key, "block").orderBy("seq", "path"))
+    rows = rows.withColumn("turn", turn)
+    columns = [key, *[f.split()[0] for f in _BLOCK.split(", ")]]
 
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, current, before = _Held(), None, None
+        for batch in batches:
+            finished = []
+            names = (key, "block", "seq", "op", "path", "from", "value", "error", "readable", "turn")
+            for doc_id, at, seq, op, path, source, value, error, readable, turn in zip(*(batch[c] for c in names), strict=True):
+                seq = None if pd.isna(seq) else int(seq)
+                if turn == 1 or held.n == block:
+                    if held.n:
+                        finished.append((*current, *held.row(own)))
+                    part = 0 if turn == 1 else current[2] + 1
+                    before = None if turn == 1 else before
+                    held, current = _Held(), (doc_id, None if pd.isna(at) else int(at), part)
+                held.add(seq, op, path, source, value, error, readable, plain, before)
+                before = (seq, path)
+            yield pd.DataFrame(finished, columns=columns).astype(_DTYPES)
+        if held.n:
+            yield pd.DataFrame([(*current, *held.row(own))], columns=columns).astype(_DTYPES)
+
+    return rows.mapInPandas(cut, f"`{key}` {dict(checked.dtypes)[key]}, {_BLOCK}")
+
+
+_DTYPES = {c: "Int64" for c in ("block", "n", "first_seq", "twice", "member_twice", "bad_seq")} | {"part": "int32", "flat": "boolean"}
+
+
+class _Held:
+    """The operations of one block as they come."""
+
+    def __init__(self):
+        self.n, self.flat, self.first = 0, True, None
+        self.twice = self.member_twice = None
+        self.bad: tuple | None = None
+        self.ops: list[tuple] = []
+
+    def add(self, seq, op, path, source, value, error, readable, plain, before) -> None:
+        self.n += 1
+        self.first = seq if self.first is None else self.first
+        if error is not None:
+            # A missing number comes before all others.
+            self.bad = min(self.bad or (True, seq or 0, error), (seq is not None, seq or 0, error))
+            return
+        if before is not None and seq == before[0]:
+            self.twice = seq if self.twice is None else self.twice
+            if path == before[1]:
+                self.member_twice = seq if self.member_twice is None else self.member_twice
+        text = value if isinstance(value, str) or value is None else to_text(_plain(value))
+        if not readable and value is not None:
+            # Marked as a value that can't be read.
+            text = ""
+        self.flat = self.flat and op in plain and path.count("/") == 1 and (text != "" and (text is not None or op == "remove"))
+        self.ops.append((seq, op, path, source, text))
+
+    def row(self, own: set[str]) -> tuple:
+        trie = None
+        sound = self.bad is None and self.twice is None and not any(o[1] in own for o in self.ops)
+        if sound and len(self.ops) >= MIN_TRIE:
+            found = compile_block(o[1:] for o in self.ops)
+            trie = None if found is None else block_to_text(found)
+        bad_seq, bad = (self.bad[1] if self.bad[0] else None, self.bad[2]) if self.bad else (None, None)
+        ops = None if self.bad else json.dumps(self.ops, ensure_ascii=False)
+        return self.n, self.first, self.flat, self.twice, self.member_twice, bad_seq, bad, ops, trie
+
+
+class _Applied:
+    """One document on its way through the blocks of its log."""
+
+    def __init__(self, text: str | None, valid: bool):
+        self.text, self.doc, self.fault = text, None, None
+        if valid:
+            try:
+                self.doc = from_text(text)
+            except ValueError:
+                valid = False
+        self.valid = valid
+        self.is_object = valid and isinstance(self.doc, dict)
+
+    def take(self, ops: str, trie: str | None, operations: dict[str, Callable]) -> None:
+        if trie is not None:
+            try:
+                self.doc = apply_block(block_from_text(trie), self.doc)
+                return
+            except Fails:
+                pass
+        for seq, op, path, source, value in json.loads(ops):
+            change = {"op": op, "path": path}
+            try:
+                if source is not None:
+                    change["from"] = source
+                if value is not None:
+                    change["value"] = from_text(value)
+                self.doc = operations[op](self.doc, change)
+            except Fault as fault:
+                self.fault = (seq, fault.status)
+                return
+            except ValueError:
+                self.fault = (seq, INVALID)
+                return
+
+
+class _Log:
+    """What the blocks of one log say together."""
+
+    def __init__(self):
+        self.docs: list[_Applied] = []
+        self.n, self.flat, self.first = 0, True, None
+        self.twice = self.member_twice = self.bad = self.only = None
+
+    def take(self, n, first, flat, twice, member_twice, bad_seq, bad, ops, trie, operations) -> None:
+        self.n += n
+        self.flat = self.flat and flat
+        self.only = ops if self.n == 1 else None
+        self.first = first if self.first is None else self.first
+        self.twice = twice if self.twice is None else self.twice
+        self.member_twice = member_twice if self.member_twice is None else self.member_twice
+        if bad is not None:
+            self.bad = min(self.bad or (True, bad_seq or 0, bad), (bad_seq is not None, bad_seq or 0, bad))
+        if ops is not None and self.bad is None:
+            for doc in self.docs:
+                if doc.valid and doc.fault is None:
+                    doc.take(ops, trie, operations)
+
+    def results(self) -> Iterator[tuple]:
+        """``text, status, failed_seq`` of every document, or of the log alone."""
+        only = json.loads(self.only)[0] if self.only and not self.bad else (None,) * 5
+        at_root = only[1] if only[2] == "" else None
+        if not self.docs:
+            if at_root == "add" and only[4] is not None:
+                yield only[4], "ok", None
+            else:
+                yield None, "orphan", self.first
+            return
+        for doc in self.docs:
+            twice = self.member_twice if self.flat and doc.is_object else self.twice
+            if not self.n:
+                yield doc.text, "ok", None
+            elif self.bad:
+                yield doc.text, POINTER_ERROR if self.bad[2] == "bad_pointer" else INVALID, self.bad[1] if self.bad[0] else None
+            elif at_root == "remove":
+                yield None, "removed", None
+            elif not doc.valid:
+                yield doc.text, INVALID, None
+            elif twice is not None and (doc.fault is None or twice <= doc.fault[0]):
+                yield doc.text, INVALID, twice
+            elif doc.fault is not None:
+                yield doc.text, doc.fault[1], doc.fault[0]
+            else:
+                yield to_text(doc.doc), "ok", None
+
+
+def _applied_blocks(events: DataFrame, key: str, operations: dict[str, Callable]) -> DataFrame:
+    """``key, text, status, failed_seq``: rows come by document, its text first, then its blocks in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, current = None, None
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (key_type, pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [key, "text", "status", "failed_seq"])
 
-def _value_text(changes: DataFrame) -> Column:
-    """The value of an operation as JSON text."""
-    return F.to_json("value") if dict(changes.dtypes)["value"] == "variant" else F.col("value")
+        for batch in batches:
+            key_type, finished = batch.column(key).type, []
+            names = (key, "turn", "part", "text", "valid", "n", "first_seq", "flat", "twice", "member_twice", "bad_seq", "bad", "ops", "trie")
+            for doc_id, turn, part, text, valid, *known in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if turn == 1:
+                    if log is not None:
+                        finished += [(current, *r) for r in log.results()]
+                    log, current = _Log(), doc_id
+                if part < 0:
+                    log.docs.append(_Applied(text, valid))
+                else:
+                    log.take(*known, operations)
+            yield batch_of(finished)
+        if log is not None:
+            yield batch_of([(current, *r) for r in log.results()])
 
-
-def _apply_flat(docs: DataFrame, log: DataFrame, key: str, block: int) -> DataFrame:
-    """Flat logs: the last writer of each member wins, unless an operation lacks its member.
-
-    A log is cut into blocks, so that one hot member spreads over many tasks. Within
-    a block ``lag`` finds removals and replacements of a member just removed; the
-    first operation of a block is judged against the last one of the block before.
-    """
-    needs = F.col("op").isin("remove", "replace")
-    rows = log.select(
-        key,
-        F.get(P.pointer_parts(F.col("path")), F.lit(0)).alias("name"),
-        F.col("seq").cast("long").alias("seq"),
-        "op",
-        as_variant(log, "value").alias("value"),
-        F.floor(F.col("seq") / block).alias("block"),
-    )
-    in_turn = Window.partitionBy(key, "name", "block").orderBy("seq")
-    per_block = (
-        rows.withColumns({"before": F.lag("op").over(in_turn), "previous": F.lag("seq").over(in_turn)})
-        .groupBy(key, "name", "block")
-        .agg(
-            F.min(F.when(needs & (F.col("before") == "remove"), F.col("seq"))).alias("clash"),
-            F.min(F.when(F.col("previous") == F.col("seq"), F.col("seq"))).alias("twice"),
-            F.min(F.struct("seq", "op")).alias("first"),
-            F.max(F.struct("seq", "op")).alias("last"),
-            F.max_by("value", "seq").alias("value"),
-        )
-    )
-    earlier = F.lag("last.op").over(Window.partitionBy(key, "name").orderBy("block"))
-    clash_at_start = F.when(
-        F.col("first.op").isin("remove", "replace") & (F.col("earlier") == "remove"), F.col("first.seq")
-    )
-    per_name = (
-        per_block.withColumn("earlier", earlier)
-        .groupBy(key, "name")
-        .agg(
-            F.min(F.least("clash", clash_at_start)).alias("clash"),
-            F.min("twice").alias("twice"),
-            F.min("first").alias("first"),
-            F.max("last.seq").alias("last_seq"),
-            F.max_by("last.op", "last.seq").alias("op"),
-            F.max_by("value", "last.seq").alias("value"),
-        )
-    )
-    touched = per_name.groupBy(key).agg(
-        F.min("twice").alias("twice"),
-        F.map_from_entries(
-            F.collect_list(F.struct("name", F.struct("op", "value", "first", "clash").alias("change")))
-        ).alias("touched")
-    )
-    joined = docs.join(touched, key).withColumn("base", V.members(F.try_parse_json("text")))
-    # A first operation that needs the member fails if the document lacks it.
-    faults = F.transform(
-        F.map_entries("touched"),
-        lambda e: F.least(
-            e["value"]["clash"],
-            F.when(
-                e["value"]["first"]["op"].isin("remove", "replace")
-                & ~F.map_contains_key("base", e["key"]),
-                e["value"]["first"]["seq"],
-            ),
-        ),
-    )
-    merged = F.map_zip_with(
-        "base", "touched", lambda _, old, new: F.when(new.isNull(), old).when(new["op"] != "remove", new["value"])
-    )
-    failed = F.array_min(faults)
-    result = V.as_object(F.map_filter(merged, lambda _, v: v.isNotNull()))
-    fault = F.least(failed, F.col("twice"))
-    return joined.select(
-        key,
-        F.when(fault.isNull(), result).otherwise(F.try_parse_json("text")).alias("doc"),
-        F.when(fault.isNull(), "ok").when(fault == F.col("twice"), INVALID).otherwise("conflict").alias("status"),
-        fault.alias("failed_seq"),
-    )
+    return events.mapInArrow(run, f"`{key}` {dict(events.dtypes)[key]}, text string, status string, failed_seq long")
 
 
 def _plain(value):
@@ -230,84 +312,3 @@ def _no_decimals(value):
     if isinstance(value, Decimal):
         return int(value) if value.as_tuple().exponent >= 0 else Number(format(value, "f"))
     return value
-
-
-def _apply_in_order(docs: DataFrame, changes: DataFrame, key: str, operations: dict[str, Callable]) -> DataFrame:
-    """Fold each log over its document.
-
-    Rows arrive by document and position and are consumed as a stream, so a task
-    holds one document and one batch of operations, never a whole log.
-    """
-    log = changes.join(docs.select(key), key, "left_semi").select(
-        key,
-        F.col("seq").cast("long").alias("seq"),
-        "op",
-        "path",
-        "from",
-        "value",
-        F.lit(None).cast("string").alias("text"),
-    )
-    none = F.lit(None)
-    base = docs.select(
-        key,
-        F.lit(BASE_SEQ).cast("long").alias("seq"),
-        none.cast("string").alias("op"),
-        none.cast("string").alias("path"),
-        none.cast("string").alias("from"),
-        none.cast(dict(changes.dtypes)["value"]).alias("value"),
-        "text",
-    )
-    # The window brings each document together in order, base row first. A plain
-    # repartition would not do: it asks for a layout that a later re-plan may undo.
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(F.col("op").isNotNull(), "seq"))
-    events = log.unionByName(base).withColumn("turn", turn)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = text = doc = failed = before = None
-        status, started = "ok", False
-
-        def result():
-            out = text if status != "ok" else to_text(doc)
-            return (current, out, status, failed)
-
-        for batch in batches:
-            finished = []
-            columns = (batch[c] for c in (key, "seq", "op", "path", "from", "value", "text", "turn"))
-            for doc_id, seq, op, path, source, value, base_text, turn in zip(*columns):
-                if turn == 1:
-                    if started:
-                        finished.append(result())
-                    current, text, status, failed, started, before = doc_id, base_text, "ok", None, True, None
-                    try:
-                        doc = from_text(base_text)
-                    except (TypeError, ValueError):
-                        status, failed = INVALID, None
-                    continue
-                if status != "ok":
-                    continue
-                if seq == before:
-                    status, failed = INVALID, seq
-                    continue
-                before = seq
-                change = {"op": op, "path": path}
-                try:
-                    if source is not None:
-                        change["from"] = source
-                    if value is not None:
-                        change["value"] = _plain(value)
-                    doc = operations[op](doc, change)
-                except Fault as fault:
-                    status, failed = fault.status, seq
-                except ValueError:
-                    status, failed = INVALID, seq
-            yield pd.DataFrame(finished, columns=[key, "text", "status", "failed_seq"]).astype({"failed_seq": "Int64"})
-        if started:
-            yield pd.DataFrame([result()], columns=[key, "text", "status", "failed_seq"]).astype(
-                {"failed_seq": "Int64"}
-            )
-
-    shape = f"{key} {dict(docs.dtypes)[key]}, text string, status string, failed_seq long"
-    folded = events.mapInPandas(fold, shape)
-    read = F.try_parse_json("text")
-    status = F.when((F.col("status") == "ok") & read.isNull(), INVALID).otherwise(F.col("status"))
-    return folded.select(key, read.alias("doc"), status.alias("status"), "failed_seq")

@@ -1,4 +1,6 @@
+import copy
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +94,59 @@ def test_added_operation(spark):
     assert tuple(row) == ('{"n":3}', "ok")
 
 
+def hot_log(n, seed=3):
+    """Operations on lists and objects of one document that all succeed, and what they give."""
+    rng = random.Random(seed)
+    doc = {"l": [*range(50)], "o": {"p": [1, 2]}, "m": {}}
+    start, ops = copy.deepcopy(doc), []
+    for i in range(n):
+        k = i % 7
+        at = rng.randrange(len(doc["l"]))
+        op = [
+            ("add", f"/l/{at}", None, str(i)), ("remove", f"/l/{at}", None, None), ("replace", f"/l/{at}", None, f'{{"v":{i}}}'),
+            ("add", f"/m/k{rng.randrange(40)}", None, str(i)), ("copy", "/o/last", f"/l/{at}", None), ("move", "/o/taken", f"/l/{at}", None),
+            ("add", f"/l/{at}", None, f"[{i}.50]"),
+        ][k]
+        change = {"op": op[0], "path": op[1]} | ({"from": op[2]} if op[2] else {}) | ({"value": json.loads(op[3])} if op[3] else {})
+        doc = OPERATIONS[op[0]](doc, change)
+        ops.append((1, i + 1, *op))
+    return start, ops, doc
+
+
+@pytest.mark.parametrize("broken_at", [None, 7_000])
+def test_a_hot_log_that_is_not_flat(spark, broken_at):
+    """One document, blocks in many tasks, lists that shift: the result is that of the loop."""
+    start, ops, want = hot_log(20_000)
+    if broken_at is not None:
+        ops[broken_at - 1] = (1, broken_at, "remove", "/m/absent", None, None)
+    docs = spark.createDataFrame([(1, json.dumps(start)), (2, "{}")], "doc_id long, doc string")
+    log = spark.createDataFrame(ops, "doc_id long, seq long, op string, path string, from string, value string").repartition(4)
+    got = {r.doc_id: r for r in C.apply_changes(docs, log, block=512).withColumn("doc", F.to_json("doc")).collect()}
+    assert got[2].status == "ok"
+    if broken_at is None:
+        assert got[1].status == "ok" and json.loads(got[1].doc) == want
+    else:
+        assert (got[1].status, got[1].failed_seq, json.loads(got[1].doc)) == ("conflict", broken_at, start)
+
+
+def test_blocks_of_a_hot_log_become_tries_in_many_tasks(spark):
+    _, ops, _ = hot_log(6_000)
+    log = spark.createDataFrame(ops, "doc_id long, seq long, op string, path string, from string, value string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = C._log_blocks(C.validate_changes(log), "doc_id", OPERATIONS, 512).select("n", F.col("trie").isNotNull().alias("t"), F.spark_partition_id().alias("p")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r.n for r in rows) == 6_000 and all(r.t for r in rows) and len({r.p for r in rows}) > 1
+
+
+def test_both_tables_are_read_once(spark, tmp_path):
+    docs, changes = tables(spark)
+    docs.write.parquet(str(tmp_path / "docs"))
+    changes.write.parquet(str(tmp_path / "log"))
+    got = C.apply_changes(spark.read.parquet(str(tmp_path / "docs")), spark.read.parquet(str(tmp_path / "log")))
+    plan = got.filter("doc_id IS NOT NULL")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("tmp_path") == 0 and plan.count("/log]") == 1 and plan.count("Exchange ") == 2
+
+
 def test_long_log_of_one_document(spark):
     """One hot member, many blocks: the last writer wins and no removal clashes."""
     log = spark.range(1, 20_001).select(
