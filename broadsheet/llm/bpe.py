@@ -69,7 +69,7 @@ class Bpe:
         self.ids = {b: i for i, b in enumerate(self.bytes) if b}
         for name, i in self.special.items():
             self.bytes[i] = name.encode()
-        self.longest = max(map(len, self.ids))
+        self._link()
         self.rank: dict[tuple[int, int], int] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -79,12 +79,53 @@ class Bpe:
             self.rank[pair], self.merged[pair] = rank, names[left + right]
             self.parts.setdefault(names[left + right], pair)
         self.order = {i: -1 for i in names.values()} | {i: self.rank[p] for i, p in self.parts.items()}
-        self.sound: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.sound: list[bool | None] = [None] * size
+        self.fits: dict[int, bool] = {}
         self.kept: dict[str, bytes] = {}
         self.words = regex.compile(WORD)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
+    def _link(self) -> None:
+        """A trie of all tokens with failure links: the tokens that end at a place are found longest first.
+
+        ``step`` leads from a node (of the trie of tokens) and a byte to the next; ``ends`` gives the longest token that
+        ends a node's path, ``shorter`` the next one that ends a token.
+        """
+        self.step: dict[int, int] = {}
+        own, by_depth = [-1], [[(0, 0, 0)]]
+        for data, token in sorted(self.ids.items()):
+            node = 0
+            for depth, byte in enumerate(data, 1):
+                key = node << 8 | byte
+                if key not in self.step:
+                    self.step[key] = len(own)
+                    own.append(-1)
+                    if depth == len(by_depth):
+                        by_depth.append([])
+                    by_depth[depth].append((len(own) - 1, node, byte))
+                node = self.step[key]
+            own[node] = token
+        self.fail, self.ends = [0] * len(own), [-1] * len(own)
+        self.shorter: dict[int, int] = {}
+        for nodes in by_depth[1:]:
+            for node, above, byte in nodes:
+                back = self.fail[above]
+                self.fail[node] = self._next(back, byte) if above else 0
+                below = self.ends[self.fail[node]]
+                self.ends[node] = own[node] if own[node] >= 0 else below
+                if own[node] >= 0:
+                    self.shorter[own[node]] = below
+        self.size = list(map(len, self.bytes))
+
+    def _next(self, node: int, byte: int) -> int:
+        while True:
+            found = self.step.get(node << 8 | byte)
+            if found is not None:
+                return found
+            if not node:
+                return 0
+            node = self.fail[node]
+
     def merge_all(self, data: bytes) -> list[int]:
         """The encoding by definition: the merge of lowest rank first, until none is left."""
         ids = [self.ids[data[i : i + 1]] for i in range(len(data))]
@@ -105,14 +146,14 @@ class Bpe:
 
     def is_sound(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as this one token."""
-        got = self.sound.get(token)
+        got = self.sound[token]
         if got is None:
             got = self.sound[token] = self.merge_all(self.bytes[token]) == [token]
         return got
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the two tokens are the encoding of their joined bytes: no merge across their border comes first."""
-        key = (left, right)
+        key = left << 32 | right
         got = self.fits.get(key)
         if got is None:
             if len(self.fits) > KEPT_PAIRS:
@@ -135,49 +176,61 @@ class Bpe:
                 return True
 
     def walk(self, words: set[str]) -> Iterator[tuple[str, list[int]]]:
-        """Each distinct word and its encoding, in depth-first order of the trie of all words."""
-        path, last = b"", [-1]
+        """Each distinct word and its encoding, in depth-first order of the trie of all words.
+
+        The last token of a prefix is, of the tokens that end there, the longest that is its own
+        encoding and may stand after the last token of what is before it.
+        """
+        path, last, nodes = b"", [-1], [0]
+        size, step, ends, shorter, sound, fits = self.size, self.step, self.ends, self.shorter, self.sound, self.fits
         for data, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
             shared, most = 0, min(len(path), len(data))
             while shared < most and path[shared] == data[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[shared]
             for end in range(shared + 1, len(data) + 1):
-                last.append(self._last_token(data, end, last))
+                found = step.get(node << 8 | data[end - 1])
+                node = self._next(node, data[end - 1]) if found is None else found
+                token = ends[node]
+                while token >= 0:
+                    if sound[token] or (sound[token] is None and self.is_sound(token)):
+                        begin = end - size[token]
+                        if not begin or fits.get(last[begin] << 32 | token) or self.may_follow(last[begin], token):
+                            break
+                    token = shorter[token]
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
+                nodes.append(node)
+                last.append(token)
             path = data
             ids, at = [], len(data)
             while at:
                 ids.append(last[at])
-                at -= len(self.bytes[last[at]])
+                at -= size[last[at]]
             ids.reverse()
             yield word, ids
 
-    def _last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        ids = self.ids
-        for begin in range(max(0, end - self.longest), end):
-            token = ids.get(data[begin:end])
-            if token is not None and self.is_sound(token) and (begin == 0 or self.may_follow(last[begin], token)):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         pieces = [self._pieces(t) for t in texts]
         kept = self.kept
         if len(kept) > KEPT_WORDS:
             kept.clear()
-        words = {w for text in pieces for part in text if not isinstance(part, bytes) for w in part}
+        words = set().union(*(part for text in pieces for part in text if not isinstance(part, bytes)))
         long = []
         for word, ids in self.walk(words - kept.keys()):
             kept[word] = np.array(ids, "<u4").tobytes()
             if len(word) > KEPT_LENGTH:
                 long.append(word)
-        out = [b"".join(x for part in text for x in ((part,) if isinstance(part, bytes) else map(kept.__getitem__, part))) for text in pieces]
+        of_word = kept.__getitem__
+        out = [b"".join([part if isinstance(part, bytes) else b"".join(map(of_word, part)) for part in text]) for text in pieces]
         for word in long:
             del kept[word]
         return out
 
     def _pieces(self, text: str | None) -> list[list[str] | bytes]:
+        """Special tokens as their ids, and the words of what is between them."""
         if not text:
             return []
         if self.cut is None or not self.cut.search(text):
@@ -234,8 +287,24 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: s
     return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, f"doc_id {kind}, ids binary, text string")
 
 
+def encode_and_decode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """``doc_id, ids, text`` of every row: both steps in one pass, in one worker."""
+    where = path or default_path()
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(where)
+        for batch in batches:
+            for part in slices(batch):
+                ids = bpe.encode(part.column("text").to_pylist())
+                columns = [part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, text string")
+
+
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids and of the text they decode to."""
-    rows = decode(encode(docs, doc_id, text, path), path=path)
+    rows = encode_and_decode(docs, doc_id, text, path)
     tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return rows.select("doc_id", tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
