@@ -42,7 +42,7 @@ VOCABULARY, CHAR_BUCKETS = 1000, 2048
 EPOCHS, MIN_STEPS, RATE, BATCH, DECAY = 8, 100, 0.015, 128, 1e-4
 THRESHOLD = 0.3
 # Windows that are scored together, and characters of texts that are cut into windows together.
-BLOCK, BLOCK_CHARS = 2048, 1_000_000
+BLOCK, BLOCK_CHARS = 2048, 250_000
 # What an error on a toxic document costs against one on a clean document.
 TOXIC_WEIGHT = 2.0
 # Share of the toxic labels of the sample that may be wrong.
@@ -418,5 +418,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
             parts = [scores(model, some) if model is not None else np.full(len(some), share) for some in _blocks(batch)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    rows = docs.select(F.struct("*").alias("row"), toxic(F.col(text)).alias("score"))
-    return rows.filter(F.col("score") < threshold).select("row.*")
+    # A column of the rows themselves: beside a struct of them the text would wait for its score twice.
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, toxic(F.col(text))).filter(F.col(name) < threshold).drop(name)

@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256`` of every document left."""
-    rows = bpe.decode(bpe.encode(docs))
+    rows = bpe.encode_and_decode(docs)
     tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return rows.select("doc_id", tokens, "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
