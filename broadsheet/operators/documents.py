@@ -75,15 +75,34 @@ def flatten_docs(
     """``(key, path, parent, type, value, sort_key)``, one row per place of a document, at any depth.
 
     ``doc`` is a VARIANT. Each level replaces an open container by itself and its
-    children within the same scan: one pass, no shuffle, no recursion. Containers
-    still open after ``max_depth`` levels list the places below them in one step.
+    children within the same scan: no shuffle, no recursion. Documents whose schema shows
+    more than ``max_depth`` levels may have containers that are still open then; only their
+    rows pass through Python, which lists the places below in one step.
     """
-    no_parent = F.lit(None).cast("string")
-    rows = docs.filter(F.col(doc).isNotNull()).select(
-        key, _node(F.lit(""), no_parent, F.lit(""), F.col(doc), F.lit(True)).alias("node")
+    # Every level of nesting opens a bracket in the schema of a document, unless elements of several
+    # kinds hide theirs; names may add more.
+    schema = F.schema_of_variant(doc)
+    brackets = F.length(schema) - F.length(F.replace(schema, F.lit("<"), F.lit("")))
+    may_be_deep = (brackets > max_depth) | schema.contains("VARIANT")
+    rows = docs.filter(F.col(doc).isNotNull())
+    shallow = _levels(rows.filter(~may_be_deep), key, doc, max_depth).select(
+        key, "node.path", "node.parent", "node.value", "node.sort_key"
     )
+    deep = _with_places_below(_levels(rows.filter(may_be_deep), key, doc, max_depth), key)
+    return shallow.unionByName(deep).select(key, "path", "parent", V.kind(F.col("value")).alias("type"), "value", "sort_key")
+
+
+def _levels(docs: DataFrame, key: str, doc: str, max_depth: int) -> DataFrame:
+    """``(key, node)``: the places of the first levels; containers below them are still open."""
+    no_parent = F.lit(None).cast("string")
+    rows = docs.select(key, _node(F.lit(""), no_parent, F.lit(""), F.col(doc), F.lit(True)).alias("node"))
     for _ in range(max_depth):
         rows = rows.select(key, F.explode(let(F.col("node"), _opened)).alias("node"))
+    return rows
+
+
+def _with_places_below(rows: DataFrame, key: str) -> DataFrame:
+    """The places of nodes, and those below the ones that are still open."""
     deep = F.col("node.open") & V.kind(F.col("node.value")).isin("object", "list")
     itself = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<boolean>").alias("indexed"))
     below = F.when(deep, _places_below(F.to_json("node.value")))
@@ -94,14 +113,13 @@ def flatten_docs(
     above = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     parent = F.concat(F.col("node.path"), F.array_join(F.transform(above, lambda p: F.concat(F.lit("/"), p)), ""))
     keys = F.zip_with("below.parts", "below.indexed", lambda p, i: F.when(i, element_key(p)).otherwise(member_key(p)))
-    rows = rows.select(
+    return rows.select(
         key,
         path.alias("path"),
         F.when(here, F.col("node.parent")).otherwise(parent).alias("parent"),
         F.when(here, F.col("node.value")).otherwise(P.resolve_parts(F.col("node.value"), F.col("below.parts"))).alias("value"),
         F.concat(F.col("node.sort_key"), F.array_join(keys, "")).alias("sort_key"),
     )
-    return rows.select(key, "path", "parent", V.kind(F.col("value")).alias("type"), "value", "sort_key")
 
 
 _PLACES = "array<struct<parts:array<string>,indexed:array<boolean>>>"

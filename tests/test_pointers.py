@@ -99,3 +99,10 @@ def test_flatten_reaches_any_depth(spark):
         assert got[4][3] == "1" and got[5][3] in ("1.5", "1.50")
     deep = "[" * 40 + "7" + "]" * 40
     assert DOC.flatten_docs(parsed(spark, deep)).count() == 41
+
+
+@pytest.mark.parametrize("depth", [1, 2, 8])
+def test_lists_of_several_kinds_hide_no_depth(spark, depth):
+    text = '[1,{"a":[2,{"b":[3,{"c":{"d":4}}]}]}]'
+    flat = DOC.flatten_docs(parsed(spark, text), max_depth=depth)
+    assert "/1/a/1/b/1/c/d" in {r.path for r in flat.collect()} and flat.count() == 11
