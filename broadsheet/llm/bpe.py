@@ -35,9 +35,9 @@ from broadsheet.llm.shingles import slices
 # The pattern that byte-level vocabularies of this kind are made with: a fixed value.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Words whose encodings are kept, and the longest that is.
-KEPT_WORDS, KEPT_LENGTH = 400_000, 40
+KEPT_WORDS, KEPT_LENGTH = 120_000, 40
 # Verdicts on neighbouring tokens that are kept.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 200_000
 
 
 def default_path() -> str:
