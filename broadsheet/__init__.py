@@ -1,7 +1,8 @@
 """broadsheet: feeds, crawled pages and JSON documents as Spark tables.
 
-Every public function takes and returns DataFrames or Columns, builds a lazy
-plan on the driver, and leaves the data work to the executors.
+Every public function takes and returns DataFrames or Columns and leaves the data work
+to the executors. Plans are lazy; functions that fit a model, bound a broadcast or cut the
+lineage run jobs while they build theirs, and say so.
 """
 
 import sys
