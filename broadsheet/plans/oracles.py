@@ -365,6 +365,14 @@ SQL["json_duplicate_keys"] = """
 SELECT o_orderkey AS doc_id, '{"a":[' || o_custkey || ',' || o_orderkey || '],"b":0}' AS doc FROM orders
 """
 
+SQL["patch_apply_own"] = f"""
+WITH {DOCS}
+SELECT doc_id, CASE WHEN o_orderkey % 7 = 0 THEN doc ELSE '{{"cents":' || cents * (o_orderkey % 5 + 2) || ',"codes":[' || o_custkey || ',' || o_orderkey ||
+    '],"id":' || o_orderkey || ',"owner":{{"id":' || o_custkey || '}},"state":"' || o_orderstatus || '"}}' END AS doc,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'conflict' ELSE 'ok' END AS status, CASE WHEN o_orderkey % 7 = 0 THEN 1::BIGINT END AS failed_seq
+FROM docs
+"""
+
 # Snapshot diff
 
 

@@ -13,6 +13,7 @@ from broadsheet.functions import pointers as P
 from broadsheet.functions import urls as U
 from broadsheet.functions import variants as V
 from broadsheet.functions.chars import char_class
+from broadsheet.functions.json_edits import CONFLICT, OPERATIONS, Fault
 from broadsheet.functions.text import extract_text, extract_title
 from broadsheet.operators import articles as A
 from broadsheet.operators import changes as C
@@ -375,6 +376,26 @@ def patch_apply_dirty(spark, sf):
     return _applied(X.dirty_docs(spark, sf), X.dirty_log(spark, sf))
 
 
+def _scale(doc, change):
+    """An own operation: a number member becomes so many times as large."""
+    name = change["path"][1:]
+    if not isinstance(doc.get(name), int):
+        raise Fault(CONFLICT)
+    doc[name] *= change["value"]
+    return doc
+
+
+@query
+def patch_apply_own(spark, sf):
+    """A log with an operation of the user's own, and one of the six; every seventh order scales a member it lacks."""
+    ops = """array(struct(1 AS seq, 'scale' AS op, if(o_orderkey % 7 = 0, '/absent', '/cents') AS path, cast(o_orderkey % 5 + 2 as string) AS value),
+        struct(2 AS seq, 'remove' AS op, '/owner/rank' AS path, cast(null as string) AS value))"""
+    log = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.explode(F.expr(ops)).alias("o"))
+    log = log.select("doc_id", "o.seq", "o.op", "o.path", F.lit(None).cast("string").alias("from"), "o.value")
+    out = C.apply_changes(X.order_docs(spark, sf), log, operations={**OPERATIONS, "scale": _scale})
+    return out.select("doc_id", F.to_json("doc").alias("doc"), "status", "failed_seq")
+
+
 @query
 def json_text_patches(spark, sf):
     """Logs written as JSON text and read again."""
