@@ -507,6 +507,18 @@ WITH {TOKENS.replace(TOKENS[TOKENS.index("edge AS"):TOKENS.index("found AS")], "
 SELECT page_id, kind, count(*) AS n FROM tokens GROUP BY ALL
 """
 
+_PLAIN_TOKENS = TOKENS.replace(TOKENS[TOKENS.index("edge AS"):TOKENS.index("found AS")], "edge AS (SELECT page_id, html FROM pages)," + chr(10))
+SQL["short_tag_tokens"] = f"""
+WITH {_PLAIN_TOKENS}, both_kinds AS (
+  SELECT page_id, kind, tag, data FROM tokens
+  UNION ALL SELECT page_id, 'start', 'q1', NULL FROM pages
+  UNION ALL SELECT page_id, 'data', NULL, 'page ' || page_id FROM pages
+  UNION ALL SELECT page_id, 'end', 'q1', NULL FROM pages
+)
+SELECT page_id, kind, tag, count(*) AS n, CAST(sum(length(data)) AS BIGINT) AS n_chars FROM both_kinds GROUP BY ALL
+"""
+SQL["own_entities"] = f"WITH {TOKENS} SELECT tag, '{{' || tag || '}}' AS data, count(*) AS n FROM tokens WHERE kind = 'entityref' GROUP BY ALL"
+
 # Segmentation
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"

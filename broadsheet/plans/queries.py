@@ -572,6 +572,24 @@ def markup_stream_tokens(spark, sf):
     return spark.read.parquet(out).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def short_tag_tokens(spark, sf):
+    """Every page behind a tag in short form, which stands for a start tag, its text and an end tag."""
+    pages = table(spark, sf, "pages").select("page_id", F.expr("concat('<Q1/page ', page_id, '/', html)").alias("html"))
+    tokens = M.tokenize_markup(pages, short_tags=True)
+    return tokens.groupBy("page_id", "kind", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).cast("bigint").alias("n_chars"))
+
+
+@query
+def own_entities(spark, sf):
+    """Entity references by a table of the user's own: all names that the pages use, each with a text of its own."""
+    pages = X.edge_pages(spark, sf)
+    names = pages.select(F.explode(F.regexp_extract_all("html", F.lit("&([a-zA-Z][-.a-zA-Z0-9]*)"))).alias("name")).distinct()
+    entities = names.select("name", F.concat(F.lit("{"), "name", F.lit("}")).alias("char"))
+    tokens = M.of_kind(M.tokenize_markup(pages, entities=cut_lineage(entities)), "entityref")
+    return tokens.groupBy("tag", "data").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Segmentation
 
 
