@@ -21,6 +21,9 @@ ones (0 if there are none). Extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -86,11 +89,13 @@ def words_of(texts: list[str | None]) -> Words:
     found, first, number = np.unique(hashes, return_index=True, return_inverse=True)
     starts, ends = starts[first], ends[first]
     sizes = ends - starts
-    place = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum()) if len(found) else np.zeros(0, np.int64)
-    own = data[place].astype(np.int64)
+    # Places fit 32 bits: texts come in blocks, or are a bounded sample.
+    before_word = (starts - np.concatenate(([0], np.cumsum(sizes)[:-1]))).astype(np.int32)
+    place = np.repeat(before_word, sizes) + np.arange(sizes.sum(), dtype=np.int32) if len(found) else np.zeros(0, np.int32)
+    own = data[place].astype(np.int32)
     before = np.where(np.repeat(starts, sizes) == place, 60, data[place - 1])
     after = np.where(np.repeat(ends, sizes) == place + 1, 62, data[np.minimum(place + 1, len(data) - 1)])
-    buckets = (before.astype(np.int64) * 961 + own * 31 + after) % (CHAR_BUCKETS - 1) + 1
+    buckets = (before.astype(np.int32) * 961 + own * 31 + after) % (CHAR_BUCKETS - 1) + 1
     return Words(
         np.concatenate(([np.uint64(0)], found)),
         np.concatenate(([0], buckets)),
@@ -382,6 +387,10 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def _share(rows: DataFrame, model: Model | None) -> Broadcast[dict[str, np.ndarray]]:
     """A broadcast is pickled by reference, so it holds arrays and no class of this package; empty without a model."""
+    # The driver lives on for the whole job: what training no longer needs goes back to the system.
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
     return rows.sparkSession.sparkContext.broadcast(model.arrays() if model is not None else {})
 
 
