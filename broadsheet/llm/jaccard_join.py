@@ -22,7 +22,9 @@ group are held against the group, in blocks. Every pair must pass an exact bound
 text is fetched: sets that differ in ``k`` elements differ in at most ``k`` of the parities
 of their elements by hash bucket.
 
-Equal sets are collapsed to one before all this, by hash and size of the set.
+Equal sets are collapsed to one before all this, by hash and size of the set. Signatures carry
+the *key* of their set, one number of 48 bits of its hash and 16 bits of the logarithm of its
+size. Keys that two sets share lead to candidates of both, which are checked as all others.
 
 Defined results: NULL or empty text has an empty set, which links with nothing. A NULL
 ``doc_id`` links with nothing and has a NULL component. Rows of one ``doc_id`` are one
@@ -57,6 +59,12 @@ BLOCK = 256
 BLOCKS_PER_PARTITION = 16
 # Bytes of a signature that are kept beside its block.
 SIG_BYTES = 6
+# Steps of the natural logarithm of a size in the key of a set; sizes of 64 bits fit 16 bits of it.
+SIZE_STEPS = 1024
+# Sets with more rows than one in this many for each shuffle partition are frequent, so there are at most that many.
+FREQUENT = 4
+# What tells sets apart.
+SET = ["set_hash", "n_shingles"]
 # Bits of the profile of a large set; beyond about 9,000 elements it rules out less.
 MOST_BITS = 4096
 # Texts of this many bytes make signatures together.
@@ -84,6 +92,18 @@ def _set_id(values: np.ndarray) -> int:
     return int(np.add.reduce(mix(values ^ np.uint64(0xD6E8FEB86659FD93)), dtype=np.uint64).astype(np.int64))
 
 
+def _set_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """48 bits of the hash, then 16 of the logarithm of the size."""
+    steps = np.floor(np.log(np.maximum(sizes, 1)) * SIZE_STEPS).astype(np.uint64)
+    return ((hashes.astype(np.int64).view(np.uint64) << np.uint64(16)) | steps).view(np.int64)
+
+
+def _may_fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of these keys may have sizes that are near enough; never false for those that are."""
+    apart = np.abs((x & 0xFFFF) - (y & 0xFFFF))
+    return apart <= np.ceil(np.log(OF / NEED) * SIZE_STEPS) + 1
+
+
 # Sets
 
 
@@ -112,20 +132,21 @@ def _far(a: bytes, b: bytes) -> int:
 
 
 def document_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, set_hash, n_shingles, profile`` of every row."""
+    """``doc_id, set_hash, n_shingles, set_key, profile`` of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             sets = [(_set_id(s), len(s), _profile(s)) for s in shingle_sets(batch.column("text").to_pylist())]
             hashes, sizes, profiles = zip(*sets, strict=True) if sets else ((), (), ())
+            keys = _set_keys(np.array(hashes, np.int64), np.array(sizes, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(profiles, pa.binary())],
-                ["doc_id", "set_hash", "n_shingles", "profile"],
+                [batch.column("doc_id"), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(profiles, pa.binary())],
+                ["doc_id", "set_hash", "n_shingles", "set_key", "profile"],
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(build, f"doc_id {kind}, set_hash long, n_shingles long, profile binary")
+    return rows.mapInArrow(build, f"doc_id {kind}, set_hash long, n_shingles long, set_key long, profile binary")
 
 
 # Signatures
@@ -169,7 +190,7 @@ def signatures(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def _signature_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """``block, sigs, sets, sizes``: packed signatures of many documents, dealt out by signature."""
+    """``block, sigs, sets``: packed signatures of many documents, dealt out by signature."""
 
     def pack(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         unique: dict[tuple[int, int], np.ndarray] = {}
@@ -177,8 +198,7 @@ def _signature_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
             if len(s):
                 unique[(_set_id(s), len(s))] = s
         sets = list(unique.values())
-        ids = np.array([key[0] for key in unique], np.int64)
-        sizes = np.array([key[1] for key in unique], np.int64)
+        keys = _set_keys(np.array([x[0] for x in unique], np.int64), np.array([x[1] for x in unique], np.int64))
         for sigs, owner in signatures(sets):
             block, sigs = (sigs % np.uint64(n_blocks)).astype(np.int64), sigs >> np.uint64(8 * (8 - SIG_BYTES))
             order = np.argsort(block, kind="stable")
@@ -189,8 +209,7 @@ def _signature_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
                 {
                     "block": pa.array([int(block[a]) for a, _ in spans], pa.int64()),
                     "sigs": pa.array([sigs[a:b].view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes() for a, b in spans], pa.binary()),
-                    "sets": pa.array([ids[owner[a:b]].tobytes() for a, b in spans], pa.binary()),
-                    "sizes": pa.array([sizes[owner[a:b]].tobytes() for a, b in spans], pa.binary()),
+                    "sets": pa.array([keys[owner[a:b]].tobytes() for a, b in spans], pa.binary()),
                 }
             )
 
@@ -205,22 +224,21 @@ def _signature_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
                     held, size = [], 0
         yield from pack(held)
 
-    return docs.mapInArrow(build, "block long, sigs binary, sets binary, sizes binary")
+    return docs.mapInArrow(build, "block long, sigs binary, sets binary")
 
 
 def _shared(blocks: DataFrame) -> DataFrame:
-    """Pairs of sets in small groups (``sig`` NULL), and the members of large groups (``b`` NULL)."""
-    columns = ["sig", "a", "n_a", "b", "n_b"]
+    """Keys of pairs of sets in small groups (``sig`` NULL), and of the members of large groups (``b`` NULL)."""
+    columns = ["sig", "a", "b"]
 
-    def meet(held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def meet(held: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         short = np.concatenate([np.frombuffer(x[0], np.uint8) for x in held]).reshape(-1, SIG_BYTES)
         sigs = np.pad(short, ((0, 0), (0, 8 - SIG_BYTES))).view(np.uint64).ravel()
         sets = np.concatenate([np.frombuffer(x[1], np.int64) for x in held])
-        sizes = np.concatenate([np.frombuffer(x[2], np.int64) for x in held])
-        order = np.lexsort((sizes, sets, sigs))
-        sigs, sets, sizes = sigs[order], sets[order], sizes[order]
-        new = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1]) | (sizes[1:] != sizes[:-1])))
-        sigs, sets, sizes = sigs[new], sets[new], sizes[new]
+        order = np.lexsort((sets, sigs))
+        sigs, sets = sigs[order], sets[order]
+        new = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1])))
+        sigs, sets = sigs[new], sets[new]
         begins = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
         counts = np.diff(np.append(begins, len(sigs)))
         out = []
@@ -229,24 +247,21 @@ def _shared(blocks: DataFrame) -> DataFrame:
             if not len(rows):
                 continue
             i, j = np.triu_indices(size, 1)
-            x, y = (rows[:, None] + i[None, :]).ravel(), (rows[:, None] + j[None, :]).ravel()
-            fits = np.minimum(sizes[x], sizes[y]) * OF >= np.maximum(sizes[x], sizes[y]) * NEED
-            out.append(np.stack([sets[x[fits]], sizes[x[fits]], sets[y[fits]], sizes[y[fits]]]))
+            x, y = sets[(rows[:, None] + i[None, :]).ravel()], sets[(rows[:, None] + j[None, :]).ravel()]
+            fits = _may_fit(x, y)
+            out.append(np.stack([x[fits], y[fits]]))
         if out:
             pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-            none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([none, *(pa.array(p) for p in pairs)], columns)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), *(pa.array(p) for p in pairs)], columns)
         large = np.repeat(counts > SMALL_GROUP, counts)
         if large.any():
             none = pa.nulls(int(large.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sigs[large].view(np.int64)), pa.array(sets[large]), pa.array(sizes[large]), none, none], columns
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[large].view(np.int64)), pa.array(sets[large]), none], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "sigs", "sets", "sizes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("block", "sigs", "sets")), strict=True):
                 if row[0] != block and held:
                     yield from meet(held)
                     held = []
@@ -256,7 +271,7 @@ def _shared(blocks: DataFrame) -> DataFrame:
             yield from meet(held)
 
     dealt = blocks.repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "sig long, a long, n_a long, b long, n_b long")
+    return dealt.mapInArrow(run, "sig long, a long, b long")
 
 
 # Checks
@@ -312,18 +327,23 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = stored(document_sets(docs))
     known = sets.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     links = similar_links(docs, known)
-    chosen = known.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("first"))
+    chosen = known.groupBy(SET).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     # A document with several texts ties their sets together.
     several = known.groupBy("doc_id").agg(F.min(F.struct("set_hash", "n_shingles")).alias("x"), F.max(F.struct("set_hash", "n_shingles")).alias("y"))
     several = several.filter("x <> y").select("doc_id")
-    ties = known.join(several, "doc_id", "left_semi").join(chosen, ["set_hash", "n_shingles"])
+    ties = known.join(several, "doc_id", "left_semi").join(chosen, SET)
     links = links.unionByName(ties.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     parts = connected_components(links)
-    rows = sets.select("doc_id", "set_hash", "n_shingles").join(chosen, ["set_hash", "n_shingles"], "left")
-    rows = rows.join(parts, rows["first"] == parts["node"], "left")
-    alone = F.when(F.col("n_shingles") > 0, F.coalesce("component", "first", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), alone)
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    named = chosen.join(parts, chosen["first"] == parts["node"], "left").select(*SET, "copies", F.coalesce("component", "first").alias("component_id"))
+    named = stored(named)
+    # Rows of frequent sets would meet in one task; such sets are few, whatever the data, and go to the rows.
+    tasks = FREQUENT * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = named.filter(F.col("copies") > sets.count() / tasks).select(*SET, "component_id")
+    rows = known.select("doc_id", *SET).join(F.broadcast(often), SET, "left")
+    rare = rows.filter("component_id is null").drop("component_id").join(named.drop("copies"), SET)
+    alone = sets.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = ["doc_id", "n_shingles", "component_id"]
+    return alone.select(out).unionByName(rows.filter("component_id is not null").select(out)).unionByName(rare.select(out))
 
 
 def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,17 +353,19 @@ def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     Within a component not all links are given, but those given reach all its members.
     """
     spark = docs.sparkSession
-    chosen = sets.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("profile").alias("profile"))
+    chosen = sets.groupBy("set_hash", "n_shingles").agg(
+        F.min("doc_id").alias("first"), F.min("set_key").alias("set_key"), F.min("profile").alias("profile")
+    )
     n_blocks = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = stored(_shared(_signature_blocks(docs.filter("doc_id is not null").select("text"), n_blocks)))
-    pairs = found.filter("sig is null").select("a", "n_a", "b", "n_b").distinct()
-    left = chosen.select(F.col("set_hash").alias("a"), F.col("n_shingles").alias("n_a"), F.col("first").alias("first_a"), F.col("profile").alias("profile_a"))
-    right = chosen.select(F.col("set_hash").alias("b"), F.col("n_shingles").alias("n_b"), F.col("first").alias("first_b"), F.col("profile").alias("profile_b"))
-    small = pairs.join(left, ["a", "n_a"]).join(right, ["b", "n_b"])
+    pairs = found.filter("sig is null").select("a", "b").distinct()
+    left = chosen.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("first").alias("first_a"), F.col("profile").alias("profile_a"))
+    right = chosen.select(F.col("set_key").alias("b"), F.col("n_shingles").alias("n_b"), F.col("first").alias("first_b"), F.col("profile").alias("profile_b"))
+    small = pairs.join(left, "a").join(right, "b")
     small = small.select(F.col("first_a").alias("a"), F.col("first_b").alias("b"), "n_a", "n_b", "profile_a", "profile_b")
 
-    members = found.filter("sig is not null").select("sig", F.col("a").alias("set_hash"), F.col("n_a").alias("n_shingles"))
-    members = stored(members.join(chosen.drop("profile"), ["set_hash", "n_shingles"]).select("sig", "first"))
+    members = found.filter("sig is not null").select("sig", F.col("a").alias("set_key"))
+    members = stored(members.join(chosen.select("set_key", "first"), "set_key").select("sig", "first"))
     often = members.groupBy("first").agg(F.count(F.lit(1)).alias("groups"))
     leaders = members.join(often, "first").groupBy("sig").agg(F.min_by("first", F.struct(-F.col("groups"), F.col("first"))).alias("lead"))
     # One leader leads many groups, so the pairs are far fewer than the members.
