@@ -51,6 +51,18 @@ def feed_texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def mixed_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """The same documents, some of them in one of three broken shapes: cut off, a stray end tag, without text."""
+    number = F.substring_index("feed_url", "/", -1).cast("long") % 6
+    broken = (
+        F.when(number == 1, F.replace("xml", F.lit("</item></channel></rss>"), F.lit("")))
+        .when(number == 3, F.replace("xml", F.lit("</channel>"), F.lit("</chanel>")))
+        .when(number == 5, F.lit(""))
+        .otherwise(F.col("xml"))
+    )
+    return feed_texts(spark, sf).select("feed_url", broken.alias("xml"))
+
+
 def page_items(spark: SparkSession, sf: str) -> DataFrame:
     """Two feed items per page: its own URL, and one that was never crawled."""
     return table(spark, sf, "pages").select(

@@ -92,6 +92,15 @@ normalized AS (
 SQL["articles_normalized"] = f"WITH {NORMALIZED} SELECT title, link, text, published, language, status FROM normalized"
 SQL["articles_kept"] = f"WITH {NORMALIZED} SELECT link, language, CAST(length(text) AS INTEGER) AS n_chars FROM normalized WHERE status = 'ok'"
 SQL["articles_saved"] = SQL["articles_kept"]
+SQL["articles_streamed"] = f"""
+SELECT kept.* FROM ({SQL["articles_kept"]}) kept JOIN pages ON url = link WHERE page_id // 20 % 2 = 0
+"""
+SQL["feed_reports"] = """
+SELECT 'http://feeds.example.org/' || (page_id // 20) AS feed_url,
+  CASE page_id // 20 % 6 WHEN 1 THEN 'malformed' WHEN 3 THEN 'malformed' WHEN 5 THEN 'empty' ELSE 'ok' END AS status,
+  CAST(CASE WHEN page_id // 20 % 2 = 0 THEN count(*) ELSE 0 END AS INTEGER) AS n_items
+FROM pages GROUP BY page_id // 20
+"""
 SQL["article_counts"] = f"""
 WITH {ITEMS} SELECT count(*) AS pulled, count(html) AS saved, count(*) - count(html) AS failed
 FROM items LEFT JOIN pages ON url = link

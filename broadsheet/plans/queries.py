@@ -25,7 +25,7 @@ from broadsheet.operators import markup as M
 from broadsheet.operators import segment as G
 from broadsheet.operators import topics as T
 from broadsheet.plans import derived as X
-from broadsheet.plans.article_run import run_articles
+from broadsheet.plans.article_run import run_articles, stream_articles
 from broadsheet.plans.derived import table
 from broadsheet.session import cut_lineage, scratch_path, spread
 from broadsheet.sources import documents as SD
@@ -108,6 +108,23 @@ def articles_saved(spark, sf):
     return saved.select("link", "language", F.length("text").alias("n_chars"))
 
 
+@query
+def feed_reports(spark, sf):
+    return SF.feed_reports(X.mixed_feeds(spark, sf))
+
+
+@query
+def articles_streamed(spark, sf):
+    """The job as a stream over sound and broken feed files, run again from its checkpoint; what it saved is read back."""
+    feeds, out, bad, state = (scratch_path(spark, x) for x in ("feeds", "articles", "quarantine", "state"))
+    X.mixed_feeds(spark, sf).select("xml").write.option("maxRecordsPerFile", 1).text(feeds)
+    pages, profiles = table(spark, sf, "pages"), cut_lineage(_profiles(spark, sf))
+    for _ in range(2):
+        stream_articles(spark, feeds, pages, profiles, out, bad, state).awaitTermination()
+    saved = spark.read.schema("title string, link string, text string, published string, language string").json(out)
+    return saved.select("link", "language", F.length("text").alias("n_chars"))
+
+
 @query
 def article_counts(spark, sf):
     return run_counters(_normalized(spark, sf))

@@ -54,12 +54,27 @@ def parse_feeds(feeds: DataFrame, url: str = "feed_url", xml: str = "xml") -> Da
     )
 
 
+def _checked(xml: Column) -> Column:
+    """The parsed feed; its ``_corrupt_record`` is set if the text is not well formed."""
+    return F.from_xml(xml, f"{_FEED}, _corrupt_record string", {**_OPTIONS, "mode": "PERMISSIVE"})
+
+
 def malformed_feeds(feeds: DataFrame, url: str = "feed_url", xml: str = "xml") -> DataFrame:
     """Feeds without text, or whose text is not well formed."""
-    parsed = F.from_xml(F.col(xml), f"{_FEED}, _corrupt_record string", {**_OPTIONS, "mode": "PERMISSIVE"})
+    parsed = _checked(F.col(xml))
     return feeds.filter(parsed.isNull() | parsed["_corrupt_record"].isNotNull()).select(url)
 
 
+def feed_reports(feeds: DataFrame, url: str = "feed_url", xml: str = "xml") -> DataFrame:
+    """``(feed_url, status, n_items)`` of every feed: ok, empty (no text) or malformed. Computed in the scan stage."""
+    n_items = F.coalesce(F.size("f.channel.item"), F.size("f.item"), F.size("f.entry"), F.lit(0))
+    status = F.when(F.trim(F.coalesce(xml, F.lit(""))) == "", "empty").when(
+        F.col("f").isNull() | F.col("f._corrupt_record").isNotNull(), "malformed"
+    )
+    rows = feeds.select(url, xml, _checked(F.col(xml)).alias("f")).withColumn("status", F.coalesce(status, F.lit("ok")))
+    return rows.select(url, "status", F.when(F.col("status") == "ok", n_items).otherwise(0).alias("n_items"))
+
+
 def feed_files(spark: SparkSession, path: str) -> DataFrame:
     """``(feed_url, xml)``, one row per file: a feed is one small document."""
     return spark.read.text(path, wholetext=True).select(
@@ -91,10 +106,15 @@ def scan_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFra
 
 def stream_feed_items(spark: SparkSession, path: str) -> DataFrame:
     """The same items as an unbounded stream over the files that arrive below a path."""
-    files = spark.readStream.schema("value string").option("wholetext", "true").text(path)
-    return parse_feeds(
-        files.select(F.col("_metadata.file_path").alias("feed_url"), F.col("value").alias("xml"))
-    )
+    return parse_feeds(stream_feed_files(spark, path))
+
+
+def stream_feed_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """``(feed_url, xml)`` of the files that arrive below a path, at most ``max_files`` in a batch."""
+    reader = spark.readStream.schema("value string")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("feed_url"), F.col("value").alias("xml"))
 
 
 def published_ts(published: Column) -> Column:

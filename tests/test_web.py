@@ -11,7 +11,7 @@ from broadsheet.functions.text import extract_text, extract_title
 from broadsheet.operators import discovery as FD
 from broadsheet.operators import language as L
 from broadsheet.operators import topics as T
-from broadsheet.plans.article_run import run_articles
+from broadsheet.plans.article_run import run_articles, stream_articles
 from broadsheet.session import scratch_path
 from broadsheet.sources import feeds as SF
 from broadsheet.sources import files as SFI
@@ -147,6 +147,35 @@ def test_run_articles(spark, tmp_path):
     }
 
 
+def test_stream_articles_restarts_and_sets_broken_feeds_aside(spark, tmp_path):
+    feeds = tmp_path / "feeds"
+    feeds.mkdir()
+    pages = spark.createDataFrame([(1, "http://x/1", "<p>und der</p>"), (2, "http://a", "<p>the of</p>")], "page_id long, url string, html string")
+    profiles = L.fit_language_profiles(
+        spark.createDataFrame([("und der die das", "de"), ("the and of that", "en")], "text string, lang string")
+    )
+    out, bad, state = (scratch_path(spark, x) for x in ("articles", "quarantine", "state"))
+
+    def run():
+        stream_articles(spark, str(feeds), pages, profiles, out, bad, state, max_files=1).awaitTermination()
+        saved = sorted(r.link for r in spark.read.schema("link string").json(out).collect())
+        set_aside = spark.read.schema("feed_url string, status string").json(bad).collect()
+        return saved, sorted((os.path.basename(r.feed_url), r.status) for r in set_aside)
+
+    (feeds / "a.xml").write_text(RSS.replace("<item>", "\n<item>\n"), encoding="utf-8")
+    (feeds / "b.xml").write_text(RSS[:-10], encoding="utf-8")
+    (feeds / "c.xml").write_text(" ", encoding="utf-8")
+    aside = [("b.xml", "malformed"), ("c.xml", "empty")]
+    assert run() == (["http://x/1"], aside)
+    # Again from the same checkpoint, and once more with a file that has come since.
+    assert run() == (["http://x/1"], aside)
+    (feeds / "d.xml").write_text(ATOM, encoding="utf-8")
+    assert run() == (["http://a", "http://x/1"], aside)
+    once = scratch_path(spark, "articles")
+    counters = run_articles(spark, str(feeds), pages, profiles, once, scratch_path(spark, "quarantine"))
+    assert counters == {"pulled": 3, "saved": 2, "failed": 1, "malformed": 2}
+
+
 def test_language_paths_agree(spark):
     docs = spark.createDataFrame(
         [(1, "und der"), (2, "the of"), (3, "123"), (4, ""), (5, None), (6, "zzz qqq")], "id long, text string"
