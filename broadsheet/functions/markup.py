@@ -19,16 +19,22 @@ REFERENCE = r"&(?:[a-zA-Z][-.a-zA-Z0-9]*|#[0-9]+);?"
 DEFAULT_LITERAL_TAGS = ("script", "style")
 
 
-def token_pattern(literal_tags: tuple[str, ...] = DEFAULT_LITERAL_TAGS, short_tags: bool = False) -> str:
+def token_pattern(
+    literal_tags: tuple[str, ...] = DEFAULT_LITERAL_TAGS, short_tags: bool = False, rest_tags: tuple[str, ...] = ()
+) -> str:
     """One alternation that cuts any text into tokens without loss.
 
+    A start tag of ``rest_tags`` takes all that follows with it. The alternation is left to right, so
+    one inside a comment or a literal element is none.
+
     Constructs still open at the end of the text run to its end and count as data.
     The same pattern serves Java and Python (which spells ``\\z`` as ``\\Z``).
     """
     literal = [rf"(?i:<{t}\b[^<>]*>)[\s\S]*?(?:(?i:</{t}\s*>)|\z)" for t in literal_tags]
     short = [r"<[a-zA-Z][-.a-zA-Z0-9]*/[^/]*/"] if short_tags else []
     return "|".join(
-        literal
+        [rf"(?i:<(?:{'|'.join(rest_tags)})(?![-_.a-zA-Z0-9])[^<>]*>)[\s\S]*"] * bool(rest_tags)
+        + literal
         + short
         + [
             r"<!--(?s:.*?)--\s*>",
@@ -54,11 +60,24 @@ def literal_pattern(literal_tags: tuple[str, ...]) -> str:
     return rf"(?is)^(<(?:{names})\b[^<>]*>)(.*?)(</(?:{names})\s*>)?\z"
 
 
+def rest_start(rest_tags: tuple[str, ...]) -> str:
+    """A start tag after which all is text."""
+    return rf"^(?i:<(?:{'|'.join(rest_tags)})(?![-_.a-zA-Z0-9])[^<>]*>)"
+
+
 def raw_tokens(
-    html: Column, literal_tags: tuple[str, ...] = DEFAULT_LITERAL_TAGS, short_tags: bool = False
+    html: Column, literal_tags: tuple[str, ...] = DEFAULT_LITERAL_TAGS, short_tags: bool = False, rest_tags: tuple[str, ...] = ()
 ) -> Column:
     """The tokens of a page in order; their concatenation is the page."""
-    found = F.regexp_extract_all(html, F.lit(token_pattern(literal_tags, short_tags)), F.lit(0))
+    found = F.regexp_extract_all(html, F.lit(token_pattern(literal_tags, short_tags, rest_tags)), F.lit(0))
+    if rest_tags:
+        rest = rf"(?s)({rest_start(rest_tags)})(.*)\z"
+
+        def part(token: Column) -> Column:
+            pieces = F.array(F.regexp_extract(token, rest, 1), F.regexp_extract(token, rest, 2))
+            return F.when(token.rlike(rest), F.filter(pieces, lambda p: p != "")).otherwise(F.array(token))
+
+        found = F.flatten(F.transform(found, part))
     if not literal_tags:
         return found
     names = "|".join(literal_tags)

@@ -21,9 +21,9 @@ VOID_TAGS = [
 ]
 
 
-def _events(html: Column, literal_tags: tuple[str, ...], short_tags: bool) -> Column:
-    """Array of ``(token, last, again)``; ``again`` is the tag that a bare ``<>`` repeats."""
-    tokens = M.raw_tokens(html, literal_tags, short_tags)
+def _events(html: Column, literal_tags: tuple[str, ...], short_tags: bool, rest_tags: tuple[str, ...] = ()) -> Column:
+    """Array of ``(token, last, again, rest)``: the tag that a bare ``<>`` repeats, and whether all markup has ended before."""
+    tokens = M.raw_tokens(html, literal_tags, short_tags, rest_tags)
 
     def from_array(found: Column) -> Column:
         n = F.size(found)
@@ -31,8 +31,10 @@ def _events(html: Column, literal_tags: tuple[str, ...], short_tags: bool) -> Co
         def event(token: Column, i: Column) -> Column:
             earlier = F.filter(F.slice(found, F.lit(1), i), lambda t: t.rlike("^<[a-zA-Z]"))
             again = F.coalesce(M.start_name(F.try_element_at(earlier, F.lit(-1))), F.lit("???"))
+            # What follows such a start tag is the last token.
+            rest = F.coalesce(F.get(found, i - 1).rlike(M.rest_start(rest_tags) + r"\z"), F.lit(False)) if rest_tags else F.lit(False)
             return F.struct(
-                token.alias("token"), (i == n - 1).alias("last"), F.when(token == "<>", again).alias("again")
+                token.alias("token"), (i == n - 1).alias("last"), F.when(token == "<>", again).alias("again"), rest.alias("rest")
             )
 
         return F.transform(found, event)
@@ -48,23 +50,27 @@ def tokenize_markup(
     literal_tags: Iterable[str] = M.DEFAULT_LITERAL_TAGS,
     short_tags: bool = False,
     entities: dict[str, str] | DataFrame | None = None,
+    rest_tags: Iterable[str] = (),
 ) -> DataFrame:
     """``(key, pos, kind, tag, attrs, data, raw)``, one row per token, in one pass without a shuffle.
 
+    After a start tag of ``rest_tags`` there is no markup: the rest of the page is one token of data.
+
     For references ``tag`` holds the name or number and ``data`` the character, or
     NULL when it is unknown. ``entities`` replaces the table of known names, as a
     dict or as a table ``(name, char)``.
     """
-    events = _events(F.col(html), tuple(literal_tags), short_tags)
+    if short_tags and rest_tags:
+        raise ValueError("short tags and rest tags exclude each other")
+    events = _events(F.col(html), tuple(literal_tags), short_tags, tuple(rest_tags))
     rows = pages.select(key, F.posexplode(events).alias("at", "e")).select(
-        key, "at", F.col("e.token").alias("raw"), "e.last", "e.again"
+        key, "at", F.col("e.token").alias("raw"), "e.last", "e.again", "e.rest"
     )
     if short_tags:
         rows = _open_short_tags(rows, key)
     else:
-        rows = rows.withColumn("part", F.lit(0)).withColumn(
-            "kind", M.token_kind(F.col("raw"), F.col("last"))
-        )
+        kind = F.when(F.col("rest"), "data").otherwise(M.token_kind(F.col("raw"), F.col("last")))
+        rows = rows.withColumn("part", F.lit(0)).withColumn("kind", kind)
     pos = F.col("at") * 3 + F.col("part") if short_tags else F.col("at")
     return describe_tokens(rows.withColumn("pos", pos), key, entities)
 

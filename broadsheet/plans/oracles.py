@@ -696,3 +696,10 @@ SELECT CASE WHEN k % 8 = 5 THEN -k ELSE k END, NULL, 'orphan',
   CASE k % 8 WHEN 2 THEN -99 WHEN 3 THEN CASE WHEN c > 1 THEN 2 END WHEN 4 THEN 7 ELSE 1 END
 FROM l WHERE k % 8 = 5 OR k NOT IN (SELECT o_orderkey FROM orders)
 """
+
+SQL["rest_is_text"] = """
+SELECT page_id, CAST(regexp_matches(html, '<article[^<>]*>') AS BIGINT) AS n_articles,
+  md5(CASE WHEN regexp_matches(html, '<article[^<>]*>') THEN regexp_extract(html, '(?s)<article[^<>]*>(.*)$', 1)
+    ELSE regexp_extract(html, '[^<>]*$', 0) END) AS rest_md5
+FROM pages
+"""

@@ -534,6 +534,17 @@ def text_runs(spark, sf):
     )
 
 
+@query
+def rest_is_text(spark, sf):
+    """No markup after the start of the article: one token of data holds the rest."""
+    tokens = M.tokenize_markup(spread(table(spark, sf, "pages")), rest_tags=["article"])
+    last = F.max_by(F.when(F.col("kind") == "data", F.col("data")), "pos")
+    is_article = (F.col("kind") == "start") & (F.col("tag") == "article")
+    return tokens.groupBy("page_id").agg(
+        F.count_if(is_article).alias("n_articles"), F.md5(F.coalesce(last, F.lit(""))).alias("rest_md5")
+    )
+
+
 @query
 def tag_census(spark, sf):
     return M.tag_census(_tokens(spark, sf))

@@ -101,3 +101,14 @@ def test_stream_equals_batch(spark):
     run.awaitTermination()
     got, want = spark.read.parquet(out), M.tokenize_markup(pages(spark))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_after_a_rest_tag_all_is_text(spark):
+    html = "a<!--<plaintext>--><plaintexts><b><PlainText x=1><i>c</i> &amp; <plaintext>"
+    rows = spark.createDataFrame([(1, html), (2, "<plaintext>"), (3, "<b>x"), (4, None), (5, "")], "page_id long, html string")
+    got = M.tokenize_markup(rows, rest_tags=["plaintext"]).orderBy("page_id", "pos").collect()
+    first = [(r.kind, r.raw) for r in got if r.page_id == 1]
+    assert first[-2:] == [("start", "<PlainText x=1>"), ("data", "<i>c</i> &amp; <plaintext>")]
+    assert [k for k, _ in first] == ["data", "comment", "start", "start", "start", "data"]
+    assert "".join(raw for _, raw in first) == html
+    assert [(r.page_id, r.kind) for r in got if r.page_id > 1] == [(2, "start"), (3, "start"), (3, "data")]
