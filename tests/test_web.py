@@ -194,3 +194,20 @@ def test_topic_without_score(spark):
     seeds = spark.createDataFrame([("vote", 0, "Politics", 1), ("goal", 4, "Sports", 1)], "word string, ord int, label string, weight int")
     got = {tuple(r) for r in T.classify_topic(docs, "id", T.token_scorer("id", "text", seeds)).collect()}
     assert got == {(1, "Sports"), (2, "Unknown"), (3, "Politics")}
+
+
+def test_language_without_a_row_for_each_character(spark, monkeypatch):
+    """Trigrams are counted and matched where texts are read, whatever the size of a piece; both ways of scoring agree."""
+    rows = [(1, "Die Straße\n", "de"), (1, "the 😀 cat", "en"), (2, "", "de"), (3, None, "en"), (4, "123", None), (None, "der die das", "de"), (5, "日本語 zzz", "ja"), (6, "qqq", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = docs.select("lang", F.explode(L.trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").count()
+    for size in (400_000, 2):
+        monkeypatch.setattr(L, "BATCH_CHARS", size)
+        counted = L._counted_grams(docs, "text", "lang")
+        assert "Generate" not in counted._jdf.queryExecution().toString()
+        assert sorted(map(repr, counted.collect())) == sorted(map(repr, grams.withColumnRenamed("count", "n").collect()))
+        profiles = L.fit_language_profiles(docs.filter("lang <> 'xx'"))
+        small = L.language_scores(docs, "doc_id", "text", profiles)
+        large = L.language_scores(docs, "doc_id", "text", profiles, max_broadcast_rows=0)
+        assert "Generate" not in small._jdf.queryExecution().toString()
+        assert sorted(map(repr, small.collect())) == sorted(map(repr, large.collect()))
