@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,76 @@ def test_features_name_edges(spark):
     got = {(r.feature, r.feature_key) for r in G.segment_features(docs).collect()}
     assert {("UW1", "B2"), ("BW1", "B1東"), ("TW1", "B2B1東"), ("UW6", "E2"), ("TW4", "京E1E2"), ("TC2", "OHH")} <= got
     assert len(got) == 26
+
+
+def plain_gaps(text):
+    """The windows of a text: place, characters and classes."""
+    w, c = ["B3", "B2", "B1", *text, "E1", "E2", "E3"], ["O"] * 3 + [class_of(x) for x in text] + ["O"] * 3
+    for i in range(4, len(w) - 3):
+        yield i - 3, {f"w{k}": w[i - 4 + k] for k in range(1, 7)} | {f"c{k}": c[i - 4 + k] for k in range(1, 7)}
+
+
+def plain_features(text):
+    for pos, items in plain_gaps(text):
+        for f, names in [*G.CHARACTER_FEATURES.items(), *G.CLASS_FEATURES.items()]:
+            yield pos, f, "".join(items[x] for x in names.split()), "".join(items[f"c{k}"] for k in range(1, 5))
+
+
+def test_feature_counts_equal_the_plain_loop(spark):
+    rows = [*enumerate(TEXTS), (5, TEXTS[4]), (None, "東 京"), (9, None)]
+    got = G.segment_feature_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = Counter((f, k) for _, t in rows if t for _, f, k, _ in plain_features(t))
+    assert len(got) == len(want) and {(r.feature, r.feature_key): r.n for r in got} == want
+
+
+def test_alphabets_of_any_size_count_alike(monkeypatch):
+    texts = [" ".join(TEXTS), "東  京", "😀 a", "", " "]
+    one = [list(map(list, x[1:])) for x in B._counted(texts, B.np.frombuffer(class_table(), B.np.uint8))]
+    monkeypatch.setattr(B, "MAX_ALPHABET", 0)
+    assert one == [list(map(list, x[1:])) for x in B._counted(texts, B.np.frombuffer(class_table(), B.np.uint8))]
+
+
+@pytest.mark.parametrize("dense, batch", [(128, 400_000), (0, 400_000), (128, 3)])
+def test_static_scores_need_no_shuffle(spark, monkeypatch, dense, batch):
+    """Scores are made where a text is read, in pieces; keys may repeat or be missing."""
+    monkeypatch.setattr(B, "MAX_DENSE", dense)
+    monkeypatch.setattr(B, "BATCH_CHARS", batch)
+    table = random_weights(11)
+    weights = spark.createDataFrame([(f, k, v) for (f, k), v in table.items()], "feature string, key string, weight int")
+    rows = [*enumerate(TEXTS), (50, "".join(TEXTS)), (51, None), (1, TEXTS[5]), (None, TEXTS[3])]
+    got = G.segment_static_scores(spark.createDataFrame(rows, "doc_id long, text string"), weights)
+    assert not re.search(r"\b(Window|Exchange)\b", got._jdf.queryExecution().toString())
+    want = []
+    for key, text in rows:
+        scores: dict = {}
+        for pos, f, k, c4 in plain_features(text or ""):
+            scores[pos, c4] = scores.get((pos, c4), table[G.BIAS, ""]) + table.get((f, k), 0)
+        want += [(key, pos, score, c4) for (pos, c4), score in scores.items()]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_boundaries_equal_the_states():
+    rng = random.Random(6)
+    for size in (0, 1, 2, 3, 4, 200):
+        masks = [rng.choice([0, 32767, rng.randrange(32768), 127, 32640]) for _ in range(size)]
+        for state in range(15):
+            assert B.boundaries(B.np.array(masks, B.np.uint16), state) == B.run_states(masks, state)[0]
+
+
+def test_short_texts_are_derived_once(spark):
+    """The texts come from an expression, which neither a filter before the task nor the task repeats."""
+    docs = spark.createDataFrame([(1, "東京")], "doc_id long, text string").select("doc_id", F.regexp_replace("text", "x+", "y").alias("text"))
+    weights = spark.createDataFrame([(G.BIAS, "", -1)], "feature string, key string, weight int")
+    short = B.segment_short(docs, spark.sparkContext.broadcast(G._model_arrays(weights, 10)), "doc_id", "text", F.length("text") > 9)
+    assert "Filter" not in short._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_class_counts_equal_the_patterns(spark):
+    docs = spark.createDataFrame([*enumerate(TEXTS), (3, TEXTS[3]), (None, "a1"), (70, None)], "doc_id long, text string")
+    got = B.class_counts(docs, "doc_id", "text")
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    want: dict = {}
+    for key, text in [*enumerate(TEXTS), (3, TEXTS[3]), (None, "a1")]:
+        for c in text or " ":
+            want[key, class_of(c)] = want.get((key, class_of(c)), 0) + 1
+    assert {(r.doc_id, r["class"]): r.n for r in got.collect()} == want
