@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from broadsheet.functions import markup as M
@@ -201,46 +200,51 @@ def tag_depth(tokens: DataFrame, key: str = "page_id", void_tags: Iterable[str]
     )
 
 
-_CLOSES = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("pos", T.IntegerType()),
-            T.StructField("tag", T.StringType()),
-            T.StructField("action", T.StringType()),
-            T.StructField("depth", T.IntegerType()),
-            T.StructField("opened_at", T.IntegerType()),
-        ]
-    )
-)
-
-
-@F.pandas_udf(_CLOSES)
-def _walk_stack(kinds: pd.Series, tags: pd.Series, places: pd.Series) -> pd.Series:
-    """Open-tag stack of each page; one row of short arrays in, one out."""
-
-    def walk(ks, ts, ps):
-        stack, out = [], []
-        held: dict[str, int] = {}
-        for k, t, p in zip(ks, ts, ps):
-            if k == "start":
-                stack.append((t, p))
-                held[t] = held.get(t, 0) + 1
-                out.append((p, t, "open", len(stack), p))
-                continue
-            if not stack or (t and not held.get(t)):
-                out.append((p, t, "unbalanced", len(stack), None))
-                continue
-            target = t or stack[-1][0]
-            while True:
-                name, at = stack.pop()
-                held[name] -= 1
-                done = name == target
-                out.append((p, name, "close" if done else "implied_close", len(stack), at))
-                if done:
-                    break
-        return [dict(zip(("pos", "tag", "action", "depth", "opened_at"), row)) for row in out]
-
-    return pd.Series([walk(*row) for row in zip(kinds, tags, places)])
+# Pages whose tags are walked together; only their tags are held as objects.
+WALKED_PAGES = 64
+
+
+def _walk(tags: list[dict]) -> Iterator[tuple]:
+    """What the open-tag stack of a page does: place, tag, action, depth and the place where it was opened."""
+    stack: list[tuple] = []
+    held: dict[str, int] = {}
+    for event in tags:
+        k, t, p = event["kind"], event["tag"], event["pos"]
+        if k == "start":
+            stack.append((t, p))
+            held[t] = held.get(t, 0) + 1
+            yield p, t, "open", len(stack), p
+            continue
+        if not stack or (t and not held.get(t)):
+            yield p, t, "unbalanced", len(stack), None
+            continue
+        target = t or stack[-1][0]
+        while True:
+            name, at = stack.pop()
+            held[name] -= 1
+            done = name == target
+            yield p, name, "close" if done else "implied_close", len(stack), at
+            if done:
+                break
+
+
+def _walked(tagged: DataFrame, key: str) -> DataFrame:
+    """Rows of ``close_events`` from ``(key, t)``, few pages at a time, so that a worker's memory does not grow with a batch."""
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for begin in range(0, b.num_rows, WALKED_PAGES):
+                some = b.slice(begin, WALKED_PAGES)
+                places, out = [], []
+                for row, tags in enumerate(some.column("t").to_pylist()):
+                    out += _walk(tags)
+                    places += [row] * (len(out) - len(places))
+                columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+                keys = some.column(key).take(pa.array(places, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *columns], [key, "pos", "tag", "action", "depth", "opened_at"])
+
+    return tagged.mapInArrow(run, f"`{key}` {dict(tagged.dtypes)[key]}, pos int, tag string, action string, depth int, opened_at int")
 
 
 def close_events(
@@ -278,9 +282,7 @@ def close_events(
 
     # A failed fetch has no page and no tags.
     tagged = pages.filter(F.col(html).isNotNull()).select(key, F.filter(tokens, wanted).alias("t"))
-    return tagged.select(
-        key, F.explode(_walk_stack(F.col("t.kind"), F.col("t.tag"), F.col("t.pos"))).alias("c")
-    ).select(key, "c.*")
+    return _walked(tagged, key)
 
 
 def unbalanced_tags(closes: DataFrame) -> DataFrame:

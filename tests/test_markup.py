@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from broadsheet.operators import markup as M
@@ -112,3 +113,25 @@ def test_after_a_rest_tag_all_is_text(spark):
     assert [k for k, _ in first] == ["data", "comment", "start", "start", "start", "data"]
     assert "".join(raw for _, raw in first) == html
     assert [(r.page_id, r.kind) for r in got if r.page_id > 1] == [(2, "start"), (3, "start"), (3, "data")]
+
+
+def test_tag_stacks_hold_few_pages_at_a_time(spark, monkeypatch):
+    """However many pages a batch has, only those of one slice are objects of the worker."""
+    most = []
+    pages = [(i, "<a><b></a></c><i></b></>" * (i % 3)) for i in range(50)]
+    tagged = [{"page_id": i, "t": [{"kind": "start", "tag": "a", "pos": 0}] * (i % 3)} for i in range(50)]
+
+    class Frame:
+        dtypes = [("page_id", "bigint")]
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            out = list(run(iter([pa.RecordBatch.from_pylist(tagged)])))
+            most.extend(b.num_rows for b in out)
+
+    monkeypatch.setattr(M, "WALKED_PAGES", 4)
+    M._walked(Frame(), "page_id")
+    assert len(most) == 13 and max(most) <= 8 and sum(most) == sum(i % 3 for i in range(50))
+    few = M.close_events(spark.createDataFrame(pages, "page_id long, html string")).collect()
+    monkeypatch.setattr(M, "WALKED_PAGES", 64)
+    assert sorted(map(repr, few)) == sorted(map(repr, M.close_events(spark.createDataFrame(pages, "page_id long, html string")).collect()))
+    assert {r.action for r in few} == {"open", "close", "implied_close", "unbalanced"}
