@@ -66,11 +66,13 @@ def pointer_join_parts(pointer: Column, parts: Column) -> Column:
 
 def literal_parts(pointer: str) -> list[str]:
     """Parts of a pointer known while the plan is built; raises on an invalid one."""
-    if re.search(r"~[^01]|~\Z", pointer):
+    if "~" in pointer and re.search(r"~[^01]|~\Z", pointer):
         raise ValueError(f"invalid escape in pointer {pointer!r}")
     head, *raw = pointer.split("/")
     if head:
         raise ValueError(f"pointer {pointer!r} must be empty or start with /")
+    if "~" not in pointer:
+        return raw
     parts = []
     for part in raw:
         for mark, char in ESCAPES:

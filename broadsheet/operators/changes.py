@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from broadsheet.functions import pointers as P
 from broadsheet.functions.edit_tries import Fails, apply_block, block_from_text, block_to_text, compile_block
-from broadsheet.functions.json_edits import INVALID, OPERATIONS, POINTER_ERROR, Fault, Number, from_text, to_text
+from broadsheet.functions.json_edits import INVALID, OPERATIONS, POINTER_ERROR, Fault, Number, from_text, plain_text, to_text
 
 # Numbers of operations in a block of one log: a log longer than this is worked on in parallel.
 BLOCK = 2048
@@ -124,14 +124,15 @@ def _log_blocks(checked: DataFrame, key: str, operations: dict[str, Callable], b
         for batch in batches:
             finished = []
             names = (key, "block", "seq", "op", "path", "from", "value", "error", "readable", "turn")
-            for doc_id, at, seq, op, path, source, value, error, readable, turn in zip(*(batch[c] for c in names), strict=True):
-                seq = None if pd.isna(seq) else int(seq)
+            for doc_id, at, seq, op, path, source, value, error, readable, turn in zip(*(batch[c].tolist() for c in names), strict=True):
+                # A missing number is None, or NaN among others.
+                seq = None if seq is None or seq != seq else int(seq)
                 if turn == 1 or held.n == block:
                     if held.n:
                         finished.append((*current, *held.row(own)))
                     part = 0 if turn == 1 else current[2] + 1
                     before = None if turn == 1 else before
-                    held, current = _Held(), (doc_id, None if pd.isna(at) else int(at), part)
+                    held, current = _Held(), (doc_id, None if at is None or at != at else int(at), part)
                 held.add(seq, op, path, source, value, error, readable, plain, before)
                 before = (seq, path)
             yield pd.DataFrame(finished, columns=columns).astype(_DTYPES)
@@ -178,7 +179,7 @@ class _Held:
             found = compile_block(o[1:] for o in self.ops)
             trie = None if found is None else block_to_text(found)
         bad_seq, bad = (self.bad[1] if self.bad[0] else None, self.bad[2]) if self.bad else (None, None)
-        ops = None if self.bad else json.dumps(self.ops, ensure_ascii=False)
+        ops = None if self.bad else plain_text(self.ops)
         return self.n, self.first, self.flat, self.twice, self.member_twice, bad_seq, bad, ops, trie
 
 

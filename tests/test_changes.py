@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from broadsheet.functions import json_edits
 from broadsheet.functions.json_edits import OPERATIONS
 from broadsheet.operators import changes as C
 
@@ -163,3 +164,28 @@ def test_long_log_of_one_document(spark):
     clash = log.withColumn("op", F.when(F.col("seq") == 15_001, "remove").otherwise(F.col("op")))
     row = C.apply_changes(docs, clash, block=1000).select("status", "failed_seq").first()
     assert tuple(row) == ("conflict", 15_001)
+
+
+def test_no_decoder_or_encoder_is_made_for_each_value(monkeypatch):
+    """Values are read and written with ones made once, as they would be otherwise."""
+    texts = ['{"a/é":[1,-2,1.50,1e400,"\\u0001\\ud83d\\ude00\\"",null,true],"":{}}', "12345678901234567.89", '"x"', "[]", "-0"]
+    made = [json.loads(t, parse_float=json_edits._number, object_pairs_hook=json_edits._members) for t in texts]
+
+    def no(*_, **__):
+        raise AssertionError("made anew")
+
+    for name in ("JSONDecoder", "JSONEncoder"):
+        monkeypatch.setattr(json, name, no)
+    read = [json_edits.from_text(t) for t in texts]
+    assert read == made and [json_edits.to_text(v) for v in read] == ['{"a/é":[1,-2,1.50,1e400,"\\u0001😀\\"",null,true],"":{}}', *texts[1:4], "0"]
+    assert json_edits.typed_text({"b": 1, "a": "é"}) == '{"a": "\\u00e9", "b": 1}' and json_edits.plain_text([1, None, "é"]) == '[1, null, "é"]'
+    for bad in ('{"a":1,"a":2}', "", "x", "\ufeff1"):
+        with pytest.raises(ValueError):
+            json_edits.from_text(bad)
+
+
+def test_the_decoder_goes_to_other_processes():
+    import pickle
+
+    again = pickle.loads(pickle.dumps(json_edits._DECODER))
+    assert again.decode('{"a":1.50}')["a"].text == "1.50"
