@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -204,12 +205,11 @@ def tag_depth(tokens: DataFrame, key: str = "page_id", void_tags: Iterable[str]
 WALKED_PAGES = 64
 
 
-def _walk(tags: list[dict]) -> Iterator[tuple]:
+def _walk(kinds: list[str], tags: list[str], places: list[int]) -> Iterator[tuple]:
     """What the open-tag stack of a page does: place, tag, action, depth and the place where it was opened."""
     stack: list[tuple] = []
     held: dict[str, int] = {}
-    for event in tags:
-        k, t, p = event["kind"], event["tag"], event["pos"]
+    for k, t, p in zip(kinds, tags, places, strict=True):
         if k == "start":
             stack.append((t, p))
             held[t] = held.get(t, 0) + 1
@@ -236,10 +236,13 @@ def _walked(tagged: DataFrame, key: str) -> DataFrame:
         for b in batches:
             for begin in range(0, b.num_rows, WALKED_PAGES):
                 some = b.slice(begin, WALKED_PAGES)
-                places, out = [], []
-                for row, tags in enumerate(some.column("t").to_pylist()):
-                    out += _walk(tags)
+                lists = some.column("t")
+                parts = [part.to_pylist() for part in lists.flatten().flatten()]
+                places, out, at = [], [], 0
+                for row, size in enumerate(pc.list_value_length(lists).to_pylist()):
+                    out += _walk(*(part[at : at + size] for part in parts))
                     places += [row] * (len(out) - len(places))
+                    at += size
                 columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
                 keys = some.column(key).take(pa.array(places, pa.int64()))
                 yield pa.RecordBatch.from_arrays([keys, *columns], [key, "pos", "tag", "action", "depth", "opened_at"])
