@@ -237,7 +237,7 @@ def _walked(tagged: DataFrame, key: str) -> DataFrame:
             for begin in range(0, b.num_rows, WALKED_PAGES):
                 some = b.slice(begin, WALKED_PAGES)
                 lists = some.column("t")
-                parts = [part.to_pylist() for part in lists.flatten().flatten()]
+                parts = [pc.struct_field(lists.flatten(), name).to_pylist() for name in ("kind", "tag", "pos")]
                 places, out, at = [], [], 0
                 for row, size in enumerate(pc.list_value_length(lists).to_pylist()):
                     out += _walk(*(part[at : at + size] for part in parts))
