@@ -55,8 +55,8 @@ EXCESS = 1.1
 SMALL_GROUP = 24
 # Members of one block when a large group is held against those outside its main component.
 BLOCK = 256
-# Signature blocks for each shuffle partition; one block is in memory at a time.
-BLOCKS_PER_PARTITION = 16
+# Shingles of the texts for each signature block, which has about six signatures for ten; one block is in memory at a time.
+BLOCK_SHINGLES = 100_000
 # Bytes of a signature that are kept beside its block.
 SIG_BYTES = 6
 # Steps of the natural logarithm of a size in the key of a set; sizes of 64 bits fit 16 bits of it.
@@ -190,7 +190,11 @@ def signatures(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def _signature_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """``block, sigs, sets``: packed signatures of many documents, dealt out by signature."""
+    """``block, sigs, sets``: packed signatures of many documents, dealt out by signature.
+
+    A pack has a row for each block that it has signatures of, so the rows are at most packs times blocks
+    and at most signatures. The number of blocks follows the shingles, not the partitions of a session.
+    """
 
     def pack(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         unique: dict[tuple[int, int], np.ndarray] = {}
@@ -352,11 +356,10 @@ def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     ``sets`` are the rows of ``document_sets`` with a ``doc_id`` and at least one shingle.
     Within a component not all links are given, but those given reach all its members.
     """
-    spark = docs.sparkSession
     chosen = sets.groupBy("set_hash", "n_shingles").agg(
         F.min("doc_id").alias("first"), F.min("set_key").alias("set_key"), F.min("profile").alias("profile")
     )
-    n_blocks = BLOCKS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = 1 + (sets.agg(F.sum("n_shingles")).first()[0] or 0) // BLOCK_SHINGLES
     found = stored(_shared(_signature_blocks(docs.filter("doc_id is not null").select("text"), n_blocks)))
     pairs = found.filter("sig is null").select("a", "b").distinct()
     left = chosen.select(F.col("set_key").alias("a"), F.col("n_shingles").alias("n_a"), F.col("first").alias("first_a"), F.col("profile").alias("profile_a"))

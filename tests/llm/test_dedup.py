@@ -168,6 +168,36 @@ def test_jaccard_against_brute_force(spark, monkeypatch, small):
     assert sorted((tuple(r) for r in jaccard_join.similar_components(docs).collect()), key=repr) == plain_components(rows)
 
 
+def test_jaccard_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100)
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in jaccard_join.similar_components(docs).collect()), key=repr) == plain_components(rows)
+
+
+def test_packed_rows_do_not_grow_with_partitions(spark, monkeypatch):
+    """The same texts make as many rows of packed signatures, however many shuffle partitions a session has."""
+
+    class Counted(Exception):
+        pass
+
+    def count(blocks):
+        raise Counted(blocks.count())
+
+    monkeypatch.setattr(jaccard_join, "_shared", count)
+    docs = spark.createDataFrame(near_copies(), "doc_id long, text string")
+    before, made = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in ("4", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            with pytest.raises(Counted) as found:
+                jaccard_join.similar_links(docs, jaccard_join.document_sets(docs))
+            made += found.value.args
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] == made[1] > 0
+
+
 def test_jaccard_query(spark, sf, documents):
     assert sorted((tuple(r) for r in CATALOGUE["op1_jaccard_join"](spark, sf).collect()), key=repr) == plain_components(documents)
 
