@@ -79,19 +79,33 @@ def flatten_docs(
     more than ``max_depth`` levels may have containers that are still open then; only their
     rows pass through Python, which lists the places below in one step.
     """
-    # Every level of nesting opens a bracket in the schema of a document, unless elements of several
-    # kinds hide theirs; names may add more.
-    schema = F.schema_of_variant(doc)
-    brackets = F.length(schema) - F.length(F.replace(schema, F.lit("<"), F.lit("")))
-    may_be_deep = (brackets > max_depth) | schema.contains("VARIANT")
-    rows = docs.filter(F.col(doc).isNotNull())
-    shallow = _levels(rows.filter(~may_be_deep), key, doc, max_depth).select(
+    rows = _once(docs, key, doc, max_depth)
+    shallow = _levels(rows.filter("not read.deep"), key, "read.doc", max_depth).select(
         key, "node.path", "node.parent", "node.value", "node.sort_key"
     )
-    deep = _with_places_below(_levels(rows.filter(may_be_deep), key, doc, max_depth), key)
+    deep = _with_places_below(_levels(rows.filter("read.deep"), key, "read.doc", max_depth), key)
     return shallow.unionByName(deep).select(key, "path", "parent", V.kind(F.col("value")).alias("type"), "value", "sort_key")
 
 
+def _once(docs: DataFrame, key: str, doc: str, max_depth: int) -> DataFrame:
+    """``(key, read)``: each document that is not NULL, and whether it may be deep.
+
+    Both come out of an explode, so a filter on them does not repeat the expression of the document, which may parse it.
+    """
+
+    # Every level of nesting opens a bracket in the schema of a document, unless elements of several
+    # kinds hide theirs; names may add more.
+    def may_be_deep(schema: Column) -> Column:
+        brackets = F.length(schema) - F.length(F.replace(schema, F.lit("<"), F.lit("")))
+        return (brackets > max_depth) | schema.contains("VARIANT")
+
+    def read(d: Column) -> Column:
+        return F.struct(d.alias("doc"), let(F.schema_of_variant(d), may_be_deep).alias("deep"))
+
+    found = F.filter(F.array(F.col(doc)), lambda d: d.isNotNull())
+    return docs.select(key, F.explode(F.transform(found, read)).alias("read"))
+
+
 def _levels(docs: DataFrame, key: str, doc: str, max_depth: int) -> DataFrame:
     """``(key, node)``: the places of the first levels; containers below them are still open."""
     no_parent = F.lit(None).cast("string")

@@ -106,3 +106,14 @@ def test_lists_of_several_kinds_hide_no_depth(spark, depth):
     text = '[1,{"a":[2,{"b":[3,{"c":{"d":4}}]}]}]'
     flat = DOC.flatten_docs(parsed(spark, text), max_depth=depth)
     assert "/1/a/1/b/1/c/d" in {r.path for r in flat.collect()} and flat.count() == 11
+
+
+def test_flatten_reads_a_document_once_a_branch(spark):
+    """Deciding whether a document is deep repeats no parsing: once for shallow documents, once for deep ones."""
+    texts = spark.createDataFrame([(1, '{"a":[1,{"b":2}]}'), (2, None), (3, "[[[[5]]]]"), (3, "null"), (None, "7")], "doc_id long, text string")
+    flat = DOC.flatten_docs(texts.select("doc_id", F.parse_json("text").alias("doc")), max_depth=2)
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 2
+    got = sorted(((r.doc_id, r.path, r.type) for r in flat.collect()), key=repr)
+    one = [(1, "", "object"), (1, "/a", "list"), (1, "/a/0", "int"), (1, "/a/1", "object"), (1, "/a/1/b", "int")]
+    three = [(3, "/0" * n, "list") for n in range(4)] + [(3, "/0" * 4, "int"), (3, "", "null")]
+    assert got == sorted([*one, *three, (None, "", "int")], key=repr)
